@@ -6,10 +6,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.cuts import share_cut, truncated
+from tidemark.llm.leaks import leaks
 from tidemark.llm.tokens import encode
+from tidemark.llm.vectors import similar
 from tidemark.runtime import table
 
 
+def p1_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src, dst, distance): the four most similar frames of every frame, of the whole collection, at most 1.5 away."""
+    return similar(table(spark, sf_dir, "features"), id="frame_id", vector="img").select(F.col("id").alias("src"), F.col("other").alias("dst"), "distance")
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p1_edges(spark, sf_dir).select(F.least("src", "dst").alias("frame_a"), F.greatest("src", "dst").alias("frame_b")).distinct()
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), id="doc_id", text="text", item_id="item_id", item_text="text")
+    return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id")).distinct()
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), id="doc_id", text="text").withColumnRenamed("id", "doc_id")
 
@@ -23,4 +39,4 @@ def p9_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p7_ids": p7_ids, "p9_found": p9_found, "p9_share": p9_share}
+    return {"p1_found": p1_found, "p1_edges": p1_edges, "p8_found": p8_found, "p7_ids": p7_ids, "p9_found": p9_found, "p9_share": p9_share}
