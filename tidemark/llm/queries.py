@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.communities import clusters, describe, same_cluster_pairs
 from tidemark.llm.cuts import share_cut, truncated
 from tidemark.llm.leaks import leaks
 from tidemark.llm.tokens import encode
@@ -21,6 +22,19 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1_edges(spark, sf_dir).select(F.least("src", "dst").alias("frame_a"), F.greatest("src", "dst").alias("frame_b")).distinct()
 
 
+def p4_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters(table(spark, sf_dir, "features"), id="frame_id", group="inspection_id", vector="img")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return same_cluster_pairs(p4_clusters(spark, sf_dir)).select(F.col("a").alias("frame_a"), F.col("b").alias("frame_b"))
+
+
+def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each group with its size, typical members, members of highest uciqe, and depth."""
+    return describe(p4_clusters(spark, sf_dir), table(spark, sf_dir, "frames"), id="frame_id", quality="uciqe", depth="depth").withColumnRenamed("group", "inspection_id")
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), id="doc_id", text="text", item_id="item_id", item_text="text")
     return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id")).distinct()
@@ -39,4 +53,4 @@ def p9_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_edges": p1_edges, "p8_found": p8_found, "p7_ids": p7_ids, "p9_found": p9_found, "p9_share": p9_share}
+    return {"p1_found": p1_found, "p1_edges": p1_edges, "p4_found": p4_found, "p4_groups": p4_groups, "p8_found": p8_found, "p7_ids": p7_ids, "p9_found": p9_found, "p9_share": p9_share}
