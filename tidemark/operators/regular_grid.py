@@ -110,7 +110,7 @@ def regular_grid(df: DataFrame, *, source: str, time: str, fields: dict[str, flo
         src, blk = batch.source.to_numpy()[starts], batch.block.to_numpy()[starts]
         count = np.where(headed, hi - lo + 1, 0)
         if not count.sum():
-            return pd.DataFrame({"source": [], "field": [], "slot": [], "value": [], "sd": [], "missing": []})
+            return pd.DataFrame({"source": [], "field": [], "slot": [], "value": [], "sd": [], "missing": []}, dtype=object)
         gseg = np.repeat(np.arange(len(starts)), count)
         gslot = np.repeat(lo, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         r = (kind == 1) & headed[seg]

@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import data_queries
+from tidemark.plans import data_queries, graph_queries
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return data_queries.p3_days(spark, sf_dir)
+    return graph_queries.q_table_by_ship(spark, sf_dir)
 
 
 def queries() -> dict:
-    return data_queries.queries()
+    return graph_queries.QUERIES | data_queries.queries()
 
 
 def oracle_sql() -> dict:
-    return {}
+    return graph_queries.SQL | data_queries.oracle_sql()

@@ -83,3 +83,12 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {"p2_found": p2_found, "p2_readings": implausible_readings, "p3_found": p3_found, "p5_found": p5_found, "p5_grid": p5_grid, "p6_found": p6_found, "p6_common": p6_common}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {
+        "p5_found": """WITH t AS (SELECT inspection_id AS i, epoch_us(time) // 10000000 AS s, depth, heading, pitch FROM telemetry WHERE inspection_id IS NOT NULL AND time IS NOT NULL),
+g AS (SELECT i, unnest(generate_series(min(s), max(s))) AS s FROM t GROUP BY i), f AS (SELECT i, s, unnest(['depth', 'heading', 'pitch']) AS field FROM g),
+h AS (SELECT i, s, unnest(['depth', 'heading', 'pitch']) AS field, unnest([depth, heading, pitch]) AS v FROM t), full_ AS (SELECT DISTINCT i, s, field FROM h WHERE v IS NOT NULL AND NOT isnan(v))
+SELECT i AS inspection_id, field, strftime(make_timestamp(s * 10000000), '%Y-%m-%d %H:%M:%S') AS slot FROM f ANTI JOIN full_ USING (i, s, field)""",
+    }
