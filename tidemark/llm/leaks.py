@@ -116,7 +116,8 @@ class Index:
 def holds(pairs: list[tuple[np.ndarray, np.ndarray, int]], least: int, one_in: int, most: int, reach: int) -> np.ndarray:
     """For each (item words, document words, diagonal), whether a stretch of the item is held.
 
-    Words are numbers. longest[e, b]: item words of the longest alignment that ends at the row's item word and at
+    An alignment begins and ends with a matched word; edits at the ends of a stretch count with the stretch, so fewer matched
+    words suffice where edits are left over. Words are numbers. best[e, b]: item words of the longest alignment that ends at the row's item word and at
     the document word on diagonal b of the band, with e edits. Edits are bounded by ``most``, the band by ``reach``.
     """
     n, width = len(pairs), 2 * reach + 1
@@ -132,7 +133,9 @@ def holds(pairs: list[tuple[np.ndarray, np.ndarray, int]], least: int, one_in: i
     none = np.int16(-10_000)
     best = np.full((most + 1, n, width), none, np.int16)
     found = np.zeros(n, bool)
-    limit = np.maximum(least, one_in * np.arange(most + 1)).astype(np.int16)[:, None, None]
+    e = np.arange(most + 1)
+    spare = least // one_in  # edits that a stretch of the least length may have; those at its ends lie outside the matched words
+    limit = np.where(e <= spare, least - spare + e, np.maximum(least, one_in * e)).astype(np.int16)[:, None, None]
     for i in range(rows):
         same = (item[:, i, None] == band[:, i : i + width]) & (item[:, i, None] >= 0)
         new = np.full_like(best, none)

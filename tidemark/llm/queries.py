@@ -54,3 +54,16 @@ def p9_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {"p1_found": p1_found, "p1_edges": p1_edges, "p4_found": p4_found, "p4_groups": p4_groups, "p8_found": p8_found, "p7_ids": p7_ids, "p9_found": p9_found, "p9_share": p9_share}
+
+
+_IMG = "x AS (SELECT frame_id, inspection_id, any_value(img)::DOUBLE[512] AS v FROM (SELECT * FROM features WHERE len(img) = 512 AND len(list_filter(img, lambda e: e IS NULL OR isnan(e) OR isinf(e))) = 0) GROUP BY 1, 2)"
+
+
+def oracle_sql() -> dict[str, str]:
+    """Brute force: every pair of vectors. None for p7, p8 and p9, which SQL can't express or not as plainly; see tests/llm."""
+    return {
+        "p1_found": f"""WITH {_IMG}, p AS (SELECT a.frame_id AS a, b.frame_id AS b, array_distance(a.v, b.v) AS d FROM x a JOIN x b ON a.frame_id <> b.frame_id),
+r AS (SELECT a, b, d, rank() OVER (PARTITION BY a ORDER BY d) AS k FROM p) SELECT DISTINCT least(a, b) AS frame_a, greatest(a, b) AS frame_b FROM r WHERE k <= 4 AND d <= 1.5""",
+        "p4_found": f"""WITH RECURSIVE {_IMG}, p AS (SELECT a.frame_id AS a, b.frame_id AS b FROM x a JOIN x b ON a.inspection_id = b.inspection_id AND array_distance(a.v, b.v) <= 1.5),
+r AS (SELECT a, b FROM p UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a), g AS (SELECT a, count(*) AS n FROM r GROUP BY 1) SELECT a AS frame_a, b AS frame_b FROM r JOIN g USING (a) WHERE a < b AND n >= 5""",
+    }
