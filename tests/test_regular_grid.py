@@ -30,7 +30,7 @@ def test_filled_values(spark, block):
     r = np.random.default_rng(0)
     s = np.sort(r.uniform(0, 3000, 700))
     s = s[(s < 1000) | (s > 1060)]
-    rows = [at(float(x), d=5 + 0.002 * x + r.normal(0, 0.02), h=(350 + 0.05 * x) % 360 + r.normal(0, 0.2), p=float(np.sin(x / 200))) for x in s]
+    rows = [at(float(x), d=float(5 + 0.002 * x + r.normal(0, 0.02)), h=float((350 + 0.05 * x) % 360 + r.normal(0, 0.2)), p=float(np.sin(x / 200))) for x in s]
     g = grid(spark, rows, block=block, halo=15)
     x = (g.slot - T0).dt.total_seconds()
     inside = (x > 0) & (x < 2990)

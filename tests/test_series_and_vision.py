@@ -36,7 +36,7 @@ def test_mosaic_rules(spark):
 
 
 def test_homographies(spark):
-    a, b = [1.0, 0, 2, 0, 1, 0, 0, 0, 1], [1.0, 0, 0, 0, 1, 3, 0, 0, 1]
+    a, b = [1.0, 0.0, 2.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0], [1.0, 0.0, 0.0, 0.0, 1.0, 3.0, 0.0, 0.0, 1.0]
     d = spark.createDataFrame([("m", 0, a), ("m", 1, b), ("m", 2, None)], "mosaic string, n int, h array<double>")
     got = [r.homography for r in M.compose(d, "mosaic", "n", "h").orderBy("n").collect()]
     assert got[1] == [1, 0, 2, 0, 1, 3, 0, 0, 1] == got[2]

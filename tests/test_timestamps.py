@@ -22,7 +22,7 @@ def utc(date, time, order="dmy", zone="UTC"):
         ("03/12/2017", "12:00:00 PM", "dmy", "UTC", "2017-12-03T12:00:00.000Z"), ("03/12/2017", "12:00:00 AM", "dmy", "UTC", "2017-12-03T00:00:00.000Z"),
         ("2019-09-18", "20:24:02 GMT", "ymd", "Europe/Oslo", "2019-09-18T20:24:02.000Z"), ("17.09.18", "13:45:52+0300", "dmy", "UTC", "2018-09-17T10:45:52.000Z"),
         ("20200420", "232619", "dmy", "UTC", "2020-04-20T23:26:19.000Z"), ("05-Oct-18", "11:11:16.625999", "dmy", "UTC", "2018-10-05T11:11:16.625Z"),
-        ("2 Dec 2017", "12:53:33,7", "dmy", "UTC", "2017-12-02T12:53:33.700Z"), ("-", "1642022829", "dmy", "UTC", "2022-01-12T21:13:49.000Z"),
+        ("2 Dec 2017", "12:53:33,7", "dmy", "UTC", "2017-12-02T12:53:33.700Z"), ("-", "1642022829", "dmy", "UTC", "2022-01-12T21:27:09.000Z"),
         (None, "1654759689091", "dmy", "UTC", "2022-06-09T07:28:09.091Z"), ("2023/04/24", "01:00:00 IST", "ymd", "UTC", "2023-04-23T19:30:00.000Z"),
         ("2023-04-24", "05:00:00 CEST", "ymd", "America/New_York", "2023-04-24T03:00:00.000Z"), ("2019-05-01", "09:54:30 PM", "dmy", "Australia/Sydney", "2019-05-01T11:54:30.000Z"),
     ],

@@ -48,7 +48,7 @@ def resample(df: DataFrame, source: str, us: str, fields: Sequence[str], n: int,
     # the instants of this row's interval [us, next), and the last one for the last row
     step = (F.col("_hi") - F.col("_lo")) / (n - 1) if n > 1 else F.lit(0.0)
     at = lambda t: F.when(F.col("_hi") > F.col("_lo"), F.ceil((t - F.col("_lo")) * (n - 1) / (F.col("_hi") - F.col("_lo")))).otherwise(F.lit(0))
-    begin, end = at(F.col(us)), F.coalesce(at(F.col("_next")) - 1, F.lit(n - 1))
+    begin, end = at(F.col(us)), F.when(F.col("_next").isNull(), F.lit(n - 1)).otherwise(at(F.col("_next")) - 1)
     d = d.withColumn("_k", F.explode(F.when(end >= begin, F.sequence(begin, end)).otherwise(F.array().cast("array<bigint>")))).withColumn("_t", F.col("_lo") + F.col("_k") * step)
     out = []
     for f in fields:

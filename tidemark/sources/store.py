@@ -22,7 +22,7 @@ def video_files(spark: SparkSession, path: str) -> DataFrame:
 
 def overlay_events(spark: SparkSession, path: str) -> DataFrame:
     """(file, event_no, start_ms, text) of subtitle files, for ``overlay.instants``. Lines that are no event are skipped."""
-    lines = spark.read.option("wholetext", "true").text(path).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("line", "value"))
+    lines = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("line", "value"))
     e = lines.filter(F.col("value").startswith("Dialogue:")).withColumn("p", F.split(F.expr("substring(value, 10)"), ",", 10)).filter(F.size("p") == 10)
     t = F.split(F.trim(F.col("p")[1]), "[:.]")
     ms = ((t[0].cast("long") * 60 + t[1].cast("long")) * 60 + t[2].cast("long")) * 1000 + t[3].cast("long") * 10
