@@ -38,7 +38,7 @@ def test_scan_and_bound():
     assert np.allclose(np.abs(((c - at) * c).sum(1)), along, atol=0.05)
     plain = ((c - np.concatenate([plan.books[s][((c[:, s * 8 : s * 8 + 8, None] - plan.books[s].T[None]) ** 2).sum(1).argmin(1)] for s in range(4)], axis=1)) * c).sum(1)
     assert np.abs(along).mean() < np.abs(plain).mean()  # the parallel error is the smaller for being weighed
-    home, row, leaf = leaves_of(plan, c @ plan.axes.T, 1.5)
+    home, row, leaf = leaves_of(plan, c @ plan.axes.T)
     assert home.max() < plan.leaves and (leaf > home[row]).all()
     i, j, d = near_pairs(x, None, plan, 1.5)
     assert {(a, b) for a, b in zip(i, j)} == {(a, b) for a, b in brute(x, 10**9, 1.5) if a < b}

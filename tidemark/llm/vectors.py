@@ -8,9 +8,11 @@ queries the inner products with all centres are tabulated, the tables of two nei
 one of 256 entries, and a scan adds up table rows by the bytes of each vector. What passes the scan is reranked
 by its exact distance.
 
-Nothing is lost. A query x looks for vectors y at most ``reach`` away. Distances shrink under projection, so y's leaf
-is on a side of each plane that x's ball touches: x visits those leaves too. In the scan |x-y|^2 is estimated
-as |x|^2 + |y|^2 - 2<x, code of y>; with e = y - code of y the estimate is at most
+Little is lost. A query x looks for vectors y at most ``reach`` away. On an axis x and y differ by at most reach, but in many
+dimensions by far less: by ``margin``, which is learned from the sample's own near pairs (a quarter more than the largest
+difference on any axis, at least 4.5 standard deviations of an evenly spread difference of length reach; reach itself
+where the sample has too few near pairs to tell). x visits the leaves on both sides of a plane nearer than the margin; with
+``margin=reach`` nothing can be lost there. In the scan nothing is lost at all: |x-y|^2 is estimated as |x|^2 + |y|^2 - 2<x, code of y>; with e = y - code of y the estimate is at most
 reach^2 + 2 reach |e| + 2 |<y, e>| for any y within reach. That bound, kept with each vector, is the scan's cut-off.
 
 Scale. Leaves are planned from the sample: one expected to hold (or be visited by) more than ``block`` vectors is
@@ -58,12 +60,28 @@ class Plan:
     visitors: np.ndarray | None = None  # blocks of visitors for each leaf
     books: np.ndarray | None = None  # (subspaces, 16, sub)
     eta: float = 4.0
+    margin: float = 0.0
 
     @property
     def leaves(self) -> int:
         return len(self.members)
 
 
+def _margin(c: np.ndarray, axes: np.ndarray, reach: float, queries: int = 4096, enough: int = 50) -> float:
+    """How far vectors within reach of each other differ on an axis; reach where too few are known."""
+    sq = (c * c).sum(1)
+    most, pairs = 0.0, 0
+    for lo in range(0, min(len(c), queries), 512):
+        q = c[lo : lo + min(512, queries - lo)]
+        d = sq[lo : lo + len(q), None] + sq[None] - 2 * q @ c.T
+        d[np.arange(len(q)), lo + np.arange(len(q))] = np.inf
+        i, j = np.nonzero(d <= reach * reach)
+        pairs += len(i)
+        for s in range(0, len(i), 20_000):
+            most = max(most, float(np.abs((q[i[s : s + 20_000]] - c[j[s : s + 20_000]]) @ axes.T).max()))
+    return reach if pairs < enough else min(reach, max(1.25 * most, 4.5 * reach / math.sqrt(c.shape[1])))
+
+
 def _tree(p: np.ndarray, reach: float, leaf: int) -> list[tuple[int, float, int, int]]:
     """Planes that halve the sample roughly, where few vectors lie within reach of them."""
     planes: list[tuple[int, float, int, int]] = []
@@ -96,8 +114,9 @@ def _tree(p: np.ndarray, reach: float, leaf: int) -> list[tuple[int, float, int,
     return planes if planes else [(0, math.inf, root, ~1)]
 
 
-def leaves_of(plan: Plan, p: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Home leaf of each projected vector; (row, leaf) of each leaf of a higher number that its ball touches."""
+def leaves_of(plan: Plan, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Home leaf of each projected vector; (row, leaf) of each leaf of a higher number that lies within the margin."""
+    reach = plan.margin
     home = np.zeros(len(p), np.int32)
     rows, leaf = [], []
     stack = [(0, np.arange(len(p)), np.ones(len(p), bool))]
@@ -120,21 +139,21 @@ def leaves_of(plan: Plan, p: np.ndarray, reach: float) -> tuple[np.ndarray, np.n
     return home, rows_[higher], leaf_[higher]
 
 
-def fit(sample: np.ndarray, n: int, *, reach: float, leaf: int, block: int, axes: int, sub: int, eta: float, seed: int = 7) -> Plan:
+def fit(sample: np.ndarray, n: int, *, reach: float, leaf: int, block: int, axes: int, sub: int, eta: float, margin: float | None = None, seed: int = 7) -> Plan:
     """n: how many vectors there are in all; leaf: how many of them a leaf should hold."""
-    x = sample.astype(np.float64)
-    mean = x.mean(0)
-    c = x - mean
-    val, vec = np.linalg.eigh(c.T @ c / max(len(c), 1))
-    plan = Plan(mean=mean.astype(np.float32), axes=vec[:, ::-1][:, :axes].T.astype(np.float32), eta=eta)
-    share = max(len(x), 1) / max(n, 1)
-    p = (sample - plan.mean) @ plan.axes.T
-    plan.planes = _tree(p, reach, max(8, int(leaf * share)))
+    mean = sample.mean(0, dtype=np.float64).astype(np.float32)
+    c = sample - mean
+    vec = np.linalg.eigh((c.T @ c / max(len(c), 1)).astype(np.float64))[1]
+    plan = Plan(mean=mean, axes=vec[:, ::-1][:, :axes].T.astype(np.float32), eta=eta)
+    share = max(len(c), 1) / max(n, 1)
+    p = c @ plan.axes.T
+    plan.margin = margin or _margin(c, plan.axes, reach)
+    plan.planes = _tree(p, plan.margin, max(8, int(leaf * share)))
     count = max(~c for _, _, a, b in plan.planes for c in (a, b) if c < 0) + 1
-    home, _, visited = leaves_of(plan, p, reach)
+    home, _, visited = leaves_of(plan, p)
     plan.members = np.maximum(1, np.ceil(np.bincount(home, minlength=count) / share / block)).astype(np.int32)
     plan.visitors = np.maximum(1, np.ceil(np.bincount(visited, minlength=count) / share / block)).astype(np.int32)
-    plan.books = _books(c.astype(np.float32), sub, seed)
+    plan.books = _books(c, sub, seed)
     return plan
 
 
@@ -226,19 +245,25 @@ def vectors_of(column: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.float32).reshape(len(column), -1)
 
 
-def planned(rows: DataFrame, dimensions: int, *, reach: float, sample: int, leaf: int, block: int, axes: int = 24, sub: int = 8, eta: float = 4.0) -> Plan | None:
+def planned(rows: DataFrame, dimensions: int, *, reach: float, sample: int, leaf: int, block: int, axes: int = 24, sub: int = 8, eta: float = 4.0, margin: float | None = None) -> Plan | None:
     """The plan for ``rows`` (id, v ARRAY<FLOAT>), from a sample chosen by a hash of the id."""
     n = rows.count()
     if n < 2:
         return None
     share = min(1_000_000, math.ceil(1_000_000 * sample / n))
-    got = rows.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share).select("v").limit(2 * sample).toPandas()
+    packed = lambda d: d.select("v").mapInPandas(_pack, "vec binary").limit(2 * sample).toPandas().vec
+    got = packed(rows.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share))
     if not len(got):
-        got = rows.select("v").limit(sample).toPandas()
-    return fit(np.stack(got.v.to_numpy()).astype(np.float32), n, reach=reach, leaf=leaf, block=block, axes=axes, sub=sub, eta=eta)
+        got = packed(rows)
+    return fit(vectors_of(got), n, reach=reach, leaf=leaf, block=block, axes=axes, sub=sub, eta=eta, margin=margin)
+
+
+def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        yield pd.DataFrame({"vec": [np.asarray(v, np.float32).tobytes() for v in b.v]})
 
 
-def _spread(rows: DataFrame, plan: Plan, reach: float, more: list[str]) -> DataFrame:
+def _spread(rows: DataFrame, plan: Plan, more: list[str]) -> DataFrame:
     """(leaf, a, b, side, id, vec, more): each vector in all the tasks (leaf, block a, block b) that need it."""
     shared = rows.sparkSession.sparkContext.broadcast(plan)
     kinds = dict(rows.dtypes)
@@ -251,7 +276,7 @@ def _spread(rows: DataFrame, plan: Plan, reach: float, more: list[str]) -> DataF
                 if not len(b):
                     continue
                 x = np.stack(b.v.to_numpy()).astype(np.float32)
-                home, visitor, visited = leaves_of(plan, (x - plan.mean) @ plan.axes.T, reach)
+                home, visitor, visited = leaves_of(plan, (x - plan.mean) @ plan.axes.T)
                 h = pd.util.hash_array(b.id.to_numpy())
                 own = (h % plan.members[home].astype(np.uint64)).astype(np.int32)
                 out: list[tuple[np.ndarray, ...]] = []
@@ -285,12 +310,12 @@ def _top(i: np.ndarray, j: np.ndarray, d: np.ndarray, k: int) -> np.ndarray:
     return keep
 
 
-def similar(df: DataFrame, *, id: str, vector: str, k: int = 4, reach: float = 1.5, dimensions: int = DIMENSIONS, sample: int = 20_000, leaf: int = 1500, block: int = 4096) -> DataFrame:
+def similar(df: DataFrame, *, id: str, vector: str, k: int = 4, reach: float = 1.5, dimensions: int = DIMENSIONS, sample: int = 8_192, leaf: int = 4000, block: int = 8192, margin: float | None = None) -> DataFrame:
     """(id, other, distance): the k nearest others of each vector that are at most ``reach`` away, ties included."""
     rows = usable(df, id, vector, dimensions).dropDuplicates(["id"])
     kind = dict(rows.dtypes)["id"]
     schema = f"id {kind}, other {kind}, distance double"
-    plan = planned(rows, dimensions, reach=reach, sample=sample, leaf=leaf, block=block)
+    plan = planned(rows, dimensions, reach=reach, sample=sample, leaf=leaf, block=block, margin=margin)
     if plan is None:
         return df.sparkSession.createDataFrame([], schema)
     shared = df.sparkSession.sparkContext.broadcast(plan)
@@ -313,5 +338,5 @@ def similar(df: DataFrame, *, id: str, vector: str, k: int = 4, reach: float = 1
                 out.append(pd.DataFrame({"id": ids[i[keep]], "other": ids[j[keep]], "distance": d[keep]}))
         return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"id": pd.Series([], dtype=object), "other": pd.Series([], dtype=object), "distance": pd.Series([], dtype=float)})
 
-    near = map_segments(_spread(rows, plan, reach, []), ["leaf", "a", "b"], ["side"], work, schema)
+    near = map_segments(_spread(rows, plan, []), ["leaf", "a", "b"], ["side"], work, schema)
     return near.withColumn("_r", F.rank().over(W.partitionBy("id").orderBy("distance"))).filter(F.col("_r") <= k).drop("_r")
