@@ -1,16 +1,18 @@
 import numpy as np
 import pandas as pd
+import pytest
 from tidemark.operators import mosaics as M
 from tidemark.operators import series as T
 from tidemark.operators import vision as V
 
 
-def test_unwrap_and_resample(spark):
+@pytest.mark.parametrize("chunk", [3.6e9, 15e6])
+def test_unwrap_and_resample(spark, chunk):
     t = [0, 10, 20, 30, 60]
     d = spark.createDataFrame([(1, x * 1_000_000, h, z) for x, h, z in zip(t, [350.0, 10.0, None, 20.0, 340.0], [None, 2.0, 4.0, float("nan"), 10.0])] + [(2, 5, 90.0, 1.0)], "s int, us bigint, heading double, depth double")
-    u = [r.unwrapped for r in T.unwrap(d, "s", "us", "heading").filter("s = 1").orderBy("us").collect()]
+    u = [r.unwrapped for r in T.unwrap(d, "s", "us", "heading", chunk=chunk).filter("s = 1").orderBy("us").collect()]
     assert u == [350.0, 370.0, None, 380.0, 340.0]
-    r = T.resample(d, "s", "us", ["heading", "depth"], 7, ["heading"]).filter("s = 1").orderBy("frame_index").collect()
+    r = T.resample(d, "s", "us", ["heading", "depth"], 7, ["heading"], chunk=chunk).filter("s = 1").orderBy("frame_index").collect()
     assert [x.frame_index for x in r] == list(range(7)) and [x.us for x in r] == [10_000_000.0 * k for k in range(7)]
     assert np.allclose([x.heading for x in r], [350, 10, 15, 20, 20 - 40 / 3, (20 - 80 / 3) % 360, 340])
     assert r[0].depth is None and np.allclose([x.depth for x in r[1:]], [2, 4, 5.5, 7, 8.5, 10])
@@ -77,3 +79,13 @@ def test_uciqe_and_scoring(spark):
 def test_fusion(spark):
     d = spark.createDataFrame([(0.5, 0.01), (0.51, 0.011), (None, float("nan"))], "anode_classification double, anode_segmentation double")
     assert [r.anode for r in V.fuse(d, ("anode",)).collect()] == [0, 2, 0]
+
+
+@pytest.mark.parametrize("chunk", [10_000, 3])
+def test_runs_and_islands_across_chunks(spark, chunk):
+    flags = [1, 1, 0, None, 1, 1, 1, 1, 0, 1]
+    d = spark.createDataFrame([("a", k, None if f is None else bool(f)) for k, f in enumerate(flags)], "s string, n int, f boolean")
+    got = sorted((r.start, r.flag, r.length) for r in T.flag_runs(d, "s", "n", "f", chunk=chunk).collect())
+    assert got == [(0, True, 2), (2, False, 2), (4, True, 4), (8, False, 1), (9, True, 1)]
+    log = d.selectExpr("1 as inspection_id", "n as frame_index", "f as ok", "2.0 as size_increase")
+    assert sorted((r.start_frame, r.end_frame, r.frames) for r in M.segments(log, chunk=chunk).collect()) == [(0, 2, 2), (4, 8, 4), (9, 9, 1)]

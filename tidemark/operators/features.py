@@ -31,8 +31,9 @@ def standardise(df: DataFrame, group: str, vector: str, width: int, out: str = "
 def components(df: DataFrame, group: str, vector: str, k: int = 50) -> DataFrame:
     """(group, variance ARRAY, axes ARRAY<ARRAY>): principal components of each group, at most k, n and d of them.
 
-    Every batch is reduced to its count, sums and products of elements for each group; these are added up, so no task holds
-    a group. Each axis' largest element is positive. Vectors must be finite and of one length.
+    Every batch is reduced, for each group, to its count, its sum and a factor of its products that has no more rows than the
+    batch and no more than there are elements; the factors are stacked. So what is sent is never more than the data, and
+    no task holds a group. Each axis' largest element is positive. Vectors must be finite and of one length.
     """
     gkind = dict(df.dtypes)[group]
 
@@ -40,20 +41,26 @@ def components(df: DataFrame, group: str, vector: str, k: int = 50) -> DataFrame
         for b in batches:
             for g, rows in b.groupby("g", sort=False):
                 x = np.stack(rows.v.to_numpy()).astype(float)
-                yield pd.DataFrame({"g": [g], "n": [len(x)], "s": [x.sum(0).tobytes()], "p": [(x.T @ x).tobytes()]})
+                r = x if len(x) <= x.shape[1] else np.linalg.qr(x, mode="r")
+                yield pd.DataFrame({"g": [g], "n": [len(x)], "s": [x.sum(0).tobytes()], "r": [r.tobytes()]})
 
     def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-        n = pdf.n.sum()
-        s = sum(np.frombuffer(x) for x in pdf.s)
-        p = sum(np.frombuffer(x).reshape(len(s), -1) for x in pdf.p)
-        val, vec = np.linalg.eigh(p / n - np.outer(s, s) / n**2)
-        m = min(k, int(n), len(s))
-        val, vec = np.maximum(val[::-1][:m], 0), vec[:, ::-1][:, :m].T
+        n = int(pdf.n.sum())
+        mean = sum(np.frombuffer(x) for x in pdf.s) / n
+        r = np.concatenate([np.frombuffer(x).reshape(-1, len(mean)) for x in pdf.r])
+        if len(r) == n:  # the rows themselves
+            _, val, vec = np.linalg.svd(r - mean, full_matrices=False)
+            val = val**2 / n
+        else:
+            val, vec = np.linalg.eigh(r.T @ r / n - np.outer(mean, mean))
+            val, vec = np.maximum(val[::-1], 0), vec[:, ::-1].T
+        m = min(k, n, len(mean))
+        val, vec = val[:m], vec[:m]
         vec = vec * np.sign(vec[np.arange(m), np.abs(vec).argmax(1)])[:, None]
         return pd.DataFrame({"g": [pdf.g.iloc[0]], "variance": [val.tolist()], "axes": [vec.tolist()]})
 
     v = df.select(F.col(group).alias("g"), F.col(vector).alias("v")).filter("g is not null and v is not null")
-    parts = v.mapInPandas(partial, f"g {gkind}, n bigint, s binary, p binary")
+    parts = v.mapInPandas(partial, f"g {gkind}, n bigint, s binary, r binary")
     return parts.groupBy("g").applyInPandas(whole, f"g {gkind}, variance array<double>, axes array<array<double>>").withColumnRenamed("g", group)
 
 

@@ -5,22 +5,23 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.runtime import running
+
 # A mosaic is discarded if it has fewer frames and has grown less.
 LEAST_FRAMES, LEAST_GROWTH = 180, 1.5
 
 
-def segments(log: DataFrame, inspection: str = "inspection_id", index: str = "frame_index", ok: str = "ok", growth: str = "size_increase", *, least_frames: int = LEAST_FRAMES, least_growth: float = LEAST_GROWTH, finish_open: bool = True) -> DataFrame:
+def segments(log: DataFrame, inspection: str = "inspection_id", index: str = "frame_index", ok: str = "ok", growth: str = "size_increase", *, least_frames: int = LEAST_FRAMES, least_growth: float = LEAST_GROWTH, finish_open: bool = True, chunk: float = 10_000) -> DataFrame:
     """(inspection, mosaic_id, start_frame, end_frame, frames, growth, closed) of the kept mosaics.
 
     A frame that isn't ok closes the open mosaic and belongs to none, but is its end. The mosaic still open after
-    the last frame is kept by the same rule unless ``finish_open`` is false. Rows with a null index are ignored; a null ok is not ok.
+    the last frame is kept by the same rule unless ``finish_open`` is false. Rows with a null inspection or index are ignored; a null ok is not ok.
     """
-    fine = F.coalesce(F.col(ok), F.lit(False))
-    w = W.partitionBy(inspection).orderBy(index)
-    d = log.filter(F.col(index).isNotNull()).withColumn("_ok", fine).withColumn("_g", F.coalesce(F.sum((~F.col("_ok")).cast("int")).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    d = log.filter(F.col(inspection).isNotNull() & F.col(index).isNotNull()).withColumn("_ok", F.coalesce(F.col(ok), F.lit(False)))
+    broken = (~F.col("_ok")).cast("bigint")
+    d = running(d, inspection, [index], F.floor(F.col(index) / chunk), "_g", broken).withColumn("_g", F.col("_g") - broken)  # breaks before this frame
     g = d.groupBy(inspection, "_g").agg(
         F.min(F.when(F.col("_ok"), F.col(index))).alias("start_frame"), F.max(index).alias("end_frame"), F.count_if("_ok").alias("frames"),
         F.max_by(growth, F.when(F.col("_ok"), F.col(index))).alias("growth"), F.max((~F.col("_ok")).cast("int")).alias("_closed"))

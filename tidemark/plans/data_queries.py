@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.regular_grid import regular_grid
 from tidemark.operators.spikes import implausible
 from tidemark.operators.timestamps import NONE, day_of, instants_utc, iso_ms
-from tidemark.operators.units import COMMON, common_units, readings
+from tidemark.operators.units import COMMON, UNITS, common_units, readings
 from tidemark.runtime import table
 from tidemark.sources.overlay import instants, reading
 
@@ -85,8 +85,20 @@ def queries() -> dict:
     return {"p2_found": p2_found, "p2_readings": implausible_readings, "p3_found": p3_found, "p5_found": p5_found, "p5_grid": p5_grid, "p6_found": p6_found, "p6_common": p6_common}
 
 
+_UNITS = ", ".join(f"('{q}', '{n.replace(chr(39), chr(39) * 2)}', '{u}', {factor!r}::DOUBLE, {offset!r}::DOUBLE)" for u, (q, factor, offset, names) in UNITS.items() for n in names)
+
+
 def oracle_sql() -> dict[str, str]:
+    """None for p2 and p3, whose definitions are no plain SQL; see the tests."""
     return {
+        # by what is declared alone: with the value, in the key, by the recorder
+        "p6_found": f"""WITH u(q, n, u, f, o) AS (VALUES {_UNITS}), rec AS (SELECT file, min(recorder) AS recorder FROM inspections WHERE file IS NOT NULL GROUP BY 1),
+e AS (SELECT file, start_ms, row_number() OVER (PARTITION BY file, start_ms ORDER BY event_no) AS n, string_split(regexp_replace(text, '^[^}}]*\\}}', ''), '\\N') AS l FROM (SELECT DISTINCT * FROM telemetry_raw)),
+p AS (SELECT k.file, k.start_ms, unnest(k.l) AS k, unnest(v.l[:len(k.l)]) AS v FROM e k JOIN e v ON k.file = v.file AND k.start_ms = v.start_ms AND k.n % 2 = 1 AND v.n = k.n + 1),
+r AS (SELECT file, start_ms, regexp_extract(k, '^(Depth|Rangefinder|Water Temp|Heading|Pitch|Roll|Camera Tilt)', 1) AS name, regexp_replace(regexp_extract(k, '^(?:Depth|Rangefinder|Water Temp|Heading|Pitch|Roll|Camera Tilt)(?:, | in | \\(| \\[)?(.*):$', 1), '[\\])]$', '') AS ku,
+regexp_extract(v, '^([+-]?[0-9]+(?:[.,][0-9]+)?(?:e-?[0-9]+)?)\\s*(.*)$', 1) AS x, regexp_extract(v, '^([+-]?[0-9]+(?:[.,][0-9]+)?(?:e-?[0-9]+)?)\\s*(.*)$', 2) AS vu FROM p),
+s AS (SELECT r.*, CASE WHEN name IN ('Depth', 'Rangefinder') THEN 'length' WHEN name = 'Water Temp' THEN 'temperature' ELSE 'angle' END AS q, CASE name WHEN 'Depth' THEN depth_unit WHEN 'Rangefinder' THEN range_unit WHEN 'Water Temp' THEN temp_unit ELSE angle_unit END AS du FROM r LEFT JOIN rec USING (file) LEFT JOIN recorders USING (recorder) WHERE name <> '' AND x <> '')
+SELECT DISTINCT file, start_ms, name, CAST(round_even((replace(x, ',', '.')::DOUBLE + o) * f * 1000, 0) AS BIGINT) AS milli FROM s JOIN u ON u.q = s.q AND u.n = lower(CASE WHEN vu <> '' THEN vu WHEN ku <> '' THEN ku ELSE du END) WHERE u.u NOT IN ('m', 'deg', 'C')""",
         "p5_found": """WITH t AS (SELECT inspection_id AS i, epoch_us(time) // 10000000 AS s, depth, heading, pitch FROM telemetry WHERE inspection_id IS NOT NULL AND time IS NOT NULL),
 g AS (SELECT i, unnest(generate_series(min(s), max(s))) AS s FROM t GROUP BY i), f AS (SELECT i, s, unnest(['depth', 'heading', 'pitch']) AS field FROM g),
 h AS (SELECT i, s, unnest(['depth', 'heading', 'pitch']) AS field, unnest([depth, heading, pitch]) AS v FROM t), full_ AS (SELECT DISTINCT i, s, field FROM h WHERE v IS NOT NULL AND NOT isnan(v))

@@ -513,3 +513,11 @@ def q_pca(spark: SparkSession, d: str) -> DataFrame:
 def q_reduced(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
     return X.project(e, X.components(e, "label", "embedding", 8), "label", "embedding").select("vec_id", "label", "reduced")
+
+
+@query()
+def q_contextualise(spark: SparkSession, d: str) -> DataFrame:
+    """Similarity edges by standardised telemetry and by the image vectors' components, within inspections."""
+    from tidemark.operators.contextualise import contextualise
+
+    return contextualise(table(spark, d, "features"))["similar"]

@@ -111,3 +111,35 @@ def ranked_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str], chun
         F.when(at >= block - halo, F.struct((home + 1).alias("block"), F.lit(False).alias("own"))),
     )
     return rows.withColumn("_b", F.explode(F.filter(lent, lambda x: x.isNotNull()))).select("*", "_b.block", "_b.own").drop("_b")
+
+
+def carried(df: DataFrame, source: str, order: Sequence[str], chunk: "F.Column", values: dict[str, "F.Column"], *, back: bool = False) -> DataFrame:
+    """Add, for each named value, its last non-null one in the rows of the same source before this one (``back``: after it).
+
+    Two levels, so that no task sees a whole source: windows within chunks of it, and windows over one row a chunk.
+    ``chunk`` must rise with the order.
+    """
+    from pyspark.sql import Window as W
+
+    turn = (lambda c: F.desc(c)) if back else (lambda c: F.asc(c))
+    d = df.withColumn("_chunk", chunk).withColumns({f"_v_{n}": v for n, v in values.items()})
+    within = W.partitionBy(source, "_chunk").orderBy(*[turn(c) for c in order]).rowsBetween(W.unboundedPreceding, -1)
+    key = F.struct(*order)
+    end = (F.min_by if back else F.max_by)
+    ends = d.groupBy(source, "_chunk").agg(*[end(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), key)).alias(f"_e_{n}") for n in values])
+    over = W.partitionBy(source).orderBy(turn("_chunk")).rowsBetween(W.unboundedPreceding, -1)
+    ends = ends.select(source, "_chunk", *[F.last(f"_e_{n}", ignorenulls=True).over(over).alias(f"_c_{n}") for n in values])
+    d = d.join(ends, [source, "_chunk"])
+    return d.withColumns({n: F.coalesce(F.last(f"_v_{n}", ignorenulls=True).over(within), F.col(f"_c_{n}")) for n in values}).drop("_chunk", *[f"{p}{n}" for n in values for p in ("_v_", "_c_")])
+
+
+def running(df: DataFrame, source: str, order: Sequence[str], chunk: "F.Column", out: str, value: "F.Column") -> DataFrame:
+    """Add the running sum of a value, this row's included, over a source's rows in order; in two levels like ``carried``."""
+    from pyspark.sql import Window as W
+
+    d = df.withColumn("_chunk", chunk).withColumn("_x", value)
+    within = W.partitionBy(source, "_chunk").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    over = W.partitionBy(source).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
+    sums = d.groupBy(source, "_chunk").agg(F.sum("_x").alias("_s")).select(source, "_chunk", F.sum("_s").over(over).alias("_before"))
+    d = d.join(sums, [source, "_chunk"])
+    return d.withColumn(out, F.sum("_x").over(within) + F.coalesce("_before", F.lit(0))).drop("_chunk", "_x", "_before")
