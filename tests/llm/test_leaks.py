@@ -69,3 +69,15 @@ def test_repeated_rows(spark):
     held = spark.createDataFrame([(9, text), (9, text)], "item_id bigint, text string")
     got = leaks(docs, held, id="doc_id", text="text", item_id="item_id", item_text="text").distinct().collect()
     assert {(r.id, r.item) for r in got} == {(1, 9), (2, 9)}
+
+
+def test_the_hardest_edits(spark):
+    """32 words with four edits so that only three windows of six stay whole."""
+    r = random.Random(0)
+    item = r.sample(WORDS, 60)
+    part = item[10:42]
+    for at in (6, 12, 19, 25):
+        part[at] = "edited"
+    docs = spark.createDataFrame([(1, " ".join(["x"] * 20 + part + ["y"] * 20)), (2, " ".join(part[:27]))], "doc_id bigint, text string")
+    held = spark.createDataFrame([(9, " ".join(item))], "item_id bigint, text string")
+    assert [(x.id, x.item) for x in leaks(docs, held, id="doc_id", text="text", item_id="item_id", item_text="text").collect()] == [(1, 9)]

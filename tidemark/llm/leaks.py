@@ -4,8 +4,8 @@ Method. Both sides become words (case, punctuation and spacing ignored) and ever
 64-bit SimHash of its weighted shingles (pairs of words weigh twice as much as words). The window is sized to the
 passage that counts as a leak: a stretch of ``least`` item words with at most one in ``one_in`` words edited must
 hold ``window`` words in a row without an edit (of 30 words with 3 edits: four runs of 27 words, one of at least
-six; longer stretches have at least six too), so each leak has windows at Hamming distance 0 and at least four
-of them. The items' fingerprints are held in a multi-index of ``radius + 1`` blocks: two fingerprints
+six; longer stretches have at least six too), so each leak has windows at Hamming distance 0 and at least three
+of them (32 words with 4 edits leave three, all other lengths more). The items' fingerprints are held in a multi-index of ``radius + 1`` blocks: two fingerprints
 within the radius agree in at least one block, so looking up all blocks finds every pair within the radius,
 for certain. Candidates are document and item with at least ``votes`` agreeing item positions near one
 diagonal; they are verified by the weighted similarity of the words of both stretches, and then exactly, by an
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\W_]+")
-DROP = re.compile("['’`´­​‌‍﻿]")
+DROP = re.compile("['`\u2019\u00b4\u00ad\u200b\u200c\u200d\ufeff]")  # apostrophes, and characters without width
 SLICE = 100_000
 
 
@@ -210,7 +210,7 @@ def find(index: Index, ids: list, texts: list[str], least: int, one_in: int, vot
     return list(found)
 
 
-def leaks(docs: DataFrame, items: DataFrame, *, id: str, text: str, item_id: str, item_text: str, window: int = 6, radius: int = 3, least: int = 30, one_in: int = 8, votes: int = 4, alike: float = 0.5, reach: int = 14, index_words: int = 2_000_000) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, *, id: str, text: str, item_id: str, item_text: str, window: int = 6, radius: int = 3, least: int = 30, one_in: int = 8, votes: int = 3, alike: float = 0.5, reach: int = 14, index_words: int = 2_000_000) -> DataFrame:
     """(id, item) of every document that holds a stretch of an item. See the module's text."""
     spark = docs.sparkSession
     held = items.select(F.col(item_id).alias("item"), F.col(item_text).alias("t")).filter("item is not null and t is not null")
