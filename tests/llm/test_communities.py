@@ -72,3 +72,21 @@ def test_modularity():
 def test_empty(spark):
     df = spark.createDataFrame([], "frame_id string, inspection_id int, img array<float>")
     assert clusters(df, id="frame_id", group="inspection_id", vector="img").count() == 0
+
+
+def test_groups_are_the_same_in_one_task_and_in_many(spark):
+    """Graph, communities and typical members must not depend on which way a group goes."""
+    rows = []
+    for g, n in ((1, 300), (2, 60)):
+        r = np.random.default_rng(g)
+        line = np.cumsum(np.r_[0, r.choice([0.35, 0.7, 1.3], 119)])  # one cluster of several communities
+        x = np.concatenate([made(n, seed=g), np.c_[line + 100, r.normal(0, 0.02, (120, 15))].astype(np.float32), np.repeat(made(1, seed=9)[:1], 30, 0)])
+        rows += [(f"g{g}.{i:04d}", g, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "frame_id string, inspection_id int, img array<float>")
+    q = df.selectExpr("frame_id", "cast(hash(frame_id) as double) uciqe", "1.0D depth")
+    got = {}
+    for whole in (4096, 40):
+        found = clusters(df, id="frame_id", group="inspection_id", vector="img", dimensions=16, whole=whole).cache()
+        got[whole] = {tuple(r) for r in found.collect()}, {str(r) for r in describe(found, q, id="frame_id", quality="uciqe", depth="depth").collect()}
+    assert got[40] == got[4096]
+    assert max(int(s.split("communities=")[1].split(",")[0]) for s in got[40][1]) > 1

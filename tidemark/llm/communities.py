@@ -1,21 +1,27 @@
 """Clusters of mutually similar vectors within groups, described by size and typical members.
 
 Method. Within a group (an inspection) an approximate nearest-neighbour graph is built by neighbour descent: random
-neighbours are improved by the neighbours of neighbours until hardly any changes. Its edges of at most
+neighbours are improved by the neighbours of neighbours until hardly any changes. The distance of the k-th found bounds
+a scan that completes the lists, so that they are the k nearest (of equally near ones those of the least id). The edges of at most
 ``reach``, weighted by closeness, are divided into communities by modularity (local moves, then moves of whole
 communities); members are described by their weighted degree inside their community. An exact check follows: the
 graph's pieces are joined wherever any two of their vectors are at most ``reach`` apart, pieces being told apart by
 their centres and radii first. So a cluster is exactly what chains of steps of at most ``reach`` connect, and the
 communities are its parts.
 
-Scale. Groups of at most ``whole`` vectors are worked on in one task each, many to a batch. Larger ones go
-another, exact way that no group is too large for: all near pairs are found by the partitioned scan of
-``vectors``, every task reduces its pairs to a star for each piece, and the stars are joined by alternating star
-contractions, cut by reliable checkpoints. Their communities are the clusters themselves.
+Local moves are made in rounds, each by the half of the nodes whose id's hash says so, all at once, so that neighbours
+seldom change places. Weights are whole numbers, so that sums don't depend on their order: one task and many come
+to the same communities.
+
+Scale. Groups of at most ``whole`` vectors are worked on in one task each, many to a batch. Larger ones have
+all near pairs found by the partitioned scan of ``vectors``, where every task reduces its pairs to a star for each piece
+and to the k nearest of each vector. The stars are joined to clusters by alternating star contractions, cut by reliable
+checkpoints; the k nearest are the graph. A node's moves depend on its cluster alone and on the group's whole weight, so
+clusters of few edges are divided in one task each, and the rest by the same rounds as joins.
 
 Defined results. Vectors that are null, not of the given length or not finite, and rows with a null id or group take no
-part. A repeated id counts once. Clusters under ``least`` members are noise. Nothing depends on row order but the
-names of communities. Extra columns are ignored.
+part. A repeated id counts once. Clusters under ``least`` members are noise. Nothing depends on row order or on ``whole``; a
+community is named by its cluster and its least id. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,6 +36,10 @@ from tidemark.llm.vectors import DIMENSIONS, _spread, near_pairs, planned, usabl
 from tidemark.operators.components import connected, pieces
 from tidemark.runtime import cut, map_segments
 
+ROUNDS = 16  # of moves at one level
+UNIT = 1e6  # weights are whole multiples of one in so many
+LEAST_GAIN = 1e-6
+
 
 def neighbour_descent(x: np.ndarray, k: int, seed: int = 1, rounds: int = 12, enough: float = 0.002) -> tuple[np.ndarray, np.ndarray]:
     """(neighbours, distances), each (n, k): approximately the k nearest others of each row, nearest first."""
@@ -74,78 +84,98 @@ def neighbour_descent(x: np.ndarray, k: int, seed: int = 1, rounds: int = 12, en
     return np.take_along_axis(near, o, 1), np.sqrt(np.maximum(np.take_along_axis(dist, o, 1), 0))
 
 
-def modularity_communities(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, passes: int = 10) -> np.ndarray:
-    """A community for each of n nodes, by greedy moves that raise modularity, on ever coarser graphs. Edges once each."""
+def modularity_communities(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, passes: int = 10, total: float | np.ndarray | None = None, hashes: np.ndarray | None = None) -> np.ndarray:
+    """The least node of its community for each of n nodes, by moves that raise modularity, on ever coarser graphs. Edges once each.
+
+    total: the sum of all degrees, of each node's graph if there are several; that of these edges if not given.
+    hashes: 64 bits for each node, which say in what rounds it may move.
+    """
     label = np.arange(n)
-    edges = list(zip(a.tolist(), b.tolist(), w.tolist(), strict=True))
-    size = n
+    hashes = pd.util.hash_array(label).view(np.int64) if hashes is None else hashes
+    m = np.broadcast_to(np.asarray(2 * w.sum() if total is None else total, float), n)
     for _ in range(passes):
-        links: list[dict[int, float]] = [{} for _ in range(size)]
-        degree = [0.0] * size
-        for i, j, weight in edges:
-            degree[i] += weight
-            degree[j] += weight
-            if i != j:
-                links[i][j] = links[i].get(j, 0.0) + weight
-                links[j][i] = links[j].get(i, 0.0) + weight
-        total = sum(degree)
-        if not total:
+        if not len(a):
             break
-        own, weight_of = list(range(size)), degree[:]
-        moved_any = moved = True
-        moved_any = False
-        sweeps = 0
-        while moved and sweeps < passes:
-            moved, sweeps = False, sweeps + 1
-            for i in range(size):
-                if not links[i]:
-                    continue
-                to: dict[int, float] = {}
-                for j, weight in links[i].items():
-                    to[own[j]] = to.get(own[j], 0.0) + weight
-                here = own[i]
-                weight_of[here] -= degree[i]
-                best, gain = here, to.get(here, 0.0) - degree[i] * weight_of[here] / total
-                for c in sorted(to):
-                    g = to[c] - degree[i] * weight_of[c] / total
-                    if g > gain + 1e-12:
-                        best, gain = c, g
-                weight_of[best] += degree[i]
-                if best != here:
-                    own[i], moved, moved_any = best, True, True
-        if not moved_any:
+        own = _moves(n, a, b, w, m, hashes)
+        if (own == np.arange(n)).all():
             break
-        names = {c: k for k, c in enumerate(dict.fromkeys(own))}
-        step = np.array([names[c] for c in own])
-        label = step[label]
-        size = len(names)
-        merged: dict[tuple[int, int], float] = {}
-        for i, j, weight in edges:
-            key = (min(step[i], step[j]), max(step[i], step[j]))
-            merged[key] = merged.get(key, 0.0) + weight
-        edges = [(int(i), int(j), weight) for (i, j), weight in merged.items()]
+        label = own[label]
+        ends, at = np.unique(np.minimum(own[a], own[b]) * n + np.maximum(own[a], own[b]), return_inverse=True)
+        a, b, w = ends // n, ends % n, np.bincount(at, w)
     return label
 
 
-def clusters_of(x: np.ndarray, reach: float, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(piece, community, weighted degree within the community) of each row of one group."""
+def _moves(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, m: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """One level of local moves: for each node the least node of the community that it comes to."""
+    degree = np.bincount(a, w, n) + np.bincount(b, w, n)
+    apart = a != b
+    u, v, x = np.r_[a[apart], b[apart]], np.r_[b[apart], a[apart]], np.r_[w[apart], w[apart]]
+    own = np.arange(n)
+    for r in range(ROUNDS):
+        weight = np.bincount(own, degree, n)
+        key, at = np.unique(u * n + own[v], return_inverse=True)
+        of, to, by = key // n, key % n, np.bincount(at, x)
+        here = np.zeros(n)
+        home = to == own[of]
+        here[of[home]] = by[home]
+        stay = here - degree * (weight[own] - degree) / m
+        gain = by - degree[of] * weight[to] / m[of]
+        ok = np.flatnonzero((to != own[of]) & (gain > stay[of] + LEAST_GAIN))
+        if not len(ok):
+            break
+        ok = ok[np.lexsort((to[ok], -gain[ok], of[ok]))]
+        ok = ok[np.r_[True, of[ok][1:] != of[ok][:-1]]]
+        ok = ok[(hashes[of[ok]] >> r) & 1 == 0]
+        own[of[ok]] = to[ok]
+    low = np.full(n, n)
+    np.minimum.at(low, own, np.arange(n))
+    return low[own]
+
+
+def nearest(x: np.ndarray, k: int, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, distance): the k nearest others of each row that are at most ``reach`` away, of equal ones the first rows."""
+    n = len(x)
+    wide = x.astype(np.float64)
+    c = wide - wide.mean(0)
+    near, dist = neighbour_descent(c, k)
+    s = np.sort(near, 1)
+    bound = np.where((s[:, 1:] == s[:, :-1]).any(1), reach, np.minimum(dist[:, -1], reach))
+    copy = pd.Series(pd.factorize(np.array([v.tobytes() for v in x], dtype=object))[0])
+    cols = np.flatnonzero(copy.groupby(copy).cumcount().to_numpy() <= k)  # further copies are never among the first
+    sq = (c * c).sum(1)
+    out = [(np.empty(0, int), np.empty(0, int), np.empty(0))]
+    for lo in range(0, n, 256):
+        d = sq[lo : lo + 256, None] + sq[cols][None] - 2 * c[lo : lo + 256] @ c[cols].T
+        i, j = np.nonzero(d <= (bound[lo : lo + 256, None] + 1e-3) ** 2 + 1e-3)
+        i, j = i + lo, cols[j]
+        i, j = i[i != j], j[i != j]
+        e = np.concatenate([np.sqrt(((wide[i[p : p + 20_000]] - wide[j[p : p + 20_000]]) ** 2).sum(1)) for p in range(0, len(i), 20_000)] or [np.empty(0)])
+        first = _first(i, j, e, k)
+        first = first[e[first] <= reach]
+        out.append((i[first], j[first], e[first]))
+    return tuple(np.concatenate([o[p] for o in out]) for p in range(3))
+
+
+def _first(i: np.ndarray, j: np.ndarray, d: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k nearest of each i, of equal ones the least j."""
+    o = np.lexsort((j, d, i))
+    new = np.flatnonzero(np.r_[True, i[o][1:] != i[o][:-1]]) if len(o) else o
+    return o[np.arange(len(o)) - np.repeat(new, np.diff(np.r_[new, len(o)])) < k]
+
+
+def clusters_of(x: np.ndarray, reach: float, k: int, hashes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(piece, community, weighted degree within the community) of each row of one group; both named by their least row."""
     n = len(x)
     if n == 1:
         return np.zeros(1, int), np.zeros(1, int), np.zeros(1)
-    x = x.astype(np.float64)
-    c = x - x.mean(0)
-    near, dist = neighbour_descent(c, k)
-    i, j = np.repeat(np.arange(n), near.shape[1]), near.ravel()
-    e = np.unique(np.stack([np.minimum(i, j), np.maximum(i, j)], 1)[dist.ravel() <= reach + 1e-3], axis=0)
-    a, b = (e[:, 0], e[:, 1]) if len(e) else (np.empty(0, int), np.empty(0, int))
-    d = np.sqrt(((x[a] - x[b]) ** 2).sum(1))
-    a, b, d = a[d <= reach], b[d <= reach], d[d <= reach]
-    w = 1 / (0.05 * reach + d)
-    community = modularity_communities(n, a, b, w)
+    i, j, d = nearest(x, k, reach)
+    _, one = np.unique(np.minimum(i, j) * n + np.maximum(i, j), return_index=True)
+    a, b, w = np.minimum(i, j)[one], np.maximum(i, j)[one], np.rint(UNIT / (0.05 * reach + d[one]))
+    community = modularity_communities(n, a, b, w, hashes=hashes)
     inside = community[a] == community[b]
-    degree = np.bincount(a[inside], w[inside], n) + np.bincount(b[inside], w[inside], n)
+    degree = (np.bincount(a[inside], w[inside], n) + np.bincount(b[inside], w[inside], n)) / UNIT
     piece = pieces(n, a, b)
-    more = _joins(x, piece, reach)
+    more = _joins(x.astype(np.float64), piece, reach)
     if len(more):
         piece = pieces(n, np.r_[a, more[:, 0]], np.r_[b, more[:, 1]])
     return piece, community, degree
@@ -194,26 +224,26 @@ def clusters(df: DataFrame, *, id: str, group: str, vector: str, reach: float =
         least, community, degree = np.empty(len(batch), dtype=object), np.empty(len(batch), dtype=object), np.zeros(len(batch))
         for s, e in zip(starts, np.r_[starts[1:], len(batch)], strict=True):
             x = np.stack(batch.v.iloc[s:e].to_numpy())
-            piece, com, degree[s:e] = clusters_of(x, reach, k)
+            piece, com, degree[s:e] = clusters_of(x, reach, k, batch["hash"].to_numpy()[s:e])
             own = ids[s:e]
             least[s:e] = own[piece]  # rows are sorted by id, so the least row is the least id
-            community[s:e] = np.char.add(np.char.add(own[piece].astype(str), "/"), com.astype(str))
+            community[s:e] = np.char.add(np.char.add(own[piece].astype(str), "/"), own[com].astype(str))
         return pd.DataFrame({"id": ids, "group": batch.group, "cluster": least, "community": community, "degree": degree})
 
     small = rows.join(large, "group", "left_anti") if not large.isEmpty() else rows
-    out = map_segments(small.select("group", "id", "v"), ["group"], ["id"], work, schema)
+    out = map_segments(small.select("group", "id", "v", F.xxhash64("id").alias("hash")), ["group"], ["id"], work, schema)
     if large.isEmpty():
         return out
-    return out.unionByName(_large(rows.join(large, "group", "left_semi"), reach, dimensions, schema))
+    return out.unionByName(_large(rows.join(large, "group", "left_semi"), reach, k, dimensions, whole))
 
 
-def _large(rows: DataFrame, reach: float, dimensions: int, schema: str) -> DataFrame:
+def _large(rows: DataFrame, reach: float, k: int, dimensions: int, whole: int) -> DataFrame:
     plan = planned(rows.select("id", "v"), dimensions, reach=reach, sample=8_192, leaf=4000, block=8192, margin=reach)
     shared = rows.sparkSession.sparkContext.broadcast(plan)
     kind = dict(rows.dtypes)["id"]
 
     def work(batch: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
-        out = [pd.DataFrame({"u": pd.Series([], dtype=object), "v": pd.Series([], dtype=object), "degree": pd.Series([], dtype=float)})]
+        out = [pd.DataFrame({"u": pd.Series([], dtype=object), "v": pd.Series([], dtype=object), "d": pd.Series([], dtype=float)})]
         side, ids, group = batch.side.to_numpy(), batch.id.to_numpy(), batch.group.to_numpy()
         a, b = batch.a.to_numpy(), batch.b.to_numpy()
         for s, e in zip(starts, np.r_[starts[1:], len(batch)], strict=True):
@@ -225,21 +255,91 @@ def _large(rows: DataFrame, reach: float, dimensions: int, schema: str) -> DataF
             i, j, d = near_pairs(vectors_of(batch.vec.iloc[left]), None if one else vectors_of(batch.vec.iloc[right]), shared.value, reach)
             i, j = left[i] - s, (left if one else right)[j] - s
             same = group[s + i] == group[s + j]
-            i, j, w = i[same], j[same], 1 / (0.05 * reach + d[same])
+            i, j, d = i[same], j[same], d[same]
             root = pieces(e - s, i, j)
             rank = np.argsort(np.argsort(ids[s:e]))  # name pieces by their least id
             low = np.full(e - s, e - s)
             np.minimum.at(low, root, rank)
             name = ids[s:e][np.argsort(rank)][low[root]]
-            degree = np.bincount(i, w, e - s) + np.bincount(j, w, e - s)
-            out.append(pd.DataFrame({"u": ids[s:e], "v": name, "degree": degree}))
+            out.append(pd.DataFrame({"u": ids[s:e], "v": name, "d": -1.0}))
+            i, j, d = np.r_[i, j], np.r_[j, i], np.r_[d, d]
+            first = _first(i, rank[j], d, k)
+            out.append(pd.DataFrame({"u": ids[s + i[first]], "v": ids[s + j[first]], "d": d[first]}))
         return pd.concat(out, ignore_index=True)
 
-    stars = cut(map_segments(_spread(rows, plan, ["group"]), ["leaf", "a", "b"], ["side"], work, f"u {kind}, v {kind}, degree double"))
-    label = connected(stars.select("u", "v"))
-    degree = stars.groupBy("u").agg(F.sum("degree").alias("degree"))
-    named = rows.select("id", "group").join(degree.withColumnRenamed("u", "id"), "id", "left").join(label.withColumnRenamed("u", "id"), "id", "left")
-    return named.select("id", "group", F.coalesce("label", "id").alias("cluster"), F.concat(F.coalesce("label", "id").cast("string"), F.lit("/0")).alias("community"), F.coalesce("degree", F.lit(0.0)).alias("degree"))
+    found = cut(map_segments(_spread(rows, plan, ["group"]), ["leaf", "a", "b"], ["side"], work, f"u {kind}, v {kind}, d double"))
+    label = connected(found.filter("d < 0").select("u", "v"))
+    named = cut(rows.select("id", "group").join(label.withColumnRenamed("u", "id"), "id", "left").select("id", "group", F.coalesce("label", "id").alias("cluster")))
+    near = found.filter("d >= 0").withColumn("_r", F.row_number().over(W.partitionBy("u").orderBy("d", "v"))).filter(F.col("_r") <= k)
+    edges = near.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"), F.rint(F.lit(UNIT) / (F.lit(0.05 * reach) + F.col("d"))).cast("long").alias("w")).dropDuplicates(["a", "b"])
+    edges = edges.join(named.withColumnRenamed("id", "a"), "a")
+    edges = cut(edges.join(edges.groupBy("group").agg((2 * F.sum("w")).cast("double").alias("m")), "group").select("cluster", "a", "b", "w", "m"))
+    community = cut(_divided(edges, kind, 4 * whole))
+    of = lambda end: community.toDF(end, f"c{end}")
+    inside = edges.join(of("a"), "a").join(of("b"), "b").filter("ca = cb")
+    degree = inside.select(F.explode(F.array("a", "b")).alias("id"), "w").groupBy("id").agg((F.sum("w") / F.lit(UNIT)).alias("degree"))
+    return named.join(community.toDF("id", "c"), "id", "left").join(degree, "id", "left").select(
+        "id", "group", "cluster", F.concat(F.col("cluster").cast("string"), F.lit("/"), F.coalesce("c", "id").cast("string")).alias("community"), F.coalesce("degree", F.lit(0.0)).alias("degree"))
+
+
+def _divided(edges: DataFrame, kind: str, most: int, passes: int = 10) -> DataFrame:
+    """(u, label): the communities of ``edges`` (cluster, a, b, w, m), as ``modularity_communities`` has them; clusters of over ``most`` edges by joins."""
+    parts, names = [], None
+
+    def within(left: int):  # noqa: ANN202
+        def work(batch: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+            name, at = np.unique(np.r_[batch.a.to_numpy(), batch.b.to_numpy()], return_inverse=True)
+            a, b = at[: len(batch)], at[len(batch) :]
+            m, hashes = np.ones(len(name)), np.zeros(len(name), np.int64)
+            m[a] = m[b] = batch.m.to_numpy()
+            hashes[a], hashes[b] = batch.ha.to_numpy(), batch.hb.to_numpy()
+            return pd.DataFrame({"node": name, "label": name[modularity_communities(len(name), a, b, batch.w.to_numpy().astype(float), left, m, hashes)]})
+
+        return work
+
+    for left in range(passes, 0, -1):
+        big = cut(edges.groupBy("cluster").count().filter(F.col("count") > most).select("cluster"))
+        last = big.isEmpty()
+        few = (edges if last else edges.join(big, "cluster", "left_anti")).withColumns({"ha": F.xxhash64("a"), "hb": F.xxhash64("b")})
+        done = map_segments(few, ["cluster"], ["a", "b"], within(left), f"node {kind}, label {kind}")
+        parts.append(done.toDF("u", "label") if names is None else names.join(done, "node").select("u", "label"))
+        if last:
+            break
+        edges = edges.join(big, "cluster", "left_semi")
+        moved = _moves_spread(edges)
+        names = cut(moved.toDF("u", "node") if names is None else names.join(moved, "node").select("u", F.col("label").alias("node")))
+        to = lambda end, moved=moved: moved.toDF(end, f"n{end}")
+        edges = cut(edges.join(to("a"), "a").join(to("b"), "b").groupBy("cluster", "m", F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).agg(F.sum("w").alias("w")).select("cluster", "a", "b", "w", "m"))
+    else:
+        parts.append(names.select("u", F.col("node").alias("label")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _moves_spread(edges: DataFrame) -> DataFrame:
+    """(node, label): ``_moves`` over the cluster."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e"), "w", "m").select("e.u", "e.v", "w", "m")
+    both = cut(ends.filter("u <> v").select("u", "v", "w"))
+    own = cut(ends.groupBy("u").agg(F.sum("w").cast("double").alias("degree"), F.first("m").alias("m")).withColumn("c", F.col("u")))
+    for r in range(ROUNDS):
+        weight = own.groupBy("c").agg(F.sum("degree").alias("weight"))
+        by = both.join(own.select(F.col("u").alias("v"), F.col("c").alias("to")), "v").groupBy("u", "to").agg(F.sum("w").cast("double").alias("by"))
+        gain = F.col("by") - F.col("degree") * F.col("weight") / F.col("m")
+        best = by.join(own, "u").join(weight.toDF("to", "weight"), "to").groupBy("u").agg(
+            F.max(F.when(F.col("to") == F.col("c"), F.col("by"))).alias("here"),
+            F.min(F.when(F.col("to") != F.col("c"), F.struct((-gain).alias("loss"), "to"))).alias("best"))
+        stay = F.coalesce("here", F.lit(0.0)) - F.col("degree") * (F.col("weight") - F.col("degree")) / F.col("m")
+        goes = F.coalesce(-F.col("best.loss") > stay + F.lit(LEAST_GAIN), F.lit(False))
+        turn = F.shiftright(F.xxhash64("u"), r).bitwiseAND(F.lit(1)) == 0
+        own = cut(own.join(weight, "c").join(best, "u", "left").select("u", "degree", "m", F.when(goes & turn, F.col("best.to")).otherwise(F.col("c")).alias("c"), goes.alias("goes")))
+        settled = own.filter("goes").isEmpty()
+        own = own.drop("goes")
+        if settled:
+            break
+    low = own.groupBy("c").agg(F.min("u").alias("label"))
+    return cut(own.join(low, "c").select(F.col("u").alias("node"), "label"))
 
 
 def same_cluster_pairs(found: DataFrame, least: int = 5) -> DataFrame:
