@@ -48,3 +48,18 @@ def test_defined_results(spark):
     got = {r.id for r in truncated(df, id="doc_id", text="text", source="source").collect()}
     assert got >= {6} and not got & {1, 2, 3, 5}
     assert truncated(df.limit(0), id="doc_id", text="text", source="source").count() == 0
+
+
+def test_copies_of_a_cut_text_are_no_proper_ends(spark):
+    rows, cut = corpus()
+    full = "The newer grinder wheel ran hot all through the second shift and the operator had to wait for an hour before " * 2
+    rows += [(10_000 + k, full[:114] + "...", "limited") for k in range(40)]  # cut back to a word and marked, within the slack of 120
+    part = "My second unit came apart in my hands in the worksh"
+    rows += [(20_000 + k, part + ("…" if k % 2 else ""), "unlimited") for k in range(40)]
+    half = "My second unit fits a narrow rail by a wide"
+    rows += [(30_000 + k, half, "unlimited") for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = {r.id for r in truncated(df, id="doc_id", text="text", source="source").collect()}
+    for first in (10_000, 20_000, 30_000):
+        assert got >= set(range(first, first + 40)), first
+    assert len(got - cut - set(range(10_000, 40_000))) <= 0.03 * len(got)

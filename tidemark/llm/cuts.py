@@ -2,7 +2,9 @@
 
 Method, in SQL alone. Texts are taken apart into lower-case words (numbers alike) and stops; for each trigram
 of words the corpus is counted: how often a further word of the same sentence follows (inside), how often a stop
-(ended), how often the text is over without one (open). The same is counted for the pairs and words that the
+(ended), how often the text is over without one (open). Copies of a text count once, and so do open ends after the same
+``CONTEXT`` words: copies of a cut text say nothing of how sentences end. Only texts of no more words than that,
+which many authors write alike, count each time; so copies in numbers of so short a cut text pass for such a phrase. The same is counted for the pairs and words that the
 trigrams back off to, and for the beginnings of words after the same two words. A text without a stop at its end
 has its last trigram looked up:
 
@@ -33,6 +35,8 @@ MARK = r"(?:\s*(?:\x{FFFD}+|…|\.{3,}|\[…\]|\[\.{3}\]))+$"
 # Words and stops; commas and their like are neither.
 TOKEN = r"[\p{L}\p{M}\p{N}]+(?:['’][\p{L}\p{M}\p{N}]+)*['’]?|[^\p{L}\p{M}\p{N}\s,;:'’–—\-]"
 PAUSE = r"[,;:–—\-(]$"
+# So many words before an open end are its context.
+CONTEXT = 8
 OPEN_END = r"[\p{L}\p{M}\p{N}'’]$"
 
 
@@ -50,11 +54,26 @@ def _tokens(df: DataFrame, id: str, text: str, source: str) -> DataFrame:
     )
 
 
+def _last() -> "list[F.Column]":
+    """The last three words of tok."""
+    return [F.expr("if(tok[size(tok) - 2] = '.', '.', tok[size(tok) - 3])").alias("w1"), F.expr("tok[size(tok) - 2]").alias("w2"), F.expr("tok[size(tok) - 1]").alias("w3")]
+
+
+def _once(t: DataFrame) -> DataFrame:
+    """(tok, n) of each text, whatever mark, space or case its copies have: n is 1, for short texts the number of copies."""
+    once = t.select("tok", F.md5(F.concat_ws(" ", "tok")).alias("_k")).groupBy("_k").agg(F.first("tok").alias("tok"), F.count(F.lit(1)).alias("n"))
+    return once.select("tok", F.when(F.size("tok") - 2 <= CONTEXT, F.col("n")).otherwise(1).alias("n"))
+
+
 def _trigrams(t: DataFrame) -> DataFrame:
-    """(w1, w2, w3, inside, ended, open): counts over all positions of all texts."""
-    at = t.filter("size(tok) > 2").select("tok", F.posexplode("tok").alias("i", "w3")).filter("i >= 2 and w3 <> '.'")
-    rows = at.select(F.expr("if(tok[i - 1] = '.', '.', tok[i - 2])").alias("w1"), F.expr("tok[i - 1]").alias("w2"), "w3", F.expr("get(tok, i + 1)").alias("w4"))
-    return rows.groupBy("w1", "w2", "w3").agg(F.count_if(F.col("w4") != ".").alias("inside"), F.count_if(F.col("w4") == ".").alias("ended"), F.count_if(F.col("w4").isNull()).alias("open"))
+    """(w1, w2, w3, inside, ended, open): counts over all positions of the distinct texts; open over distinct contexts."""
+    once = _once(t).filter("size(tok) > 2")
+    at = once.select("tok", "n", F.posexplode("tok").alias("i", "w3")).filter("i >= 2 and i < size(tok) - 1 and w3 <> '.'")
+    rows = at.select(F.expr("if(tok[i - 1] = '.', '.', tok[i - 2])").alias("w1"), F.expr("tok[i - 1]").alias("w2"), "w3", F.expr("tok[i + 1]").alias("w4"), "n")
+    inner = rows.groupBy("w1", "w2", "w3").agg(F.sum(F.when(F.col("w4") != ".", F.col("n")).otherwise(0)).alias("inside"), F.sum(F.when(F.col("w4") == ".", F.col("n")).otherwise(0)).alias("ended"))
+    ends = once.filter("element_at(tok, -1) <> '.'").select(*_last(), F.expr(f"slice(tok, greatest(1, size(tok) - {CONTEXT - 1}), {CONTEXT})").alias("context"), "n").groupBy("w1", "w2", "w3", "context").agg(F.max("n").alias("n"))
+    outer = ends.groupBy("w1", "w2", "w3").agg(F.sum("n").alias("open"))
+    return inner.join(outer, ["w1", "w2", "w3"], "full").fillna(0, ["inside", "ended", "open"])
 
 
 def _with_prefixes(tri: DataFrame, keys: list[str]) -> DataFrame:
@@ -84,8 +103,7 @@ def cut_features(df: DataFrame, *, id: str, text: str, source: str, least: int =
     two = tri.groupBy("w2", "w3").agg(*[F.sum(c).alias(f"{c}2") for c in ("inside", "ended", "open")])
     one = tri.groupBy("w3").agg(*[F.sum(c).alias(f"{c}1") for c in ("inside", "ended", "open")])
     ends = t.filter("bare or pause or mark <> ''").filter("size(tok) > 2").select(
-        "id", "source", "chars", "bytes", "mark", "space", "pause", "bare",
-        F.expr("if(tok[size(tok) - 2] = '.', '.', tok[size(tok) - 3])").alias("w1"), F.expr("tok[size(tok) - 2]").alias("w2"), F.expr("tok[size(tok) - 1]").alias("w3"))
+        "id", "source", "chars", "bytes", "mark", "space", "pause", "bare", *_last())
     e = ends.join(tri, ["w1", "w2", "w3"], "left").join(two, ["w2", "w3"], "left").join(one, ["w3"], "left")
     for keys, name in ((["w1", "w2"], "longer3"), (["w2"], "longer2"), ([], "longer1")):
         e = e.join(_with_prefixes(tri, keys).withColumnRenamed("p", "w3").withColumnRenamed("longer", name), [*keys, "w3"], "left")
@@ -110,16 +128,21 @@ def truncated(df: DataFrame, *, id: str, text: str, source: str, slack: int = 6,
         ends = F.col(f"ended{n}") + F.greatest(F.col(f"open{n}") - 1, F.lit(0))
         return (F.col(f"inside{n}") >= least) & (ends <= rare * (F.col(f"inside{n}") + ends))
 
+    def surely_inside(n: str) -> "F.Column":
+        ends = F.col(f"ended{n}") + F.greatest(F.col(f"open{n}") - 1, F.lit(0))
+        most = ends + 3.1 * F.sqrt(ends + 1) + 4  # what a count seldom (one in a thousand) lies below
+        return most <= rare * (F.col(f"inside{n}") + ends)
+
     ends3 = F.col("ended") + F.greatest(F.col("open") - 1, F.lit(0))
     ending = ends3 / F.greatest(F.col("inside") + ends3 + F.col("longer3"), F.lit(1))  # how often a sentence is over after these words
-    seen = lambda n: (F.col(f"inside{n}") + F.col(f"ended{n}") + F.col(f"longer{n or 3}")) >= 5
+    seen = lambda n: (F.col(f"inside{n}") + F.col(f"ended{n}") + F.greatest(F.col(f"open{n}") - 1, F.lit(0)) + F.col(f"longer{n or 3}")) >= 5
     words = (
-        F.when(F.col("open") > 5, inside_word("", 250) | inside_sentence("", 250))  # open ends of one wording in numbers: copies, or an author's phrase
-        .when(seen(""), inside_word("", 3) | inside_sentence("", 3))
+        F.when(seen(""), inside_word("", 3) | inside_sentence("", 3))
         .when(seen("2"), inside_word("2", 3) | inside_sentence("2", 3))
         .otherwise(inside_word("1", 5) | inside_sentence("1", 20))
-    ) | (inside_sentence("2", 1000) & (ending < 0.1))
-    over = (ending >= 0.9) | ((F.col("open") > 5) & (ends3 > F.col("inside") + F.col("longer3")))  # words that end what they stand in
+    ) | (surely_inside("2") & (ending < 0.1))
+    rest3 = F.col("inside") + F.col("longer3")
+    over = (ending >= 0.9) | (ends3 - rest3 > 2 * F.sqrt(ends3 + rest3))  # words that end what they stand in
     why = (
         F.when(F.col("mark").contains("\ufffd"), "damaged")
         .when(F.col("pause"), "after a pause")
