@@ -50,3 +50,12 @@ def test_empty_and_single(spark):
     assert similar(spark.createDataFrame([("a", [1.0] * 4, 1, 1)], schema), id="frame_id", vector="img", dimensions=4).count() == 0
     two = similar(spark.createDataFrame([("a", [1.0] * 4, 1, 1), ("b", [1.0] * 4, 1, 1)], schema), id="frame_id", vector="img", dimensions=4, reach=0.5).collect()
     assert {(r.id, r.other, r.distance) for r in two} == {("a", "b", 0.0), ("b", "a", 0.0)}
+
+
+@pytest.mark.parametrize("block", [4096, 60])
+def test_everyone_has_k(spark, block):
+    x = np.concatenate([made(300), np.random.default_rng(3).normal(0, 8, (60, 32)).astype(np.float32)])  # the last have none within reach
+    df = spark.createDataFrame([(f"f{i:04d}", v.tolist()) for i, v in enumerate(x)], "frame_id string, img array<float>")
+    got = {(int(r.id[1:]), int(r.other[1:])) for r in similar(df, id="frame_id", vector="img", dimensions=32, reach=1.5, sample=200, leaf=80, block=block, everyone=True).collect()}
+    assert got == brute(x, 4, np.inf)
+    assert min(np.bincount([i for i, _ in got], minlength=len(x))) >= 4

@@ -14,12 +14,14 @@ from tidemark.runtime import table
 
 
 def p1_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(src, dst, distance): the four most similar frames of every frame, of the whole collection, at most 1.5 away."""
-    return similar(table(spark, sf_dir, "features"), id="frame_id", vector="img").select(F.col("id").alias("src"), F.col("other").alias("dst"), "distance")
+    """(src, dst, distance): the four most similar frames of every frame, of the whole collection."""
+    return similar(table(spark, sf_dir, "features"), id="frame_id", vector="img", everyone=True).select(F.col("id").alias("src"), F.col("other").alias("dst"), "distance")
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p1_edges(spark, sf_dir).select(F.least("src", "dst").alias("frame_a"), F.greatest("src", "dst").alias("frame_b")).distinct()
+    """(frame_a, frame_b): those of them that are at most 1.5 apart."""
+    near = similar(table(spark, sf_dir, "features"), id="frame_id", vector="img")
+    return near.select(F.least("id", "other").alias("frame_a"), F.greatest("id", "other").alias("frame_b")).distinct()
 
 
 def p4_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:

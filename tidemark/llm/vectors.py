@@ -15,6 +15,10 @@ where the sample has too few near pairs to tell). x visits the leaves on both si
 ``margin=reach`` nothing can be lost there. In the scan nothing is lost at all: |x-y|^2 is estimated as |x|^2 + |y|^2 - 2<x, code of y>; with e = y - code of y the estimate is at most
 reach^2 + 2 reach |e| + 2 |<y, e>| for any y within reach. That bound, kept with each vector, is the scan's cut-off.
 
+Vectors with fewer than k others within reach are looked for again where all k are asked for (``everyone``): in blocks against blocks of
+all vectors, by their inner products, with a cut-off that allows for rounding, and reranked exactly. So these k are exact too, at any
+distance. No plane or code helps so far out: this part takes time with the number of such vectors times that of all.
+
 Scale. Leaves are planned from the sample: one expected to hold (or be visited by) more than ``block`` vectors is
 split into blocks by hash, and tasks are pairs of blocks, so that no task grows with the data and a leaf that
 holds a third of all vectors becomes many tasks. Of two leaves only the one of higher number is visited, so a pair is
@@ -38,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.runtime import map_segments
+from tidemark.runtime import cut, map_segments
 
 DIMENSIONS = 512
 
@@ -310,8 +314,11 @@ def _top(i: np.ndarray, j: np.ndarray, d: np.ndarray, k: int) -> np.ndarray:
     return keep
 
 
-def similar(df: DataFrame, *, id: str, vector: str, k: int = 4, reach: float = 1.5, dimensions: int = DIMENSIONS, sample: int = 8_192, leaf: int = 4000, block: int = 8192, margin: float | None = None) -> DataFrame:
-    """(id, other, distance): the k nearest others of each vector that are at most ``reach`` away, ties included."""
+def similar(df: DataFrame, *, id: str, vector: str, k: int = 4, reach: float = 1.5, dimensions: int = DIMENSIONS, sample: int = 8_192, leaf: int = 4000, block: int = 8192, margin: float | None = None, everyone: bool = False) -> DataFrame:
+    """(id, other, distance): the k nearest others of each vector that are at most ``reach`` away, ties included.
+
+    everyone: also those farther away than ``reach``, for the vectors that have fewer than k within it.
+    """
     rows = usable(df, id, vector, dimensions).dropDuplicates(["id"])
     kind = dict(rows.dtypes)["id"]
     schema = f"id {kind}, other {kind}, distance double"
@@ -339,4 +346,56 @@ def similar(df: DataFrame, *, id: str, vector: str, k: int = 4, reach: float = 1
         return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"id": pd.Series([], dtype=object), "other": pd.Series([], dtype=object), "distance": pd.Series([], dtype=float)})
 
     near = map_segments(_spread(rows, plan, []), ["leaf", "a", "b"], ["side"], work, schema)
-    return near.withColumn("_r", F.rank().over(W.partitionBy("id").orderBy("distance"))).filter(F.col("_r") <= k).drop("_r")
+    ranked = lambda d: d.withColumn("_r", F.rank().over(W.partitionBy("id").orderBy("distance"))).filter(F.col("_r") <= k).drop("_r")
+    if not everyone:
+        return ranked(near)
+    near = cut(ranked(near))
+    full = cut(near.groupBy("id").count().filter(F.col("count") >= k).select("id"))
+    few = rows.join(full, "id", "left_anti")
+    return near.join(full, "id", "left_semi").unionByName(ranked(_nearest_of(few, rows, plan, k, block, schema)))
+
+
+def _nearest_of(few: DataFrame, rows: DataFrame, plan: Plan, k: int, block: int, schema: str) -> DataFrame:
+    """(id, other, distance): for each of ``few`` its k nearest others in each block of ``rows``, ties kept."""
+    few = cut(few.select("id", "v"))
+    a, b = (max(1, math.ceil(d.count() / block)) for d in (rows, few))
+    of = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    base = rows.select(of(a).alias("a"), every(b).alias("b"), F.lit(0).alias("side"), "id", "v")
+    asked = few.select(every(a).alias("a"), of(b).alias("b"), F.lit(1).alias("side"), "id", "v")
+
+    def work(batch: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        out = [pd.DataFrame({"id": pd.Series([], dtype=object), "other": pd.Series([], dtype=object), "distance": pd.Series([], dtype=float)})]
+        side, ids = batch.side.to_numpy(), batch.id.to_numpy()
+        for s, e in zip(starts, np.r_[starts[1:], len(batch)], strict=True):
+            at = s + np.flatnonzero(side[s:e] == 0), s + np.flatnonzero(side[s:e] == 1)
+            if not len(at[0]) or not len(at[1]):
+                continue
+            x, q = (np.stack(batch.v.iloc[p].to_numpy()).astype(np.float32) for p in at)
+            i, j, d = nearest_in(q, x, pd.Index(ids[at[0]]).get_indexer(ids[at[1]]), k, plan_mean)
+            out.append(pd.DataFrame({"id": ids[at[1][i]], "other": ids[at[0][j]], "distance": d}))
+        return pd.concat(out, ignore_index=True)
+
+    plan_mean = plan.mean
+    return map_segments(base.unionByName(asked), ["a", "b"], ["side"], work, schema)
+
+
+def nearest_in(q: np.ndarray, x: np.ndarray, own: np.ndarray, k: int, mean: np.ndarray, queries: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i in q, j in x, distance): the k nearest in x of each of q, ties kept. own: the place in x of each of q itself, or -1."""
+    c = x - mean
+    sq = (c * c).sum(1)
+    out = [(np.empty(0, int), np.empty(0, int), np.empty(0))]
+    for lo in range(0, len(q), queries):
+        o = q[lo : lo + queries] - mean
+        oq = (o * o).sum(1)
+        est = oq[:, None] + sq[None] - 2 * o @ c.T
+        self_ = np.flatnonzero(own[lo : lo + queries] >= 0)
+        est[self_, own[lo : lo + queries][self_]] = np.inf
+        slip = 2e-4 * (oq[:, None] + sq[None] + 1)  # more than single precision can be off, twice
+        kth = np.partition(est + slip / 2, min(k, len(x)) - 1, axis=1)[:, min(k, len(x)) - 1]
+        i, j = np.nonzero((est - slip / 2 <= kth[:, None]) & np.isfinite(est))
+        d = np.concatenate([np.sqrt(((q[lo + i[p : p + 20_000]].astype(np.float64) - x[j[p : p + 20_000]]) ** 2).sum(1)) for p in range(0, len(i), 20_000)] or [np.empty(0)])
+        if len(i):
+            keep = _top(i, j, d, k)
+            out.append((lo + i[keep], j[keep], d[keep]))
+    return tuple(np.concatenate([o[p] for o in out]) for p in range(3))
