@@ -59,3 +59,13 @@ def test_everyone_has_k(spark, block):
     got = {(int(r.id[1:]), int(r.other[1:])) for r in similar(df, id="frame_id", vector="img", dimensions=32, reach=1.5, sample=200, leaf=80, block=block, everyone=True).collect()}
     assert got == brute(x, 4, np.inf)
     assert min(np.bincount([i for i, _ in got], minlength=len(x))) >= 4
+
+
+def test_copies_do_not_narrow_the_margin():
+    r = np.random.default_rng(5)
+    x = np.concatenate([np.repeat(r.normal(0, 3, (1, 512)), 200, 0), r.normal(0, 3, (300, 512))]).astype(np.float32)
+    plan = fit(x, len(x), reach=1.5, leaf=50, block=100, axes=8, sub=8, eta=4.0)
+    step = (1.4 * plan.axes[plan.planes[0][0]]).astype(np.float32)  # across the first plane, along its axis
+    at = plan.mean + plan.axes[plan.planes[0][0]] * (plan.planes[0][1] - 0.7)
+    home, row, leaf = leaves_of(plan, (np.stack([at, at + step]) - plan.mean) @ plan.axes.T)
+    assert home[0] != home[1] and any(home[i] < k == home[1 - i] for i, k in zip(row, leaf))

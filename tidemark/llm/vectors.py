@@ -8,11 +8,8 @@ queries the inner products with all centres are tabulated, the tables of two nei
 one of 256 entries, and a scan adds up table rows by the bytes of each vector. What passes the scan is reranked
 by its exact distance.
 
-Little is lost. A query x looks for vectors y at most ``reach`` away. On an axis x and y differ by at most reach, but in many
-dimensions by far less: by ``margin``, which is learned from the sample's own near pairs (a quarter more than the largest
-difference on any axis, at least 4.5 standard deviations of an evenly spread difference of length reach; reach itself
-where the sample has too few near pairs to tell). x visits the leaves on both sides of a plane nearer than the margin; with
-``margin=reach`` nothing can be lost there. In the scan nothing is lost at all: |x-y|^2 is estimated as |x|^2 + |y|^2 - 2<x, code of y>; with e = y - code of y the estimate is at most
+Nothing is lost. A query x looks for vectors y at most ``reach`` away. On an axis x and y differ by at most reach, so x visits the
+leaves on both sides of a plane nearer than that (``margin``; a smaller one saves work where it is known to do). In the scan |x-y|^2 is estimated as |x|^2 + |y|^2 - 2<x, code of y>; with e = y - code of y the estimate is at most
 reach^2 + 2 reach |e| + 2 |<y, e>| for any y within reach. That bound, kept with each vector, is the scan's cut-off.
 
 Vectors with fewer than k others within reach are looked for again where all k are asked for (``everyone``): in blocks against blocks of
@@ -71,21 +68,6 @@ class Plan:
         return len(self.members)
 
 
-def _margin(c: np.ndarray, axes: np.ndarray, reach: float, queries: int = 4096, enough: int = 50) -> float:
-    """How far vectors within reach of each other differ on an axis; reach where too few are known."""
-    sq = (c * c).sum(1)
-    most, pairs = 0.0, 0
-    for lo in range(0, min(len(c), queries), 512):
-        q = c[lo : lo + min(512, queries - lo)]
-        d = sq[lo : lo + len(q), None] + sq[None] - 2 * q @ c.T
-        d[np.arange(len(q)), lo + np.arange(len(q))] = np.inf
-        i, j = np.nonzero(d <= reach * reach)
-        pairs += len(i)
-        for s in range(0, len(i), 20_000):
-            most = max(most, float(np.abs((q[i[s : s + 20_000]] - c[j[s : s + 20_000]]) @ axes.T).max()))
-    return reach if pairs < enough else min(reach, max(1.25 * most, 4.5 * reach / math.sqrt(c.shape[1])))
-
-
 def _tree(p: np.ndarray, reach: float, leaf: int) -> list[tuple[int, float, int, int]]:
     """Planes that halve the sample roughly, where few vectors lie within reach of them."""
     planes: list[tuple[int, float, int, int]] = []
@@ -151,7 +133,7 @@ def fit(sample: np.ndarray, n: int, *, reach: float, leaf: int, block: int, axes
     plan = Plan(mean=mean, axes=vec[:, ::-1][:, :axes].T.astype(np.float32), eta=eta)
     share = max(len(c), 1) / max(n, 1)
     p = c @ plan.axes.T
-    plan.margin = margin or _margin(c, plan.axes, reach)
+    plan.margin = reach if margin is None else margin
     plan.planes = _tree(p, plan.margin, max(8, int(leaf * share)))
     count = max(~c for _, _, a, b in plan.planes for c in (a, b) if c < 0) + 1
     home, _, visited = leaves_of(plan, p)
