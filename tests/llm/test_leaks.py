@@ -81,3 +81,11 @@ def test_the_hardest_edits(spark):
     docs = spark.createDataFrame([(1, " ".join(["x"] * 20 + part + ["y"] * 20)), (2, " ".join(part[:27]))], "doc_id bigint, text string")
     held = spark.createDataFrame([(9, " ".join(item))], "item_id bigint, text string")
     assert [(x.id, x.item) for x in leaks(docs, held, id="doc_id", text="text", item_id="item_id", item_text="text").collect()] == [(1, 9)]
+
+
+def test_a_further_short_quotation_hides_no_leak(spark):
+    """The item's start verbatim, and at the same offset a few words of its end, with other words between."""
+    item = random.Random(3).sample(WORDS, 160)
+    docs = spark.createDataFrame([(1, " ".join(item[:34] + [f"z{k}" for k in range(120)] + item[154:]))], "doc_id bigint, text string")
+    held = spark.createDataFrame([(9, " ".join(item))], "item_id bigint, text string")
+    assert [(x.id, x.item) for x in leaks(docs, held, id="doc_id", text="text", item_id="item_id", item_text="text").collect()] == [(1, 9)]

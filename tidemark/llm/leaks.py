@@ -8,7 +8,7 @@ six; longer stretches have at least six too), so each leak has windows at Hammin
 of them (32 words with 4 edits leave three, all other lengths more). The items' fingerprints are held in a multi-index of ``radius + 1`` blocks: two fingerprints
 within the radius agree in at least one block, so looking up all blocks finds every pair within the radius,
 for certain. Candidates are document and item with at least ``votes`` agreeing item positions near one
-diagonal; they are verified by the weighted similarity of the words of both stretches, and then exactly, by an
+diagonal; all of them are verified exactly, by an
 alignment that finds the longest item stretch for each number of edits.
 
 Scale. Documents are only ever mapped: no shuffle, no pair of documents. The items' index is broadcast in blocks
@@ -23,7 +23,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -78,8 +77,6 @@ class Index:
         self.fp = np.concatenate(fp) if fp else np.empty(0, np.uint64)
         self.item = np.concatenate(item) if item else np.empty(0, np.int32)
         self.pos = np.concatenate(pos) if pos else np.empty(0, np.int32)
-        held = Counter(w for ws in self.words for w in set(ws))
-        self.weight = {w: math.log(1 + len(self.words) / n) for w, n in held.items()}
         bits = 64 // self.blocks
         self.spans = [(b * bits, bits if b < self.blocks - 1 else 64 - b * bits) for b in range(self.blocks)]
         self.tables = []
@@ -151,7 +148,7 @@ def holds(pairs: list[tuple[np.ndarray, np.ndarray, int]], least: int, one_in: i
     return found
 
 
-def find(index: Index, ids: list, texts: list[str], least: int, one_in: int, votes: int, alike: float, reach: int) -> list[tuple]:
+def find(index: Index, ids: list, texts: list[str], least: int, one_in: int, votes: int, reach: int) -> list[tuple]:
     """(document, item) of the leaks in some documents."""
     docs = [(i, words_of(t)) for i, t in zip(ids, texts, strict=True) if t]
     docs = [(i, w) for i, w in docs if len(w) >= index.window]
@@ -186,15 +183,7 @@ def find(index: Index, ids: list, texts: list[str], least: int, one_in: int, vot
     for g in np.flatnonzero(count >= votes):
         a, b = first[g], last[g]
         d, it = doc[a], item[a]
-        p = pos[a : b + 1]
         iw = index.words[it]
-        dlo = max(0, int(p.min()) + int(diagonal[a]) - reach)
-        dhi = min(length[d], int(p.max()) + index.window + int(diagonal[b]) + reach)
-        seen = set(docs[d][1][dlo:dhi])
-        part = iw[int(p.min()) : int(p.max()) + index.window]
-        total = sum(index.weight[x] for x in part)
-        if sum(index.weight[x] for x in part if x in seen) < alike * total:
-            continue
         numbers = np.array([code_of.get(x, -1) for x in iw], np.int64)
         numbers = np.where(numbers < 0, len(uniques) + 1 + np.arange(len(iw)), numbers)
         for mid in range(int(diagonal[a]), int(diagonal[b]) + 1, reach):  # one band, more where the hits spread
@@ -210,7 +199,7 @@ def find(index: Index, ids: list, texts: list[str], least: int, one_in: int, vot
     return list(found)
 
 
-def leaks(docs: DataFrame, items: DataFrame, *, id: str, text: str, item_id: str, item_text: str, window: int = 6, radius: int = 3, least: int = 30, one_in: int = 8, votes: int = 3, alike: float = 0.5, reach: int = 14, index_words: int = 2_000_000) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, *, id: str, text: str, item_id: str, item_text: str, window: int = 6, radius: int = 3, least: int = 30, one_in: int = 8, votes: int = 3, reach: int = 14, index_words: int = 2_000_000) -> DataFrame:
     """(id, item) of every document that holds a stretch of an item. See the module's text."""
     spark = docs.sparkSession
     held = items.select(F.col(item_id).alias("item"), F.col(item_text).alias("t")).filter("item is not null and t is not null")
@@ -227,7 +216,7 @@ def leaks(docs: DataFrame, items: DataFrame, *, id: str, text: str, item_id: str
             for b in batches:
                 for lo in range(0, len(b), 1000):
                     part = b.iloc[lo : lo + 1000]
-                    rows = find(shared.value, part.id.tolist(), part.text.tolist(), least, one_in, votes, alike, reach)
+                    rows = find(shared.value, part.id.tolist(), part.text.tolist(), least, one_in, votes, reach)
                     yield pd.DataFrame(rows, columns=["id", "item"])
 
         found = src.mapInPandas(work, f"id {kinds[0]}, item {kinds[1]}")
