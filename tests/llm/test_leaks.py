@@ -1,7 +1,7 @@
 import random
 
 import numpy as np
-from tidemark.llm.leaks import Index, fingerprints, leaks, words_of
+from tidemark.llm.leaks import Index, fingerprints, holds, leaks, promising, words_of
 
 WORDS = [f"w{i}" for i in range(400)]
 
@@ -89,3 +89,41 @@ def test_a_further_short_quotation_hides_no_leak(spark):
     docs = spark.createDataFrame([(1, " ".join(item[:34] + [f"z{k}" for k in range(120)] + item[154:]))], "doc_id bigint, text string")
     held = spark.createDataFrame([(9, " ".join(item))], "item_id bigint, text string")
     assert [(x.id, x.item) for x in leaks(docs, held, id="doc_id", text="text", item_id="item_id", item_text="text").collect()] == [(1, 9)]
+
+
+def test_words_that_other_items_share(spark):
+    """A stretch of 40 words, five rare ones edited, among items that hold its other words too."""
+    r = random.Random(6)
+    common, rare = [f"c{i}" for i in range(35)], [f"r{i}" for i in range(5)]
+    item = list(common)
+    for k, at in enumerate((5, 12, 19, 26, 33)):
+        item.insert(at, rare[k])
+    leak = ["edited" if w in rare else w for w in item]
+    others = [(k, " ".join(r.sample(common, 35) + r.sample(WORDS, 12))) for k in range(240)]
+    docs = spark.createDataFrame([(1, " ".join(["x"] * 9 + leak + ["y"] * 9))], "doc_id bigint, text string")
+    held = spark.createDataFrame([(999, " ".join(item + ["z1", "z2", "z3", "z4", "z5", "z6"])), *others], "item_id bigint, text string")
+    assert (1, 999) in {(x.id, x.item) for x in leaks(docs, held, id="doc_id", text="text", item_id="item_id", item_text="text").collect()}
+
+
+def test_what_is_held_is_promising():
+    r = random.Random(8)
+    pairs = []
+    for _ in range(2000):
+        words = r.sample(range(300), 80)
+        n = r.choice((30, 32, 40, 48, 56, 64, 80))
+        part = words[:n]
+        for _ in range(n // 8):  # edits as close together as may be, or anywhere
+            p = r.randrange(n // 3, 2 * n // 3) if r.random() < 0.5 else r.randrange(len(part))
+            p = min(p, len(part) - 1)
+            part = part[:p] + ([] if r.random() < 0.3 else [-5]) + part[p + r.randint(0, 1) :]
+        pairs.append((np.array(words), np.array(part), 0))
+    for k in range(0, len(pairs), 250):
+        part = pairs[k : k + 250]
+        yes = holds(part, 30, 8, 10, 14)
+        assert yes.sum() > 50 and promising(part, 30, 8, 14)[yes].all()
+
+
+def test_repeated_windows_are_held_once():
+    text = " ".join(random.Random(9).sample(WORDS, 20))
+    ix = Index([(1, text), (2, text)], 6, 3)
+    assert len(ix.fp) == 15 and len(ix.near(ix.fp[:1])[0]) == 2

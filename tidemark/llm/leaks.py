@@ -8,12 +8,12 @@ six; longer stretches have at least six too), so each leak has windows at Hammin
 of them (32 words with 4 edits leave three, all other lengths more). The items' fingerprints are held in a multi-index of ``radius + 1`` blocks: two fingerprints
 within the radius agree in at least one block, so looking up all blocks finds every pair within the radius,
 for certain. Candidates are document and item with at least ``votes`` agreeing item positions near one
-diagonal; all of them are verified exactly, by an
+diagonal; all of them in which enough words are equal for a leak to be possible at all are verified exactly, by an
 alignment that finds the longest item stretch for each number of edits.
 
 Scale. Documents are only ever mapped: no shuffle, no pair of documents. The items' index is broadcast in blocks
-of at most ``index_words`` words, counted beforehand; more items take more passes. Long texts go through
-in slices of words.
+of at most ``index_words`` words, counted beforehand; more items take more passes over the documents, one after the other, whose
+index is dropped before the next is made. Long texts go through in slices of words.
 
 Defined results. Null or empty texts on either side give nothing. Repeated documents or items are each reported by
 their id; the pair once. Extra columns are ignored.
@@ -30,6 +30,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.runtime import cut
+
 WORD = re.compile(r"[^\W_]+")
 DROP = re.compile("['`\u2019\u00b4\u00ad\u200b\u200c\u200d\ufeff]")  # apostrophes, and characters without width
 SLICE = 100_000
@@ -48,22 +50,31 @@ def fingerprints(h: np.ndarray, window: int) -> np.ndarray:
     pair *= np.uint64(0xC2B2AE3D27D4EB4F)
     pair ^= pair >> np.uint64(29)
 
-    def sums(v: np.ndarray, w: int) -> np.ndarray:
-        c = np.zeros((len(v) + 1, 64), np.int16)
-        np.cumsum(np.unpackbits(v.view(np.uint8).reshape(-1, 8), axis=1), axis=0, dtype=np.int16, out=c[1:])
-        return c[w:] - c[:-w]
-
-    votes = sums(h, window) + 2 * sums(pair, window - 1)
+    votes = _window_sums(h, window) + 2 * _window_sums(pair, window - 1)
     return np.packbits(votes * 2 > window + 2 * (window - 1), axis=1).view(np.uint64).ravel()
 
 
+def _window_sums(v: np.ndarray, w: int) -> np.ndarray:
+    """How many of each ``w`` values in a row have each of the 64 bits, by doubling."""
+    power = np.unpackbits(v.view(np.uint8).reshape(-1, 8), axis=1).astype(np.uint8 if w < 40 else np.uint16)
+    n, size, out, done = len(v) - w + 1, 1, None, 0
+    while w:
+        if w & 1:
+            out = power[done : done + n].copy() if out is None else out + power[done : done + n]
+            done += size
+        w >>= 1
+        if w:
+            power, size = power[:-size] + power[size:], 2 * size
+    return out
+
+
 class Index:
-    """The items' windows under a multi-index of Hamming blocks."""
+    """The items' windows under a multi-index of Hamming blocks; windows of one fingerprint are held once."""
 
     def __init__(self, items: list[tuple[object, str]], window: int, radius: int):
         self.window, self.radius, self.blocks = window, radius, radius + 1
-        self.ids, self.words = [], []
-        fp, item, pos = [], [], []
+        self.ids, self.words, self.number = [], [], {}
+        fp, item, pos = [np.empty(0, np.uint64)], [np.empty(0, np.int32)], [np.empty(0, np.int32)]
         for id_, text in items:
             w = words_of(text or "")
             if len(w) < window:
@@ -73,17 +84,21 @@ class Index:
             item.append(np.full(len(f), len(self.ids), np.int32))
             pos.append(np.arange(len(f), dtype=np.int32))
             self.ids.append(id_)
-            self.words.append(w)
-        self.fp = np.concatenate(fp) if fp else np.empty(0, np.uint64)
-        self.item = np.concatenate(item) if item else np.empty(0, np.int32)
-        self.pos = np.concatenate(pos) if pos else np.empty(0, np.int32)
+            self.words.append(np.array([self.number.setdefault(x, len(self.number)) for x in w], np.int64))
+        self.fp, at = np.unique(np.concatenate(fp), return_inverse=True)
+        order = np.argsort(at, kind="stable")
+        self.item, self.pos = np.concatenate(item)[order], np.concatenate(pos)[order]
+        self.first = np.r_[0, np.cumsum(np.bincount(at, minlength=len(self.fp)))]  # of each fingerprint's windows
         bits = 64 // self.blocks
         self.spans = [(b * bits, bits if b < self.blocks - 1 else 64 - b * bits) for b in range(self.blocks)]
         self.tables = []
         for shift, width in self.spans:
             v = self.block(self.fp, shift, width)
             order = np.argsort(v, kind="stable")
-            self.tables.append((order.astype(np.int32), v[order]))
+            # where each value of a block begins; wide blocks are looked up by their highest bits first
+            top = min(width, 20)
+            begin = np.searchsorted(v[order] >> np.uint64(width - top), np.arange((1 << top) + 1, dtype=np.uint64)).astype(np.int32)
+            self.tables.append((order.astype(np.int32), width - top, begin))
 
     @staticmethod
     def block(fp: np.ndarray, shift: int, width: int) -> np.ndarray:
@@ -91,32 +106,50 @@ class Index:
 
     def near(self, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All pairs (position in fp, window of an item) within the radius, each once."""
-        out = []
-        for b, ((shift, width), (order, sorted_)) in enumerate(zip(self.spans, self.tables, strict=True)):
-            v = self.block(fp, shift, width)
-            lo, hi = np.searchsorted(sorted_, v, "left"), np.searchsorted(sorted_, v, "right")
-            n = hi - lo
-            q = np.repeat(np.arange(len(fp)), n)
-            if not len(q):
-                continue
-            at = order[np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(len(q))]
+        out = [(np.empty(0, np.int64), np.empty(0, np.int32))]
+        for b, ((shift, width), (order, rest, begin)) in enumerate(zip(self.spans, self.tables, strict=True)):
+            v = (self.block(fp, shift, width) >> np.uint64(rest)).astype(np.int64)
+            lo = begin[v]
+            some = np.flatnonzero(begin[v + 1] > lo)
+            q, at = _spread(some, lo[some], begin[v[some] + 1])
+            at = order[at]
             x = fp[q] ^ self.fp[at]
             ok = np.bitwise_count(x) <= self.radius
+            q, at, x = q[ok], at[ok], x[ok]
             for s, w in self.spans[:b]:  # found by an earlier block already
-                ok &= self.block(x, s, w) != 0
-            out.append((q[ok], at[ok]))
-        if not out:
-            return np.empty(0, np.int64), np.empty(0, np.int32)
-        return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
+                new = self.block(x, s, w) != 0
+                q, at, x = q[new], at[new], x[new]
+            out.append((q, at))
+        q, at = (np.concatenate([o[k] for o in out]) for k in (0, 1))
+        return _spread(q, self.first[at], self.first[at + 1])
 
 
-def holds(pairs: list[tuple[np.ndarray, np.ndarray, int]], least: int, one_in: int, most: int, reach: int) -> np.ndarray:
-    """For each (item words, document words, diagonal), whether a stretch of the item is held.
+def _spread(of: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each of ``of`` with all places from its lo to its hi."""
+    n = hi - lo
+    total = np.cumsum(n)
+    return np.repeat(of, n), np.repeat(lo - np.r_[0, total[:-1]], n) + np.arange(total[-1] if len(n) else 0)
 
-    An alignment begins and ends with a matched word; edits at the ends of a stretch count with the stretch, so fewer matched
-    words suffice where edits are left over. Words are numbers. best[e, b]: item words of the longest alignment that ends at the row's item word and at
-    the document word on diagonal b of the band, with e edits. Edits are bounded by ``most``, the band by ``reach``.
+
+def promising(pairs: list[tuple[np.ndarray, np.ndarray, int]], least: int, one_in: int, reach: int) -> np.ndarray:
+    """Whether enough item words have an equal word on the band; without it no stretch of the item can be held.
+
+    A stretch of ``one_in`` * e words with e edits lies in ``least`` words in a row, or both its first and its last ``least``
+    words share the edits. So some ``least`` words in a row have at most 2 * least / (one_in + 1) edits: those that both share,
+    when all edits lie there and fill it. Shorter and longer stretches have fewer.
     """
+    item, band = _banded(pairs, reach)
+    rows = item.shape[1]
+    same = np.zeros(item.shape, bool)
+    for k in range(2 * reach + 1):
+        same |= item == band[:, k : k + rows]
+    total = np.c_[np.zeros(len(pairs), np.int32), np.cumsum(same, axis=1, dtype=np.int32)]
+    w = min(least, rows)
+    return (total[:, w:] - total[:, :-w]).max(1) >= least - 2 * least // (one_in + 1)
+
+
+def _banded(pairs: list[tuple[np.ndarray, np.ndarray, int]], reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """Item words, and document words such that column i + b lies beside item word i on diagonal b of the band."""
     n, width = len(pairs), 2 * reach + 1
     rows = max(len(p[0]) for p in pairs)
     item = np.full((n, rows), -1, np.int64)
@@ -124,9 +157,21 @@ def holds(pairs: list[tuple[np.ndarray, np.ndarray, int]], least: int, one_in: i
     for k, (a, d, diagonal) in enumerate(pairs):
         item[k, : len(a)] = a
         lo = diagonal - reach  # document place of item word 0 on the band's first diagonal
-        src = np.arange(lo, lo + rows + width)
-        ok = (src >= 0) & (src < len(d))
-        band[k, ok] = d[src[ok]]
+        s, e = max(lo, 0), min(lo + rows + width, len(d))
+        if s < e:
+            band[k, s - lo : e - lo] = d[s:e]
+    return item, band
+
+
+def holds(pairs: list[tuple[np.ndarray, np.ndarray, int]], least: int, one_in: int, most: int, reach: int) -> np.ndarray:
+    """For each (item words, document words, diagonal), whether a stretch of the item is held.
+
+    An alignment begins and ends with a matched word; edits at the ends of a stretch count with the stretch, so fewer matched
+    words suffice where edits are left over. Words are numbers. best[e, b]: item words of the longest alignment that ends at the row's item word and at
+    the document word on diagonal b of the band, with e edits. Edits are bounded by ``most``, the band by ``reach``.
+    """
+    item, band = _banded(pairs, reach)
+    (n, rows), width = item.shape, 2 * reach + 1
     none = np.int16(-10_000)
     best = np.full((most + 1, n, width), none, np.int16)
     found = np.zeros(n, bool)
@@ -178,18 +223,17 @@ def find(index: Index, ids: list, texts: list[str], least: int, one_in: int, vot
     distinct = np.unique(group.astype(np.int64) * (1 << 32) + pos)
     count = np.bincount(distinct >> 32, minlength=group[-1] + 1)
     first, last = np.flatnonzero(new), np.r_[np.flatnonzero(new)[1:], len(new)] - 1
-    code_of = {u: k for k, u in enumerate(uniques)}
+    numbers = np.array([index.number.get(u, -2) for u in uniques], np.int64)[codes]  # words of no item are equal to none
     pairs, who = [], []
     for g in np.flatnonzero(count >= votes):
         a, b = first[g], last[g]
         d, it = doc[a], item[a]
-        iw = index.words[it]
-        numbers = np.array([code_of.get(x, -1) for x in iw], np.int64)
-        numbers = np.where(numbers < 0, len(uniques) + 1 + np.arange(len(iw)), numbers)
         for mid in range(int(diagonal[a]), int(diagonal[b]) + 1, reach):  # one band, more where the hits spread
-            pairs.append((numbers, codes[start[d] : start[d + 1]], (mid + min(mid + reach, int(diagonal[b]))) // 2))
+            pairs.append((index.words[it], numbers[start[d] : start[d + 1]], (mid + min(mid + reach, int(diagonal[b]))) // 2))
             who.append((docs[d][0], index.ids[it]))
     found: dict[tuple, None] = {}
+    some = np.concatenate([promising(pairs[k : k + 256], least, one_in, reach) for k in range(0, len(pairs), 256)] or [np.empty(0, bool)])
+    pairs, who = ([x[i] for i in np.flatnonzero(some)] for x in (pairs, who))
     for k in range(0, len(pairs), 256):
         part = pairs[k : k + 256]
         most = max(len(p[0]) for p in part) // one_in
@@ -220,5 +264,8 @@ def leaks(docs: DataFrame, items: DataFrame, *, id: str, text: str, item_id: str
                     yield pd.DataFrame(rows, columns=["id", "item"])
 
         found = src.mapInPandas(work, f"id {kinds[0]}, item {kinds[1]}")
+        if passes > 1:
+            found = cut(found)
+            shared.destroy()
         out = found if out is None else out.unionByName(found)
     return out
