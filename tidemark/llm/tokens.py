@@ -2,16 +2,15 @@
 
 Method. A byte-pair encoding is fixed by its pairs: a sequence of tokens is an encoding if and only if every two
 neighbours encode their own concatenation to themselves, so each prefix of the bytes has exactly one possible
-last token. ``Transducer`` keeps that last token for the positions since the last one emitted. Any continuation
-puts a token end within the last ``lookahead`` positions, ``lookahead`` being the length of the longest
-token the merge list can make; tokens that lie on the paths back from all of those positions can't change any
-more and are emitted. Memory is bounded by the lookahead and the distance to the last stable token, not by
-the text. ``Splitter`` cuts the stream into the pieces within which merges happen, holding back three
-characters, the most that its pattern looks ahead.
+last token. ``Transducer`` keeps that last token for the positions since the last one emitted. What follows the bytes
+read so far can change their encoding only near its end: ``sufficient_lookahead`` computes from the merges how near. Tokens that
+end that many bytes before the last byte read are stable and are emitted. Memory is bounded by
+the lookahead, not by the text. ``Stream`` cuts the text into the pieces within which merges happen, holding back three
+characters, the most that the pattern looks ahead; every text is encoded by being fed to it in blocks.
 
 ``Decoder`` is the inverse: ids to bytes to text, holding back an unfinished character.
 
-The encodings of short pieces are remembered (a bounded table per worker); all others go through the transducer.
+What the transducer has made of a short piece is remembered (a bounded table per worker), so that it isn't asked again.
 The vocabulary's path is a parameter; the driver reads it once and broadcasts its fixed 50,000 entries.
 
 Defined results. Null and empty texts give an empty list. Strings that look like special tokens are ordinary text.
@@ -21,7 +20,7 @@ from __future__ import annotations
 
 import base64
 import codecs
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 import regex
@@ -45,20 +44,65 @@ def ranks_of(path: str) -> dict[bytes, int]:
     return ranks
 
 
+def sufficient_lookahead(ranks: dict[bytes, int], split: Callable[[bytes], tuple[bytes, bytes] | None]) -> int:
+    """How many bytes from the end of what is read its encoding may still change, whatever follows.
+
+    Compare a text's merges with those of the text cut off. The first place where they differ, the front, is at first the cut. It
+    moves left only where a merge (x, y) takes place in one of them alone: y begins at the front, and the front moves to where
+    x begins. When it moves again, by (x', y'), that merge is of higher rank, and y' has x as its left edge: it is x, or its left part
+    is, or that one's left part. So the way that the front can go is the greatest sum of left parts over such chains of merges.
+    """
+    way: dict[bytes, int] = {}  # by left part: how far the front can have come when it is at that part's beginning
+    most = 0
+    for t in sorted(ranks, key=ranks.get):
+        if (parts := split(t)) is None:
+            continue
+        x, y = parts
+        if max(ranks[x], ranks[y]) > ranks[t] and min(len(x), len(y)) > 1:
+            raise ValueError(f"a part of {t!r} is merged after it: this is no list of merges in order")
+        far, edge = 0, y
+        while True:
+            far = max(far, way.get(edge, 0))
+            if (e := split(edge)) is None:
+                break
+            edge = e[0]
+        far += len(x)
+        way[x] = max(way.get(x, 0), far)
+        most = max(most, far)
+    return max(most, 1)
+
+
 class Vocabulary:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.lookahead = max(map(len, ranks), default=1)
-        self.lengths = sorted({len(t) for t in ranks}, reverse=True)
+        by_end: dict[int, set[int]] = {}
+        for t in ranks:
+            by_end.setdefault(t[-1], set()).add(len(t))
+        self.lengths = {e: sorted(n, reverse=True) for e, n in by_end.items()}
         self._pairs: dict[tuple[bytes, bytes], bool] = {}
         self._whole: dict[bytes, bool] = {}
-
-    def merged(self, data: bytes) -> list[bytes]:
-        """The encoding by its definition: the pair of lowest rank is merged, the leftmost first, until none is left."""
+        self._split: dict[bytes, tuple[bytes, bytes] | None] = {}
+        self.lookahead = 0
+
+    def learn(self) -> "Vocabulary":
+        """Compute the lookahead, once on the driver."""
+        self.lookahead = sufficient_lookahead(self.ranks, self.split)
+        self._split.clear()
+        return self
+
+    def split(self, token: bytes) -> tuple[bytes, bytes] | None:
+        """The two parts whose merge makes the token; None for a single byte, or if its bytes don't merge to it."""
+        if token not in self._split:
+            parts = self.merged(token, below=self.ranks[token])
+            self._split[token] = (parts[0], parts[1]) if len(parts) == 2 and len(token) > 1 else None
+        return self._split[token]
+
+    def merged(self, data: bytes, below: int = MOST_ENTRIES + 1) -> list[bytes]:
+        """The encoding by its definition: the pair of lowest rank is merged, the leftmost first, until none of a rank ``below`` is left."""
         parts = [data[i : i + 1] for i in range(len(data))]
         while len(parts) > 1:
-            rank, at = min(((self.ranks.get(a + b, MOST_ENTRIES + 1), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False))), default=(MOST_ENTRIES + 1, 0))
-            if rank > MOST_ENTRIES:
+            rank, at = min((self.ranks.get(a + b, MOST_ENTRIES + 1), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
+            if rank >= below:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
@@ -99,7 +143,7 @@ class Transducer:
             self.data.append(byte)
             i = len(self.data)
             found = None
-            for n in v.lengths:
+            for n in v.lengths[byte]:
                 if n > i:
                     continue
                 t = bytes(self.data[i - n : i])
@@ -112,7 +156,7 @@ class Transducer:
                     found = t
                     break
             self.last.append(found)
-            if i >= 2 * v.lookahead and i % v.lookahead == 0:
+            if i >= 3 * v.lookahead:
                 out += self._stable()
         return out
 
@@ -125,16 +169,9 @@ class Transducer:
         return ends
 
     def _stable(self) -> list[int]:
-        """Emit what lies on all ways back from the last positions."""
+        """Emit what lies further back than the lookahead."""
         n = len(self.data)
-        common: set[int] | None = None
-        for i in range(n - self.v.lookahead + 1, n + 1):
-            if self.last[i] is not None:
-                ends = set(self._ends(i))
-                common = ends if common is None else common & ends
-                if not common:
-                    return []
-        at = max(common or [0])
+        at = next((e for e in self._ends(n) if e <= n - self.v.lookahead), 0)
         return self._emit(at) if at else []
 
     def _emit(self, at: int) -> list[int]:
@@ -150,14 +187,18 @@ class Transducer:
         return out
 
 
+def _bytes(text: str) -> bytes:
+    return text.encode("utf-8", "surrogatepass")
+
+
 class Encoder:
     """Text in blocks in, ids out; the same ids however the text is cut into blocks."""
 
-    #: A piece longer than this is handed to the transducer in parts.
+    #: Characters held at most before they are encoded; a piece longer than this is handed to the transducer in parts.
     LONG = 4096
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str = PIECES, remember: int = 500_000, short: int = 64):
-        self.v = Vocabulary(ranks)
+    def __init__(self, vocabulary: Vocabulary, pattern: str = PIECES, remember: int = 500_000, short: int = 64):
+        self.v = vocabulary if vocabulary.lookahead else vocabulary.learn()
         self.pieces = regex.compile(pattern)
         self.edge = regex.compile(r"^\s|\s$|^$")
         self.known: dict[str, list[int]] = {}
@@ -165,19 +206,17 @@ class Encoder:
         self.remember, self.short = remember, short
 
     def piece(self, text: str) -> list[int]:
-        t = Transducer(self.v)
-        return t.feed(text.encode("utf-8", "surrogatepass")) + t.flush()
+        """The ids of a whole piece; a short one is asked of the transducer once."""
+        ids = self.pieces_known.get(text)
+        if ids is None:
+            t = Transducer(self.v)
+            ids = t.feed(_bytes(text)) + t.flush()
+            self._keep(self.pieces_known, text, ids)
+        return ids
 
     def plain(self, text: str) -> list[int]:
-        """Piece by piece, short ones from memory."""
-        out: list[int] = []
-        for p in self.pieces.findall(text):
-            ids = self.pieces_known.get(p)
-            if ids is None:
-                ids = self.piece(p)
-                self._keep(self.pieces_known, p, ids)
-            out += ids
-        return out
+        """All ids of a text whose ends are ends of pieces."""
+        return [i for p in self.pieces.findall(text) for i in self.piece(p)]
 
     def _keep(self, known: dict[str, list[int]], key: str, ids: list[int]) -> None:
         if len(key) <= self.short:
@@ -185,10 +224,10 @@ class Encoder:
                 known.clear()
             known[key] = ids
 
-    def encode(self, text: str) -> list[int]:
-        """All ids of a text.
+    def words(self, text: str) -> list[int]:
+        """All ids of a text whose ends are ends of pieces, word by word.
 
-        A single space between two words always begins a piece, so a text may be encoded word by word, each with the
+        A single space between two words always begins a piece, so a word may be encoded with the
         space before it. Where a word is empty or has space at an end, the whole text goes piece by piece.
         """
         out: list[int] = []
@@ -216,46 +255,73 @@ class Encoder:
 
     def stream(self, blocks: Iterable[str]) -> Iterator[int]:
         """Ids as soon as they are stable, in memory that doesn't grow with the text."""
-        buffer, t = "", Transducer(self.v)
-        running = False  # part of the piece at the buffer's start is already in the transducer
+        s = Stream(self)
         for block in blocks:
-            buffer += block
-            while len(buffer) > self.LONG:
-                cut = None
-                for m in self._matches(buffer, running):
-                    if m[1] > len(buffer) - LOOK:
-                        break
-                    yield from t.feed(buffer[m[0] : m[1]].encode())
-                    yield from t.flush()
-                    running = False
-                    cut = m[1]
-                if cut:
-                    buffer = buffer[cut:]
+            yield from s.feed(block)
+        yield from s.flush()
+
+    def encode(self, text: str) -> list[int]:
+        """All ids of a text, fed in blocks."""
+        return list(self.stream([text] if len(text) <= self.LONG else (text[i : i + self.LONG] for i in range(0, len(text), self.LONG))))
+
+
+class Stream:
+    """The state between two blocks of a text: what is held back, and the transducer of a piece that has begun."""
+
+    # The last single space between two characters that are none: a piece begins there, whatever follows.
+    GAP = regex.compile(r"(?r)\S \S")
+    KINDS = tuple(map(regex.compile, (r"\p{L}+", r"\p{N}+", r"[^\s\p{L}\p{N}]+", r"\s+(?!\S)", r"\s+")))
+
+    def __init__(self, encoder: Encoder):
+        self.e, self.held, self.t = encoder, "", Transducer(encoder.v)
+        self.kind: regex.Pattern | None = None  # of the piece at the beginning of what is held, if part of it is in the transducer
+
+    def feed(self, block: str) -> list[int]:
+        out: list[int] = []
+        self.held += block
+        while len(self.held) > self.e.LONG:
+            gap = None if self.kind else self.GAP.search(self.held)
+            if gap:
+                out += self.e.words(self.held[: gap.start() + 1])
+                self.held = self.held[gap.start() + 1 :]
+                continue
+            done = 0
+            for a, b in self._pieces():
+                if b > len(self.held) - LOOK:
                     break
-                # one piece fills the buffer: all but its end, which later text may change, goes on
-                yield from t.feed(buffer[:-LOOK].encode())
-                buffer, running = buffer[-LOOK:], True
-                self._kind = self._kind_of(buffer)
-        for m in self._matches(buffer, running):
-            yield from t.feed(buffer[m[0] : m[1]].encode())
-            yield from t.flush()
-        yield from t.flush()
-
-    def _kind_of(self, text: str) -> regex.Pattern:
-        for k in (r"\p{L}+", r"\p{N}+", r"[^\s\p{L}\p{N}]+", r"\s+(?!\S)"):
-            if regex.match(k, text):
-                return regex.compile(k)
-        return regex.compile(r"\s+")
-
-    def _matches(self, text: str, running: bool) -> Iterator[tuple[int, int]]:
+                out += self._end_of(a, b)
+                done = b
+            if not done:  # one piece fills what is held: all but its end, which later text may change, goes on
+                done = len(self.held) - LOOK
+                out += self.t.feed(_bytes(self.held[:done]))
+                self.kind = next(k for k in self.KINDS if k.match(self.held, done))
+            self.held = self.held[done:]
+        return out
+
+    def flush(self) -> list[int]:
+        if self.kind is None:
+            out = self.e.words(self.held) if self.held else []
+        else:
+            out = [i for a, b in self._pieces() for i in self._end_of(a, b)]
+        self.held = ""
+        return out
+
+    def _pieces(self) -> Iterator[tuple[int, int]]:
+        """The pieces of what is held, first what belongs to one that has begun."""
         at = 0
-        if running:
-            m = self._kind.match(text)
+        if self.kind:
+            m = self.kind.match(self.held)
             at = m.end() if m else 0
             yield 0, at
-        for m in self.pieces.finditer(text, at):
+        for m in self.e.pieces.finditer(self.held, at):
             yield m.span()
 
+    def _end_of(self, a: int, b: int) -> list[int]:
+        if self.kind is None:
+            return self.e.piece(self.held[a:b])
+        self.kind = None
+        return self.t.feed(_bytes(self.held[a:b])) + self.t.flush()
+
 
 class Decoder:
     """Ids in, text out: an incremental state machine from bytes to characters."""
@@ -275,7 +341,7 @@ class Decoder:
 
 def encode(df: DataFrame, *, id: str, text: str, vocabulary: str = f"{VOCABULARIES}/byte_bpe_50k.tiktoken", pattern: str = PIECES) -> DataFrame:
     """(id, ids ARRAY<INT>): one row for each row of ``df``. See the module's text."""
-    shared = df.sparkSession.sparkContext.broadcast(ranks_of(vocabulary))
+    shared = df.sparkSession.sparkContext.broadcast(Vocabulary(ranks_of(vocabulary)).learn())
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         e = Encoder(shared.value, pattern)
