@@ -63,3 +63,24 @@ def test_copies_of_a_cut_text_are_no_proper_ends(spark):
     for first in (10_000, 20_000, 30_000):
         assert got >= set(range(first, first + 40)), first
     assert len(got - cut - set(range(10_000, 40_000))) <= 0.03 * len(got)
+
+
+def test_a_corpus_that_is_there_fifty_times_is_judged_alike(spark):
+    rows, _ = corpus()
+    rows = [r for r in rows if r[0] % 4 == 0 or r[0] >= 3200] + [(9000 + k, "Does the job", "free") for k in range(12)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    many = df.selectExpr("doc_id", "text", "source", "explode(sequence(0, 49)) as copy").selectExpr("doc_id * 50 + copy as doc_id", "text", "source")
+    one = {r.id for r in truncated(df, id="doc_id", text="text", source="source").collect()}
+    got = {(r.id // 50, r.id % 50) for r in truncated(many, id="doc_id", text="text", source="source").collect()}
+    assert one and got == {(i, k) for i in one for k in range(50)}
+
+
+def test_a_source_whose_limit_was_raised(spark):
+    r = random.Random(11)
+    words = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(3, 8))) for _ in range(200)]
+    text = lambda: " ".join(r.choice(words) for _ in range(60))
+    rows = [(k, text()[: 120 if k % 2 else 40], "s") for k in range(300)]
+    rows += [(1000 + k, text()[: r.randint(20, 119)] + ".", "s") for k in range(900)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = [x for x in truncated(df, id="doc_id", text="text", source="source").collect() if x.id < 1000]
+    assert sum(x.id % 2 for x in got) > 100 and sum(1 - x.id % 2 for x in got) > 100

@@ -4,7 +4,8 @@ Method, in SQL alone. Texts are taken apart into lower-case words (numbers alike
 of words the corpus is counted: how often a further word of the same sentence follows (inside), how often a stop
 (ended), how often the text is over without one (open). Copies of a text count once, and so do open ends after the same
 ``CONTEXT`` words: copies of a cut text say nothing of how sentences end. Only texts of no more words than that,
-which many authors write alike, count each time; so copies in numbers of so short a cut text pass for such a phrase. The same is counted for the pairs and words that the
+which many authors write alike, count as often as they occur, by the number of copies that texts usually have (so that a corpus
+that is there 50 times counts as once); copies in numbers of so short a cut text pass for such a phrase. The same is counted for the pairs and words that the
 trigrams back off to, and for the beginnings of words after the same two words. A text without a stop at its end
 has its last trigram looked up:
 
@@ -12,12 +13,15 @@ has its last trigram looked up:
 * a last trigram that is frequent inside and almost never ends a sentence was cut inside the sentence.
 
 Marks that a system leaves where it cut (an ellipsis, a replacement character, space at the end) are taken off
-first; the same is then asked of what is before them. The limits of a source are learned from the corpus too:
-a longest length, in characters or bytes, at which texts pile up. A text within ``slack`` of its source's
-limit that has no stop at its end was cut by it, whatever its words.
+first; the same is then asked of what is before them. The limits of a source are learned from the corpus too: lengths, in
+characters or bytes, at which different texts pile up. A text within ``slack`` of a limit of its source
+that has no stop at its end was cut by it, whatever its words. Decisions are by shares; a share counts where
+at least a few occurrences (3, 5 or 20) stand behind it, else the pair or the word decides.
 
-Scale. One pass over the words with partial sums; tables grow with the vocabulary of trigrams, not with the
-corpus, and are joined to the few texts with an open end.
+Scale. The corpus is read twice: once for a narrow row of each text (flags, lengths, a digest, its last words), which is written
+and serves the limits, the copies and the open ends; and once for the trigrams, which are made and summed up where the texts
+are read. Copies are told by their digest, so no text is shuffled. Tables grow with the vocabulary of trigrams, not with the
+corpus; only beginnings of words that stand at an open end are looked for.
 
 Defined results. Null, empty and blank texts are not cut. A null source is a source of its own. Repeated ids are
 judged each by its text. Extra columns are ignored.
@@ -25,92 +29,134 @@ judged each by its text. Extra columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.runtime import cut
 
 # What a system may leave where it cut, at the end of a text.
 MARK = r"(?:\s*(?:\x{FFFD}+|…|\.{3,}|\[…\]|\[\.{3}\]))+$"
+SPACE = " \t\n\x0b\f\r"
 # Words and stops; commas and their like are neither.
 TOKEN = r"[\p{L}\p{M}\p{N}]+(?:['’][\p{L}\p{M}\p{N}]+)*['’]?|[^\p{L}\p{M}\p{N}\s,;:'’–—\-]"
-PAUSE = r"[,;:–—\-(]$"
+PAUSE = r"[,;:–—\-(]"
 # So many words before an open end are its context.
 CONTEXT = 8
-OPEN_END = r"[\p{L}\p{M}\p{N}'’]$"
-
-
-def _tokens(df: DataFrame, id: str, text: str, source: str) -> DataFrame:
-    """(id, source, chars, bytes, mark, space, pause, bare, tok): tok is words and '.' for stops, two '.' before."""
-    d = df.select(F.col(id).alias("id"), F.col(source).alias("source"), F.col(text).alias("text")).filter("text is not null and text rlike '\\\\S'")
-    core = F.regexp_replace("text", r"\s+$", "")
-    d = d.withColumn("core", core).withColumn("body", F.regexp_replace("core", MARK, ""))
-    words = F.regexp_extract_all(F.lower("body"), F.lit(TOKEN), F.lit(0))
-    plain = F.transform(words, lambda w: F.when(w.rlike(r"^[\p{L}\p{M}\p{N}]"), F.when(w.rlike(r"^\p{N}+$"), F.lit("#")).otherwise(w)).otherwise(F.lit(".")))
-    return d.select(
-        "id", "source", F.char_length("text").alias("chars"), F.octet_length("text").alias("bytes"), F.expr("substring(core, length(body) + 1)").alias("mark"),
-        (F.char_length("core") < F.char_length("text")).alias("space"), F.col("body").rlike(PAUSE).alias("pause"), F.col("body").rlike(OPEN_END).alias("bare"),
-        F.concat(F.array(F.lit("."), F.lit(".")), plain).alias("tok"),
-    )
+OPEN_END = r"[\p{L}\p{M}\p{N}'’]"
+# So many lengths beyond a limit must be next to empty.
+BEYOND = 10
+# More copied texts than this are joined and not broadcast.
+MOST_BROADCAST = 200_000
+
+
+def _texts(df: DataFrame, id: str, text: str, source: str) -> DataFrame:
+    """(id, source, text, core, body, low): core is without space at the end, body without a mark there, low in lower case."""
+    d = df.select(F.col(id).alias("id"), F.col(source).alias("source"), F.col(text).alias("text")).withColumn("core", F.rtrim("text", F.lit(SPACE))).filter("core <> ''")
+    marked = F.col("core").endswith("\ufffd") | F.col("core").endswith("\u2026") | F.col("core").endswith("...") | F.col("core").endswith("]")
+    return d.withColumn("body", F.when(marked, F.regexp_replace("core", MARK, "")).otherwise(F.col("core"))).withColumn("low", F.lower("body"))
+
+
+def _words(low: str) -> Column:
+    """Words and '.' for stops, two '.' before; numbers are '#'."""
+    words = F.regexp_extract_all(low, F.lit(TOKEN), F.lit(0))
+    number = lambda w: (w >= "0") & (w < ":") & w.rlike(r"^\p{N}+$")
+    stop = lambda w: (F.length(w) == 1) & ~w.rlike(r"[\p{L}\p{M}\p{N}]")
+    return F.concat(F.array(F.lit("."), F.lit(".")), F.transform(words, lambda w: F.when(number(w), "#").when(stop(w), ".").otherwise(w)))
 
 
-def _last() -> "list[F.Column]":
-    """The last three words of tok."""
-    return [F.expr("if(tok[size(tok) - 2] = '.', '.', tok[size(tok) - 3])").alias("w1"), F.expr("tok[size(tok) - 2]").alias("w2"), F.expr("tok[size(tok) - 1]").alias("w3")]
+def _narrow(texts: DataFrame) -> DataFrame:
+    """One narrow row for each text; w1 to w3 are the last words of those that could be cut, context a digest of the last ``CONTEXT``.
 
+    key is alike in copies, whatever their case, spacing and pauses; h is the text's own digest.
+    """
+    end = F.expr("right(body, 1)")
+    t = texts.select(
+        "id", "source", F.xxhash64("text").alias("h"), F.char_length("text").alias("chars"), F.octet_length("text").alias("bytes"), F.expr("substring(core, length(body) + 1)").alias("mark"),
+        (F.octet_length("core") < F.octet_length("text")).alias("space"), end.rlike(PAUSE).alias("pause"), end.rlike(OPEN_END).alias("bare"), "low")
+    t = t.withColumn("key", F.md5(F.concat(F.translate("low", SPACE + ",;:'\u2019\u2013\u2014-123456789", ""), (F.col("bare") | F.col("pause")).cast("string"))))
+    open_ = F.col("bare") | F.col("pause") | (F.col("mark") != "")
+    t = t.withColumn("tok", F.when(open_, _words("low"))).withColumns({"some": F.size("tok") > 2, "brief": F.size("tok") - 2 <= CONTEXT})
+    last = {"w1": "if(tok[size(tok) - 2] = '.', '.', tok[size(tok) - 3])", "w2": "tok[size(tok) - 2]", "w3": "tok[size(tok) - 1]", "context": f"xxhash64(slice(tok, greatest(1, size(tok) - {CONTEXT - 1}), {CONTEXT}))"}
+    return t.select("id", "source", "h", "chars", "bytes", "mark", "space", "pause", "bare", "brief", "key", *[F.expr(f"if(some, {e}, null)").alias(c) for c, e in last.items()])
+
+
+def _copies(narrow: DataFrame) -> DataFrame:
+    """(id, h, n, m) of the texts that have copies: how many copies there are, and how many rows share their weight; m is null where another row counts."""
+    rows = narrow.groupBy("key", "id", "h").agg(F.count(F.lit(1)).alias("k"))
+    first = rows.groupBy("key").agg(F.min(F.struct("id", "h")).alias("first"), F.sum("k").alias("n")).filter("n > 1")
+    return rows.join(first, "key").select("id", "h", "n", F.when((F.col("id") == F.col("first.id")) & (F.col("h") == F.col("first.h")), F.col("k")).alias("m"))
 
-def _once(t: DataFrame) -> DataFrame:
-    """(tok, n) of each text, whatever mark, space or case its copies have: n is 1, for short texts the number of copies."""
-    once = t.select("tok", F.md5(F.concat_ws(" ", "tok")).alias("_k")).groupBy("_k").agg(F.first("tok").alias("tok"), F.count(F.lit(1)).alias("n"))
-    return once.select("tok", F.when(F.size("tok") - 2 <= CONTEXT, F.col("n")).otherwise(1).alias("n"))
 
+def _usual(narrow: DataFrame) -> float:
+    """How often a text occurs as a rule, copies counted: 1, or more where the whole corpus is there several times."""
+    return narrow.groupBy("key").agg(F.count(F.lit(1)).alias("n")).agg(F.percentile_approx("n", 0.5)).first()[0] or 1
 
-def _trigrams(t: DataFrame) -> DataFrame:
+
+def _trigrams(texts: DataFrame, narrow: DataFrame) -> DataFrame:
     """(w1, w2, w3, inside, ended, open): counts over all positions of the distinct texts; open over distinct contexts."""
-    once = _once(t).filter("size(tok) > 2")
-    at = once.select("tok", "n", F.posexplode("tok").alias("i", "w3")).filter("i >= 2 and i < size(tok) - 1 and w3 <> '.'")
-    rows = at.select(F.expr("if(tok[i - 1] = '.', '.', tok[i - 2])").alias("w1"), F.expr("tok[i - 1]").alias("w2"), "w3", F.expr("tok[i + 1]").alias("w4"), "n")
-    inner = rows.groupBy("w1", "w2", "w3").agg(F.sum(F.when(F.col("w4") != ".", F.col("n")).otherwise(0)).alias("inside"), F.sum(F.when(F.col("w4") == ".", F.col("n")).otherwise(0)).alias("ended"))
-    ends = once.filter("element_at(tok, -1) <> '.'").select(*_last(), F.expr(f"slice(tok, greatest(1, size(tok) - {CONTEXT - 1}), {CONTEXT})").alias("context"), "n").groupBy("w1", "w2", "w3", "context").agg(F.max("n").alias("n"))
-    outer = ends.groupBy("w1", "w2", "w3").agg(F.sum("n").alias("open"))
-    return inner.join(outer, ["w1", "w2", "w3"], "full").fillna(0, ["inside", "ended", "open"])
-
-
-def _with_prefixes(tri: DataFrame, keys: list[str]) -> DataFrame:
-    """For each context and beginning of a word: how often longer words with that beginning occur there."""
-    total = tri.groupBy(*keys, "w3").agg(F.sum(F.col("inside") + F.col("ended")).alias("n"))
-    return total.filter("n > 0").select(*keys, F.explode(F.expr("transform(sequence(1, greatest(length(w3) - 1, 1)), i -> substring(w3, 1, i))")).alias("p"), "w3", "n").filter("p <> w3 and w3 <> '#'").groupBy(*keys, "p").agg(F.sum("n").alias("longer"))
-
-
-def _limits(t: DataFrame, least: int, share: float) -> DataFrame:
-    """(source, limit_chars, limit_bytes): a length at which texts of the source pile up and beyond which there is hardly any, else null."""
-    out = None
-    for what in ("chars", "bytes"):
-        n = t.groupBy("source", F.col(what).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-        total = n.groupBy("source").agg(F.sum("n").alias("all")).withColumnRenamed("source", "s")
-        piles = n.join(total, F.expr("source <=> s")).drop("s").filter((F.col("n") >= least) & (F.col("n") >= share * F.col("all")) & (F.col("v") >= 64))
-        top = piles.groupBy("source").agg(F.max("v").alias("v"), F.max_by("n", "v").alias("at"))
-        over = n.withColumnRenamed("source", "s").withColumnRenamed("v", "w").withColumnRenamed("n", "m").join(top, F.expr("s <=> source and w > v")).groupBy("source").agg(F.sum("m").alias("over"))
-        lim = top.join(over.withColumnRenamed("source", "s"), F.expr("source <=> s"), "left").select("source", F.when(F.coalesce("over", F.lit(0)) <= 0.1 * F.col("at"), F.col("v")).alias(f"limit_{what}"))
-        out = lim if out is None else out.join(lim.withColumnRenamed("source", "s"), F.expr("source <=> s"), "full").select(F.coalesce("source", "s").alias("source"), "limit_chars", "limit_bytes")
-    return out
+    usual = F.lit(float(_usual(narrow)))
+    copies = _copies(narrow)
+    if copies.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
+        copies = F.broadcast(copies)
+    once = texts.select("id", F.xxhash64("text").alias("h"), "low").join(copies, ["id", "h"], "left").filter("n is null or m is not null")
+    n = F.when(F.size("tok") - 2 <= CONTEXT, F.greatest(F.coalesce("n", F.lit(1)) / usual, F.lit(1.0))).otherwise(F.lit(1.0)) / F.coalesce("m", F.lit(1))
+    every = "transform(sequence(2, greatest(size(tok) - 2, 2)), i -> struct(if(tok[i - 1] = '.', '.', tok[i - 2]) as w1, tok[i - 1] as w2, get(tok, i) as w3, get(tok, i + 1) = '.' as over))"
+    rows = once.select(_words("low").alias("tok"), "m", "n").select(n.alias("n"), F.explode(F.expr(every)).alias("t")).select("n", "t.*").filter("w3 <> '.' and over is not null")
+    inner = rows.groupBy("w1", "w2", "w3").agg(F.sum(F.when(~F.col("over"), F.col("n")).otherwise(0.0)).alias("inside"), F.sum(F.when(F.col("over"), F.col("n")).otherwise(0.0)).alias("ended"))
+    last = narrow.filter("w3 <> '.'").groupBy("w1", "w2", "w3", "context", "brief", "key").agg(F.count(F.lit(1)).alias("n"))
+    last = last.groupBy("w1", "w2", "w3", "context").agg(F.max(F.when(F.col("brief"), F.greatest(F.col("n") / usual, F.lit(1.0))).otherwise(1.0)).alias("n"))
+    outer = last.groupBy("w1", "w2", "w3").agg(F.sum("n").alias("open"))
+    return inner.join(outer, ["w1", "w2", "w3"], "full").fillna(0.0, ["inside", "ended", "open"])
+
+
+def _longer(words: DataFrame, wanted: DataFrame, keys: list[str], begins: DataFrame, name: str) -> DataFrame:
+    """For each wanted context and beginning of a word: how often longer words with that beginning occur there."""
+    wanted = wanted.select(*keys, "w3").distinct()
+    near = words.join(wanted.select(*keys).distinct(), keys, "left_semi") if keys else words
+    return near.select(*keys, F.col("w3").alias("word"), "n").join(begins, "word").join(wanted, [*keys, "w3"], "left_semi").groupBy(*keys, "w3").agg(F.sum("n").alias(name))
+
+
+def _limits(narrow: DataFrame, least: int, share: float) -> DataFrame:
+    """(source, at_chars ARRAY, at_bytes ARRAY): the lengths at which different texts of the source pile up.
+
+    Either hardly any text of the source is longer (for lengths of 64 and more), or next to none of the ``BEYOND`` longer lengths
+    and the pile is far higher than the shorter lengths let expect, and holds 5 * ``share`` of the texts; so a source may have several limits
+    in characters. (In bytes the second would also hold where plain texts end at a limit in characters.)
+    """
+    sizes = F.explode(F.array(F.struct(F.lit("chars").alias("what"), F.col("chars").alias("v")), F.struct(F.lit("bytes").alias("what"), F.col("bytes").alias("v"))))
+    n = cut(narrow.select("source", "key", sizes.alias("x")).select("source", "key", "x.*").distinct().groupBy("source", "what", "v").agg(F.count(F.lit(1)).alias("n")))
+    total = n.groupBy("source", "what").agg(F.sum("n").alias("all"))
+    named = lambda d: d.withColumnsRenamed({"source": "s", "what": "k", "v": "w", "n": "m"})
+    piles = n.join(named(total), F.expr("source <=> s and what = k")).drop("s", "k").filter((F.col("n") >= least) & (F.col("n") >= share * F.col("all"))).withColumn("part", F.col("n") / F.col("all")).drop("all")
+    # at most 1 / share piles a source, each with the source's distinct lengths
+    near = piles.join(named(n), F.expr("source <=> s and what = k")).groupBy("source", "what", "v", "n", "part")
+    some = lambda c: F.coalesce(F.sum(F.when(F.expr(c), F.col("m"))), F.lit(0))
+    near = near.agg(some("w > v").alias("longer"), some(f"w > v and w <= v + {BEYOND}").alias("beyond"), (some(f"w < v - {BEYOND} and w >= v - {3 * BEYOND}") / (2 * BEYOND)).alias("usual"))
+    last = (F.col("v") >= 64) & (F.col("longer") <= 0.1 * F.col("n"))
+    cliff = (F.col("what") == "chars") & (F.col("beyond") <= 0.1 * BEYOND * F.col("n")) & (F.col("n") > F.col("usual") + 8 * F.sqrt(F.col("usual") + 1)) & (F.col("part") >= 5 * share)
+    return near.filter(last | cliff).groupBy("source").agg(*[F.collect_list(F.when(F.col("what") == w, F.col("v"))).alias(f"at_{w}") for w in ("chars", "bytes")])
 
 
 def cut_features(df: DataFrame, *, id: str, text: str, source: str, least: int = 3, share: float = 0.003) -> DataFrame:
     """One row for each text that could be cut: with an open end, a pause or a mark, and what the corpus says of its last words."""
-    t = _tokens(df, id, text, source)
-    tri = cut(_trigrams(t))  # as large as the corpus' vocabulary of trigrams
+    texts = _texts(df, id, text, source)
+    narrow = cut(_narrow(texts))
+    tri = cut(_trigrams(texts, narrow))  # as large as the corpus' vocabulary of trigrams
     two = tri.groupBy("w2", "w3").agg(*[F.sum(c).alias(f"{c}2") for c in ("inside", "ended", "open")])
-    one = tri.groupBy("w3").agg(*[F.sum(c).alias(f"{c}1") for c in ("inside", "ended", "open")])
-    ends = t.filter("bare or pause or mark <> ''").filter("size(tok) > 2").select(
-        "id", "source", "chars", "bytes", "mark", "space", "pause", "bare", *_last())
+    one = cut(tri.groupBy("w3").agg(*[F.sum(c).alias(f"{c}1") for c in ("inside", "ended", "open")]))  # as large as the vocabulary
+    ends = narrow.filter("w3 is not null")
+    wanted = ends.select("w1", "w2", "w3").distinct()
+    total = lambda d, n: d.withColumn("n", F.col(f"inside{n}") + F.col(f"ended{n}")).filter("n > 0 and w3 <> '#'")
+    begins = total(one, 1).select(F.col("w3").alias("word"), F.explode(F.expr("transform(sequence(1, greatest(length(w3) - 1, 1)), i -> substring(w3, 1, i))")).alias("w3"))
+    begins = begins.filter("w3 <> word").join(wanted.select("w3").distinct(), "w3", "left_semi")
     e = ends.join(tri, ["w1", "w2", "w3"], "left").join(two, ["w2", "w3"], "left").join(one, ["w3"], "left")
-    for keys, name in ((["w1", "w2"], "longer3"), (["w2"], "longer2"), ([], "longer1")):
-        e = e.join(_with_prefixes(tri, keys).withColumnRenamed("p", "w3").withColumnRenamed("longer", name), [*keys, "w3"], "left")
-    e = e.fillna(0, [c + n for n in ("", "2", "1") for c in ("inside", "ended", "open")] + ["longer3", "longer2", "longer1"])
-    lim = _limits(t, least, share).withColumnRenamed("source", "s")
-    e = e.join(lim, F.expr("source <=> s"), "left").drop("s")
-    return e.withColumn("gap", F.least(F.col("limit_chars") - F.col("chars"), F.col("limit_bytes") - F.col("bytes")))
+    for d, keys, name in ((total(tri, ""), ["w1", "w2"], "longer3"), (total(two, 2), ["w2"], "longer2"), (total(one, 1), [], "longer1")):
+        e = e.join(_longer(d, wanted, keys, begins, name), [*keys, "w3"], "left")
+    e = e.fillna(0.0, [c + n for n in ("", "2", "1") for c in ("inside", "ended", "open")] + ["longer3", "longer2", "longer1"])
+    e = e.join(_limits(narrow, least, share).withColumnRenamed("source", "s"), F.expr("source <=> s"), "left").drop("s")
+    beyond = lambda w: F.transform(F.coalesce(f"at_{w}", F.array().cast("array<int>")), lambda v: v - F.col(w))
+    gaps = F.concat(beyond("chars"), beyond("bytes"))
+    return e.withColumn("gap", F.array_min(F.filter(gaps, lambda g: g >= 0))).drop("at_chars", "at_bytes", "key", "context", "brief", "h")
 
 
 def truncated(df: DataFrame, *, id: str, text: str, source: str, slack: int = 6, rare: float = 0.02) -> DataFrame:
@@ -120,15 +166,15 @@ def truncated(df: DataFrame, *, id: str, text: str, source: str, slack: int = 6,
     """
     e = cut_features(df, id=id, text=text, source=source)
 
-    def inside_word(n: str, least: int) -> "F.Column":
+    def inside_word(n: str, least: int) -> Column:
         whole = F.col(f"inside{n}") + F.col(f"ended{n}") + F.greatest(F.col(f"open{n}") - 1, F.lit(0))
         return (F.col(f"longer{n or 3}") >= least) & (whole <= rare * F.col(f"longer{n or 3}"))
 
-    def inside_sentence(n: str, least: int) -> "F.Column":
+    def inside_sentence(n: str, least: int) -> Column:
         ends = F.col(f"ended{n}") + F.greatest(F.col(f"open{n}") - 1, F.lit(0))
         return (F.col(f"inside{n}") >= least) & (ends <= rare * (F.col(f"inside{n}") + ends))
 
-    def surely_inside(n: str) -> "F.Column":
+    def surely_inside(n: str) -> Column:
         ends = F.col(f"ended{n}") + F.greatest(F.col(f"open{n}") - 1, F.lit(0))
         most = ends + 3.1 * F.sqrt(ends + 1) + 4  # what a count seldom (one in a thousand) lies below
         return most <= rare * (F.col(f"inside{n}") + ends)
