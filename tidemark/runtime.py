@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable, Iterator, Sequence
 
@@ -18,26 +19,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint: rows are written once to the folder that all executors share, and read from there.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only where that is unset, as in tests on one
-    machine, a temporary folder is used.
+    The folder is the session's ``spark.checkpoint.dir``. Only where that is unset and the session runs in one process, as in tests,
+    a temporary folder is used; on a cluster, whose machines would not see it, that raises.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-"))
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tidemark-"))
     return df.checkpoint(eager=True)
 
 
-def map_segments(df: DataFrame, keys: Sequence[str], order: Sequence[str], fn: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame], schema: str) -> DataFrame:
+def map_segments(df: DataFrame, keys: Sequence[str], order: Sequence[str], fn: Callable[[pd.DataFrame, np.ndarray], "pd.DataFrame | Iterator[pd.DataFrame]"], schema: str) -> DataFrame:
     """Run ``fn`` over batches that hold whole segments, sorted by ``keys`` and ``order``.
 
     A segment is the rows of equal ``keys``; callers bound its size by making a block number part of the
     keys, so no task ever holds an unbounded group. ``fn(batch, starts)`` gets many segments at once
-    (``starts`` are their first positions), so that NumPy works across segments and not once per group.
+    (``starts`` are their first positions), so that NumPy works across segments and not once per group; it may return its rows in parts.
     Keys must not be null.
     """
     key_list = list(keys)
 
+    def parts(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        out = fn(batch, segment_starts(batch, key_list))
+        yield from [out] if isinstance(out, pd.DataFrame) else out
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
         for batch in batches:
@@ -57,11 +64,9 @@ def map_segments(df: DataFrame, keys: Sequence[str], order: Sequence[str], fn: C
             else:  # one segment that isn't the one held
                 ready, held = held, [batch]
             if ready:
-                whole = pd.concat(ready, ignore_index=True)
-                yield fn(whole, segment_starts(whole, key_list))
+                yield from parts(pd.concat(ready, ignore_index=True))
         if held:
-            ready = pd.concat(held, ignore_index=True)
-            yield fn(ready, segment_starts(ready, key_list))
+            yield from parts(pd.concat(held, ignore_index=True))
 
     return df.repartition(*key_list).sortWithinPartitions(*key_list, *order).mapInPandas(run, schema)
 
