@@ -1,17 +1,16 @@
 """Implausible readings: impossible values, stuck values and spikes, judged within each source.
 
-Method. Each source's readings of a field are decomposed by an undecimated Haar-like wavelet transform:
+Method. Each source's readings of a field are decomposed by undecimated wavelets, made by lifting:
 
 * the finest detail coefficients (differences of successive readings) give the source's usual scatter, as
   their median absolute value scaled to a standard deviation;
 * zero details in a row are a stuck sensor;
-* the detail coefficients at widths one to three contrast an excursion with the course before it and with
-  the course after it (medians of ``course`` readings, so that they are themselves robust). The smaller of
-  both contrasts, equal in sign, is the height of a spike: a lasting change contrasts with one side only.
+* at widths of one to ``widest`` readings every stretch is predicted from the course around it, halfway between the medians of ``course``
+  readings before and after (a median as predictor leaves spikes out of the course). What is left of each of its
+  readings are the detail coefficients; the least of them, all being of one sign, is the stretch's height. A lasting change differs from one side only, so
+  a stretch that doesn't rise from both sides by at least half of its height has none.
 
-A reading is a spike where that height reaches ``spike`` times the scatter. ``spike`` is 7 where a case is
-defined as eight times: the height is estimated against medians of noisy readings and falls short by up to
-about one scatter.
+A reading is a spike where the greatest height of a stretch that it is part of reaches ``spike``, 8, times the scatter.
 
 Scale. Nothing sees a whole source: readings are ranked by chunk counts and worked on in blocks with a halo,
 and the scatter is an aggregate with partial sums (``percentile_approx``).
@@ -71,15 +70,18 @@ def details(x: np.ndarray, seg: np.ndarray, turn: np.ndarray, out: np.ndarray, r
     before = _median3([shift(u, -1 - j) for j in range(course)])
     after = _median3([shift(u, 1 + j) for j in range(course)])
     best = np.zeros(m)
-    for width in range(1, widest + 1):  # excursions that begin here
+    for width in range(1, widest + 1):  # stretches that begin here
         back = shift(after, width - 1)
-        low, sign = np.full(m, np.inf), None
+        middle = before + wrap(back - before) / 2
+        low, rise, sign = np.full(m, np.inf), np.full(m, np.inf), None
         for j in range(width):
             x_j = shift(u, j)
-            b_j, a_j = wrap(x_j - before), wrap(x_j - back)
-            sign = np.sign(b_j) if sign is None else sign
-            low = np.minimum(low, np.where((np.sign(b_j) == sign) & (np.sign(a_j) == sign), np.minimum(np.abs(b_j), np.abs(a_j)), 0.0))
-        low = np.nan_to_num(low)
+            detail, b_j, a_j = wrap(x_j - middle), wrap(x_j - before), wrap(x_j - back)
+            sign = np.sign(detail) if sign is None else sign
+            same = (np.sign(detail) == sign) & (np.sign(b_j) == sign) & (np.sign(a_j) == sign)
+            low = np.minimum(low, np.where(same, np.abs(detail), 0.0))
+            rise = np.minimum(rise, np.where(same, np.minimum(np.abs(b_j), np.abs(a_j)), 0.0))
+        low = np.nan_to_num(np.where(rise >= 0.5 * low, low, 0.0))
         for j in range(width):
             best = np.fmax(best, np.nan_to_num(shift(low, -j)))
     height[keep] = best
@@ -95,7 +97,7 @@ def _median3(cols: list[np.ndarray]) -> np.ndarray:
     return np.where(c > 0, (v[i, lo] + v[i, np.minimum(hi, v.shape[1] - 1)]) / 2, np.nan)
 
 
-def implausible(df: DataFrame, *, id: str, source: str, order: str, limits: dict[str, tuple] = FRAME_LIMITS, run: int = 6, spike: float = 7.0, course: int = 3, widest: int = 3, block: int = 4096, chunk_span: float = 60_000.0) -> DataFrame:
+def implausible(df: DataFrame, *, id: str, source: str, order: str, limits: dict[str, tuple] = FRAME_LIMITS, run: int = 6, spike: float = 8.0, course: int = 3, widest: int = 3, block: int = 4096, chunk_span: float = 60_000.0) -> DataFrame:
     """(id, field, impossible, stuck, spike, ratio) of every implausible reading. See the module's text."""
     fields = list(limits)
     rows = df.select(F.col(id).alias("id"), F.col(source).alias("source"), F.col(order).cast("double").alias("ord"), *[F.col(f).cast("double").alias(f"f{i}") for i, f in enumerate(fields)]).filter("id is not null").dropDuplicates()
