@@ -53,3 +53,16 @@ def test_dirt(spark):
     assert run(spark, rows) == {("f", 0, "Depth"): ("m", 5)}
     e = spark.createDataFrame([], "file string, event_no int, start_ms bigint, text string")
     assert instants(e).count() == 0
+
+
+@pytest.mark.parametrize("block_ms", [3_600_000, 20_000])
+def test_a_unit_stated_once_holds_over_blocks(spark, block_ms):
+    """Also backwards: before it is stated, the chain knows it from what comes after."""
+    rows = []
+    for k in range(100):
+        feet = k >= 60
+        rows += events(["Depth"], [f"{500 + k} mm" if k == 30 else f"{500 + k}" if not feet else f"{(500 + k) / 304.8:.3f}"], start=1000 * k)
+    e = spark.createDataFrame(rows, "file string, event_no int, start_ms bigint, text string")
+    u = spark.createDataFrame([("g", "m", "m", "deg", "C")], "file string, length string, range string, angle string, temperature string")
+    got = {r.start_ms // 1000: r.unit for r in common_units(readings(instants(e), u), block_ms=block_ms).collect()}
+    assert [got[k] for k in range(100)] == ["mm"] * 60 + ["ft"] * 40

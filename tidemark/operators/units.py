@@ -9,7 +9,10 @@ is written. Viterbi decodes all series of a batch at once; where nothing is writ
 known, the jumps decide. An exact conversion by the decoded unit follows.
 
 Scale. Parsing is Spark expressions alone. A file is decoded in blocks of ``block_ms`` of its running time, so
-no task holds a whole file.
+no task holds a whole file. Where every reading has a declared unit the blocks are independent: what is declared outweighs any jump. Series
+without a recorder's unit that are longer than a block are decoded a second time, exactly as if in one piece: each block is summed up by a matrix of the best
+scores from each state before it to each state at its end, the matrices, one row a block, are multiplied through from both ends, and each block is decoded between
+the scores that come to it from before and after. So a unit stated once holds for hours.
 
 Defined results. Texts that are no number give no reading; a unit that is not known for the quantity makes the
 reading unusable. Repeated readings of one instant count once. Null file, time or name give no reading.
@@ -23,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.runtime import map_segments, padded
+from tidemark.runtime import carried, cut, map_segments
 
 # Units as (quantity, factor to the common unit, offset added before the factor, spellings in lower case).
 UNITS = {
@@ -74,29 +77,46 @@ def readings(instants: DataFrame, defaults: DataFrame) -> DataFrame:
     return flat.join(defaults, "file", "left").select("file", "start_ms", "name", "quantity", "value", "stated", F.coalesce(spelled(F.col("quantity"), usual), F.lit("")).alias("usual"))
 
 
-def viterbi(x: np.ndarray, real: np.ndarray, evidence: np.ndarray, factor: np.ndarray, offset: np.ndarray, switch: float, cap: float) -> np.ndarray:
-    """Decoded state of each step: (series, steps). evidence: (series, steps, states) log likelihoods."""
+def viterbi(x: np.ndarray, real: np.ndarray, evidence: np.ndarray, factor: np.ndarray, offset: np.ndarray, switch: float, cap: float, begin: np.ndarray | None = None, end: np.ndarray | None = None) -> np.ndarray:
+    """Decoded state of each step: (series, steps). evidence: (series, steps, states) log likelihoods; begin and end are added to those of the first and last step."""
     n, m = x.shape
-    k = len(factor)
-    level = np.log(np.abs((x[:, :, None] + offset) * factor) + 0.05)
-    best = evidence[:, 0].copy()
-    back = np.zeros((n, m, k), dtype=np.int8)
-    stay = switch * (1 - np.eye(k))
+    level = _levels(x, factor, offset)
+    best = evidence[:, 0] + (0 if begin is None else begin)
+    back = np.zeros((n, m, len(factor)), dtype=np.int8)
     for t in range(1, m):
-        jump = np.minimum(4.0 * np.abs(level[:, t, None, :] - level[:, t - 1, :, None]), cap)  # from, to
-        score = best[:, :, None] - jump - stay
+        score = best[:, :, None] + _moves(level[:, t - 1], level[:, t], switch, cap)
         arg = score.argmax(1)
         new = np.take_along_axis(score, arg[:, None, :], 1)[:, 0] + evidence[:, t]
         live = real[:, t]
-        back[:, t] = np.where(live[:, None], arg, np.arange(k))
+        back[:, t] = np.where(live[:, None], arg, np.arange(len(factor)))
         best = np.where(live[:, None], new, best)
     state = np.empty((n, m), dtype=np.int64)
-    state[:, m - 1] = best.argmax(1)
+    state[:, m - 1] = (best + (0 if end is None else end)).argmax(1)
     for t in range(m - 1, 0, -1):
         state[:, t - 1] = np.take_along_axis(back[:, t], state[:, t, None], 1)[:, 0]
     return state
 
 
+def _levels(x: np.ndarray, factor: np.ndarray, offset: np.ndarray) -> np.ndarray:
+    return np.log(np.abs((x[..., None] + offset) * factor) + 0.05)
+
+
+def _moves(before: np.ndarray, after: np.ndarray, switch: float, cap: float) -> np.ndarray:
+    """Score of each step from state to state: (series, from, to)."""
+    jump = np.minimum(4.0 * np.abs(after[:, None, :] - before[:, :, None]), cap)
+    return -jump - switch * (1 - np.eye(before.shape[1]))
+
+
+def _evidence(batch: pd.DataFrame, states: list[str], trust: float) -> np.ndarray:
+    """(rows, states): what is written against each state."""
+    code = {u: i for i, u in enumerate(states)}
+    out = np.zeros((len(batch), len(states)))
+    for column, weight in (("stated", 10 * trust), ("usual", trust)):
+        known = batch[column].map(code).fillna(-1).to_numpy().astype(int)
+        out -= np.where((known >= 0)[:, None] & (known[:, None] != np.arange(len(states))), weight, 0.0)
+    return out
+
+
 def common_units(rows: DataFrame, *, switch: float = 3.0, cap: float = 12.0, trust: float = 1e4, block_ms: int = 3_600_000) -> DataFrame:
     """(file, start_ms, name, value, unit, declared, common): each reading with its decoded unit and its value in the common unit."""
     by_quantity = {q: [u for u, v in UNITS.items() if v[0] == q] for q in COMMON}
@@ -107,10 +127,10 @@ def common_units(rows: DataFrame, *, switch: float = 3.0, cap: float = 12.0, tru
         common = np.empty(len(batch))
         lengths = np.diff(np.r_[starts, len(batch)])
         quantity = batch.quantity.to_numpy()
+        written = {q: _evidence(batch, states, trust) for q, states in by_quantity.items()}
         size_class = np.ceil(np.log2(np.maximum(lengths, 1))).astype(int)  # series of like length are decoded together
         for q, states in by_quantity.items():
             factor, offset = (np.array([UNITS[u][i] for u in states]) for i in (1, 2))
-            code = {u: i for i, u in enumerate(states)}
             for c in np.unique(size_class):
                 mine = np.flatnonzero((quantity[starts] == q) & (size_class == c))
                 if not len(mine):
@@ -118,15 +138,79 @@ def common_units(rows: DataFrame, *, switch: float = 3.0, cap: float = 12.0, tru
                 cols = np.arange(lengths[mine].max())
                 real = cols[None, :] < lengths[mine][:, None]
                 pos = np.where(real, starts[mine][:, None] + cols, 0)
-                ev = np.zeros((*pos.shape, len(states)))
-                for column, weight in (("stated", 10 * trust), ("usual", trust)):
-                    known = batch[column].map(code).fillna(-1).to_numpy().astype(int)[pos]
-                    ev += np.where(((known >= 0) & real)[:, :, None] & (known[:, :, None] != np.arange(len(states))), -weight, 0.0)
+                ev = np.where(real[:, :, None], written[q][pos], 0.0)
                 s = viterbi(batch.value.to_numpy(float)[pos], real, ev, factor, offset, switch, cap)
                 at = pos[real]
                 unit[at] = np.array(states, dtype=object)[s[real]]
                 common[at] = (batch.value.to_numpy(float)[at] + offset[s[real]]) * factor[s[real]]
-        return pd.DataFrame({"file": batch.file, "start_ms": batch.start_ms, "name": batch.name_, "value": batch.value, "unit": unit, "declared": (batch.stated != "") | (batch.usual != ""), "common": common})
-
-    src = src.withColumnRenamed("name", "name_")
-    return map_segments(src, ["file", "block", "name_"], ["start_ms", "value"], work, "file string, start_ms bigint, name string, value double, unit string, declared boolean, common double")
+        return batch[["file", "start_ms", "name_", "value", "quantity", "stated", "usual", "block"]].assign(unit=unit, common=common)
+
+    src = src.withColumnRenamed("name", "name_").select("file", "start_ms", "name_", "value", "quantity", "stated", "usual", "block")
+    kinds = "file string, start_ms bigint, name_ string, value double, quantity string, stated string, usual string, block bigint, unit string, common double"
+    decoded = cut(map_segments(src, ["file", "block", "name_"], ["start_ms", "value"], work, kinds))
+    loose = decoded.filter("usual = ''").groupBy("file", "name_").agg(F.min("block").alias("_lo"), F.max("block").alias("_hi")).filter("_lo < _hi").drop("_lo", "_hi")
+    if not loose.isEmpty():
+        again = _chained(decoded.filter("usual = ''").join(loose, ["file", "name_"]), by_quantity, switch, cap, trust, kinds)
+        decoded = decoded.join(loose.withColumn("_l", F.lit(True)), ["file", "name_"], "left").filter("_l is null or usual <> ''").select(*again.columns).unionByName(again)
+    return decoded.select("file", "start_ms", F.col("name_").alias("name"), "value", "unit", F.expr("stated <> '' or usual <> ''").alias("declared"), "common")
+
+
+def _chained(rows: DataFrame, by_quantity: dict[str, list[str]], switch: float, cap: float, trust: float, kinds: str) -> DataFrame:
+    """The rows with their units decoded over all blocks of their series."""
+    d = rows.drop("unit", "common").withColumn("series", F.concat_ws("\x00", "file", "name_"))
+    d = carried(d, "series", ["start_ms", "value"], F.col("block"), {"last": F.col("value")})  # the reading before this one
+    units_of = {q: tuple(np.array([UNITS[u][i] for u in states]) for i in (1, 2)) for q, states in by_quantity.items()}
+
+    def steps(batch: pd.DataFrame, s: int, e: int):  # noqa: ANN202
+        """Scores of moving into each reading of a block, from the one before it, with its evidence: (steps, from, to)."""
+        q = batch.quantity.iloc[s]
+        x = np.r_[batch["last"].iloc[s], batch.value.iloc[s:e]].astype(float)
+        level = _levels(x, *units_of[q])
+        moves = _moves(np.nan_to_num(level[:-1]), level[1:], switch, cap)
+        if np.isnan(x[0]):
+            moves[0] = 0.0  # nothing comes before the first reading
+        return moves + _evidence(batch.iloc[s:e], by_quantity[q], trust)[:, None, :]
+
+    def matrices(batch: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        out = []
+        for s, e in zip(starts, np.r_[starts[1:], len(batch)], strict=True):
+            best = None
+            for m in steps(batch, s, e):
+                best = m if best is None else (best[:, :, None] + m[None]).max(1)
+            out.append((batch.series.iloc[s], batch.block.iloc[s], best.tobytes()))
+        return pd.DataFrame(out, columns=["series", "block", "m"])
+
+    def scores(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("block")
+        k = int(np.sqrt(len(pdf.m.iloc[0]) // 8))
+        m = [np.frombuffer(x).reshape(k, k) for x in pdf.m]
+        before, after = [np.zeros(k)], [np.zeros(k)]
+        for x in m[:-1]:
+            v = (before[-1][:, None] + x).max(0)
+            before.append(v - v.max())
+        for x in m[:0:-1]:
+            v = (x + after[-1][None]).max(1)
+            after.append(v - v.max())
+        return pd.DataFrame({"series": pdf.series, "block": pdf.block, "before": [v.tobytes() for v in before], "after": [v.tobytes() for v in after[::-1]]})
+
+    def decode(batch: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        unit, common = np.empty(len(batch), dtype=object), np.empty(len(batch))
+        for s, e in zip(starts, np.r_[starts[1:], len(batch)], strict=True):
+            q = batch.quantity.iloc[s]
+            best, back = np.frombuffer(batch.before.iloc[s]), []
+            for m in steps(batch, s, e):
+                score = best[:, None] + m
+                back.append(score.argmax(0))
+                best = score.max(0)
+            state = np.empty(e - s, np.int64)
+            state[-1] = (best + np.frombuffer(batch.after.iloc[s])).argmax()
+            for t in range(e - s - 1, 0, -1):
+                state[t - 1] = back[t][state[t]]
+            factor, offset = units_of[q]
+            unit[s:e] = np.array(by_quantity[q], dtype=object)[state]
+            common[s:e] = (batch.value.iloc[s:e].to_numpy(float) + offset[state]) * factor[state]
+        return batch[["file", "start_ms", "name_", "value", "quantity", "stated", "usual", "block"]].assign(unit=unit, common=common)
+
+    sums = map_segments(d, ["series", "block"], ["start_ms", "value"], matrices, "series string, block bigint, m binary")
+    known = sums.groupBy("series").applyInPandas(scores, "series string, block bigint, before binary, after binary")  # one row a block
+    return map_segments(d.join(known, ["series", "block"]), ["series", "block"], ["start_ms", "value"], decode, kinds)
