@@ -10,8 +10,9 @@ differences from neighbours, the slope's drift from ``drift`` (per field, units
 
 Scale. A source is cut into blocks of ``block`` slots, and a block also gets the readings of ``halo`` slots on
 either side, so no task holds a whole source; a block's Kalman pass runs over all its segments at once.
-A stretch without readings longer than the halo is smoothed from what the halo holds, and comes out null where
-there is nothing at all.
+Where a field's last reading before a block, or its next one after it, lies beyond the halo, the block gets it and up to ``lend`` - 1 more
+behind it, however far away: which ones they are is known from one row a block. So a gap of any length is filled, with the uncertainty that
+it has; the level is null only for a source that has no reading of the field at all.
 
 Defined results. Rows with a null source or time take no part; fields null, NaN (no reading) or infinite (a
 value, so not missing, but not used to smooth). Repeats of a time all count as readings. The grid of a source
@@ -24,6 +25,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.runtime import map_segments, padded
@@ -87,7 +89,7 @@ def smooth(t: np.ndarray, y: np.ndarray, real: np.ndarray, r: np.ndarray, q: flo
     return out.T, np.maximum(var.T, 0.0)
 
 
-def regular_grid(df: DataFrame, *, source: str, time: str, fields: dict[str, float] = TELEMETRY_DRIFT, turns: dict[str, float] = {"heading": 360.0}, step_s: int = 10, block: int = 2160, halo: int = 180) -> DataFrame:
+def regular_grid(df: DataFrame, *, source: str, time: str, fields: dict[str, float] = TELEMETRY_DRIFT, turns: dict[str, float] = {"heading": 360.0}, step_s: int = 10, block: int = 2160, halo: int = 180, lend: int = 8) -> DataFrame:
     """(source, field, slot, value, sd, missing): one row for each slot of each source and field. See the module's text."""
     names = list(fields)
     step = step_s * 1_000_000
@@ -96,6 +98,7 @@ def regular_grid(df: DataFrame, *, source: str, time: str, fields: dict[str, flo
     place = F.floor(F.col("slot") / block)
     near = F.array_distinct(F.array(place, F.floor((F.col("slot") - halo) / block), F.floor((F.col("slot") + halo) / block)))
     held = rows.withColumn("block", F.explode(near)).select("source", "block", F.lit(1).alias("kind"), "us", *[f"f{i}" for i in range(len(names))], F.lit(0).cast("long").alias("lo"), F.lit(0).cast("long").alias("hi"))
+    held = held.unionByName(_lent(rows, len(names), block, halo, step, lend))
     bounds = rows.groupBy("source").agg(F.min("slot").alias("lo"), F.max("slot").alias("hi"))
     heads = bounds.withColumn("block", F.explode(F.sequence(F.floor(F.col("lo") / block), F.floor(F.col("hi") / block)))).select(
         "source", "block", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("us"), *[F.lit(None).cast("double").alias(f"f{i}") for i in range(len(names))],
@@ -147,6 +150,32 @@ def regular_grid(df: DataFrame, *, source: str, time: str, fields: dict[str, flo
     return map_segments(held.unionByName(heads), ["source", "block"], ["kind", "us"], work, schema)
 
 
+def _lent(rows: DataFrame, fields: int, block: int, halo: int, step: int, lend: int) -> DataFrame:
+    """The readings that blocks without readings near get from afar, as rows of those blocks."""
+    reading = lambda i: F.when(F.col(f"f{i}").isNotNull() & ~F.isnan(f"f{i}") & (F.abs(f"f{i}") != float("inf")), F.col("us"))
+    here = rows.groupBy("source", F.floor(F.col("slot") / block).alias("block")).agg(
+        *[f(reading(i)).alias(f"{n}{i}") for i in range(fields) for f, n in ((F.min, "lo"), (F.max, "hi"))])
+    span = here.groupBy("source").agg(F.min("block").alias("a"), F.max("block").alias("b"))
+    every = span.select("source", F.explode(F.sequence("a", "b")).alias("block")).join(here, ["source", "block"], "left")
+    by = W.partitionBy("source").orderBy("block")
+    past, future = by.rowsBetween(W.unboundedPreceding, -1), by.rowsBetween(1, W.unboundedFollowing)
+    begin, end = (F.col("block") * block - halo) * step, ((F.col("block") + 1) * block + halo) * step
+    far = []
+    for i in range(fields):
+        last, next_ = F.max(f"hi{i}").over(past), F.min(f"lo{i}").over(future)
+        for at, is_far, back in ((last, last < begin, True), (next_, next_ >= end, False)):
+            far.append(F.when(is_far, F.struct(F.lit(i).alias("i"), F.lit(back).alias("back"), at.alias("at"))))
+    want = every.select("source", F.col("block").alias("to"), F.array(*far).alias("far")).select("source", "to", F.explode(F.filter("far", lambda x: x.isNotNull())).alias("w"))
+    want = want.select("source", "to", "w.*", F.floor(F.col("at") / (step * block)).alias("block"))
+    near = rows.withColumn("block", F.floor(F.col("slot") / block)).join(want, ["source", "block"])
+    value = F.coalesce(*[F.when(F.col("i") == i, F.when(reading(i).isNotNull(), F.col(f"f{i}"))) for i in range(fields)])
+    near = near.withColumn("v", value).filter(F.col("v").isNotNull() & F.when(F.col("back"), F.col("us") <= F.col("at")).otherwise(F.col("us") >= F.col("at")))
+    rank = F.row_number().over(W.partitionBy("source", "to", "i", "back").orderBy(F.abs(F.col("us") - F.col("at")), "v"))
+    near = near.withColumn("_r", rank).filter(F.col("_r") <= lend)
+    zero = F.lit(0).cast("long")
+    return near.select("source", F.col("to").alias("block"), F.lit(1).alias("kind"), "us", *[F.when(F.col("i") == i, F.col("v")).alias(f"f{i}") for i in range(fields)], zero.alias("lo"), zero.alias("hi"))
+
+
 def _noise(y: np.ndarray, seg: np.ndarray, starts: np.ndarray, turn: float | None) -> np.ndarray:
     """Observation variance of each segment, from the median absolute difference of successive readings."""
     ok = np.flatnonzero(~np.isnan(y))
