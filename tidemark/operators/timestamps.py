@@ -4,7 +4,8 @@ Method. A text is turned into its shape mask (every digit 9, every letter a). Al
 their parts at the same places, so a mask is mapped to a parser once (``parser_of``, kept per worker), and
 the parser converts all texts of its mask at once: digits by slices of a character matrix, zone names and
 months by their distinct values. Local times become UTC by the zone's transition table, which is made once on
-the driver from the zone database and carries that database's version.
+the driver: from the transitions that the zone database lists, and where its list ends from the rule that it gives, over one
+cycle of the calendar (400 years), which repeats. The database's version goes with every instant.
 
 Rules. A stated zone or offset wins over the source's zone. Dotted dates are day first, dates with slashes
 that begin with a year are year first, others follow the source's order; years of two digits are 20xx. A
@@ -17,12 +18,14 @@ Defined results. Null, empty, blank or unusable text, days that don't exist and
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 from datetime import datetime, timedelta, timezone
 from functools import lru_cache
+from importlib.resources import files
 from pathlib import Path
-from zoneinfo import ZoneInfo
+from zoneinfo import TZPATH, ZoneInfo
 
 import numpy as np
 import pandas as pd
@@ -48,12 +51,21 @@ def shape(text: str) -> str:
     return re.sub(r"[^\W\d_]", "a", re.sub(r"\d", "9", text))
 
 
+#: Seconds of the calendar's cycle of 400 years; after the last year of a zone's table its changes repeat.
+CYCLE = 146_097 * 86_400
+
+
 @dataclass(frozen=True)
 class ZoneTable:
-    """Offsets (seconds) of a zone: off[i] holds from at[i] (UTC seconds) on."""
+    """Offsets (seconds) of a zone: off[i] holds from at[i] (UTC seconds) on; what lies after ``end`` is as it was some cycles before."""
 
     at: np.ndarray
     off: np.ndarray
+    end: int
+
+    def offset(self, utc: np.ndarray) -> np.ndarray:
+        over = np.maximum(utc - self.end + CYCLE - 1, 0) // CYCLE
+        return self.off[np.searchsorted(self.at, utc - over * CYCLE, side="right") - 1]
 
 
 def zone_version() -> str:
@@ -70,18 +82,46 @@ def zone_version() -> str:
         return "unknown"
 
 
+def _listed(name: str) -> list[int] | None:
+    """The instants of a zone's changes that the database's file lists, in UTC seconds; None where there is no such file."""
+    for base in TZPATH:
+        path = Path(base, name)
+        if path.is_file():
+            data = path.read_bytes()
+            break
+    else:
+        try:
+            data = files("tzdata").joinpath("zoneinfo", *name.split("/")).read_bytes()
+        except (ImportError, OSError):
+            return None
+    at, size = 0, 4
+    counts = struct.unpack(">6l", data[20:44])
+    if data[4:5] >= b"2":  # a second block with times of 64 bits follows the first
+        ut, std, leap, times, kinds, chars = counts
+        at = 44 + times * 5 + kinds * 6 + chars + leap * 8 + std + ut
+        counts, size = struct.unpack(">6l", data[at + 20 : at + 44]), 8
+    return list(struct.unpack(f">{counts[3]}{'q' if size == 8 else 'l'}", data[at + 44 : at + 44 + counts[3] * size]))
+
+
 @lru_cache(maxsize=64)
-def zone_table(name: str, first: int = 1970, last: int = 2100) -> ZoneTable | None:
+def zone_table(name: str) -> ZoneTable | None:
     try:
         z = ZoneInfo(name)
     except Exception:  # noqa: BLE001 - an unknown or malformed name
         return None
     epoch = datetime(1970, 1, 1, tzinfo=timezone.utc)
-    off = lambda s: int((epoch + timedelta(seconds=s)).astimezone(z).utcoffset().total_seconds())
-    begin, end = (int((datetime(y, 1, 1, tzinfo=timezone.utc) - epoch).total_seconds()) for y in (first, last))
-    at, offs, step = [np.iinfo(np.int64).min // 4], [off(begin)], 7 * 86400
-    for s in range(begin, end, step):
-        lo, hi = s, s + step
+    off = lambda s: int((epoch + timedelta(seconds=int(s))).astimezone(z).utcoffset().total_seconds())
+    year = lambda y: int((datetime(y, 1, 1, tzinfo=timezone.utc) - epoch).total_seconds())
+    listed = _listed(name)
+    at = [np.iinfo(np.int64).min // 4]
+    offs = [off(year(2))]
+    for t in [t for t in listed or [] if t > year(2)]:
+        at.append(t)
+        offs.append(off(t))
+    begin = max(listed[-1] if listed else year(1800), year(1800))
+    end = begin + CYCLE + 366 * 86_400
+    for lo in range(begin, end, 7 * 86_400):  # by the rule, whose changes are months apart
+        hi = lo + 7 * 86_400
         while off(hi) != offs[-1]:
             a, b = lo, hi
             while b - a > 1:
@@ -90,16 +130,15 @@ def zone_table(name: str, first: int = 1970, last: int = 2100) -> ZoneTable | No
             at.append(b)
             offs.append(off(b))
             lo = b
-    return ZoneTable(np.array(at, dtype=np.int64), np.array(offs, dtype=np.int64))
+    return ZoneTable(np.array(at, dtype=np.int64), np.array(offs, dtype=np.int64), end)
 
 
 def to_utc(local_ms: np.ndarray, zone: ZoneTable) -> tuple[np.ndarray, np.ndarray]:
     """Earlier and later instant of a zone's local times; equal where there is one, NONE where there is none."""
     sec = local_ms // 1000
-    offset = lambda u: zone.off[np.searchsorted(zone.at, u, side="right") - 1]
-    a, b = offset(sec - 86400), offset(sec + 86400)  # before and after any change nearby
+    a, b = zone.offset(sec - 86400), zone.offset(sec + 86400)  # before and after any change nearby
     ua, ub = sec - a, sec - b
-    va, vb = offset(ua) == a, offset(ub) == b
+    va, vb = zone.offset(ua) == a, zone.offset(ub) == b
     ms = local_ms - sec * 1000
     ua, ub = ua * 1000 + ms, ub * 1000 + ms
     lo = np.where(va & vb, np.minimum(ua, ub), np.where(va, ua, np.where(vb, ub, NONE)))
@@ -293,7 +332,7 @@ def iso_ms(ms: np.ndarray) -> np.ndarray:
 
 
 def instants_utc(df: DataFrame, *, keys: list[str], file: str, run_ms: str, date: str, time: str, order: str, zone: str, zones: list[str]) -> DataFrame:
-    """(keys, utc_ms): the one UTC instant of each row whose date and time are real.
+    """(keys, utc_ms, zone_version): the one UTC instant of each row whose date and time are real, and the version of the zone tables.
 
     zones: the zone names that may occur (a fixed, small list; rows of other zones without a stated zone give null).
     """
@@ -309,7 +348,7 @@ def instants_utc(df: DataFrame, *, keys: list[str], file: str, run_ms: str, date
 
     kinds = dict(df.dtypes)
     both = src.mapInPandas(work, ", ".join(f"`{c}` {kinds[c]}" for c in cols) + ", utc_lo bigint, utc_hi bigint")
-    return settle(both, file, run_ms).select(*keys, "utc_ms")
+    return settle(both, file, run_ms).select(*keys, "utc_ms", F.lit(zone_version()).alias("zone_version"))
 
 
 def settle(both: DataFrame, file: str, run_ms: str) -> DataFrame:
