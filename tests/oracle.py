@@ -26,7 +26,7 @@ def norm(df: pd.DataFrame) -> list[tuple]:
         if isinstance(v, (bool, np.bool_)):
             return str(bool(v))
         if isinstance(v, (float, np.floating)):
-            return "null" if np.isnan(v) else f"{float(v) + 0.0:.9g}"
+            return "nan" if np.isnan(v) else f"{float(v) + 0.0:.9g}"
         if isinstance(v, (int, np.integer)):
             return f"{float(v):.9g}" if abs(int(v)) < 1 << 50 else str(int(v))
         return str(v)
@@ -34,6 +34,16 @@ def norm(df: pd.DataFrame) -> list[tuple]:
     return sorted(tuple(one(v) for v in r) for r in df[sorted(df.columns)].itertuples(index=False))
 
 
+def spark_rows(df) -> pd.DataFrame:  # noqa: ANN001
+    """A query's rows with null and NaN apart, which toPandas makes one of."""
+    return pd.DataFrame([tuple(r) for r in df.collect()], columns=df.columns, dtype=object)
+
+
+def sql_rows(con: duckdb.DuckDBPyConnection, sql: str) -> pd.DataFrame:
+    got = con.execute(sql)
+    return pd.DataFrame(got.fetchall(), columns=[c[0] for c in got.description], dtype=object)
+
+
 def differ(mine: pd.DataFrame, theirs: pd.DataFrame) -> str:
     if sorted(mine.columns) != sorted(theirs.columns):
         return f"columns {sorted(mine.columns)} and {sorted(theirs.columns)}"

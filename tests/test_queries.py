@@ -17,10 +17,10 @@ def con():
 
 @pytest.mark.parametrize("name", list(catalogue.queries()))
 def test_query(spark, con, name):
-    mine = catalogue.queries()[name](spark, DIR).toPandas()
+    mine = oracle.spark_rows(catalogue.queries()[name](spark, DIR))
     sql = catalogue.oracle_sql().get(name)
     if sql:
-        assert oracle.differ(mine, con.execute(sql).fetchdf()) == ""
+        assert oracle.differ(mine, oracle.sql_rows(con, sql)) == ""
 
 
 def test_entry(spark):

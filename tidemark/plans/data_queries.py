@@ -24,6 +24,11 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return implausible_readings(spark, sf_dir).select(F.col("id").alias("frame_id"), "field").distinct()
 
 
+def p2_certain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The readings that are impossible or stuck, whatever their neighbours' course."""
+    return implausible_readings(spark, sf_dir).filter("impossible or stuck").select(F.col("id").alias("frame_id"), "field", "impossible", "stuck").distinct()
+
+
 def file_recorders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each file: its recorder's columns."""
     files = table(spark, sf_dir, "inspections").filter("file is not null").groupBy("file").agg(F.min("recorder").alias("recorder"))
@@ -71,34 +76,68 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_grid(spark, sf_dir).filter("missing").select(F.col("source").alias("inspection_id"), "field", F.date_format("slot", "yyyy-MM-dd HH:mm:ss").alias("slot"))
 
 
+def p5_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(inspection_id, field, slots, missing, filled, off): of each series all slots, the missing, those that have a value, and those whose value lies far from the mean of the slot's own readings."""
+    g = p5_grid(spark, sf_dir)
+    t = table(spark, sf_dir, "telemetry").filter("inspection_id is not null and time is not null").select("inspection_id", F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', time) div 10").alias("k"), F.expr("stack(2, 'depth', depth, 'pitch', pitch) as (field, v)"))
+    own = t.filter("v is not null and not isnan(v)").groupBy(F.col("inspection_id").alias("source"), "field", "k").agg(F.avg("v").alias("own"))
+    g = g.withColumn("k", F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', slot) div 10")).join(own, ["source", "field", "k"], "left")
+    off = F.abs(F.col("value") - F.col("own")) > 10 + 6 * F.col("sd")
+    return g.groupBy(F.col("source").alias("inspection_id"), "field").agg(F.count(F.lit(1)).alias("slots"), F.count_if("missing").alias("missing"), F.count("value").alias("filled"), F.count_if(off).alias("off"))
+
+
 def p6_common(spark: SparkSession, sf_dir: str) -> DataFrame:
     usual = file_recorders(spark, sf_dir).select("file", F.col("depth_unit").alias("length"), F.col("range_unit").alias("range"), F.col("angle_unit").alias("angle"), F.col("temp_unit").alias("temperature"))
     return common_units(readings(instants(table(spark, sf_dir, "telemetry_raw")), usual))
 
 
+def p6_undeclared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file, start_ms, name, value, unit, common): all readings decoded without what recorders usually measure in, so that of most only the chain can tell."""
+    none = F.lit(None).cast("string")
+    files = table(spark, sf_dir, "telemetry_raw").select("file").distinct().select("file", *[none.alias(c) for c in ("length", "range", "angle", "temperature")])
+    return common_units(readings(instants(table(spark, sf_dir, "telemetry_raw")), files)).filter("not declared").select("file", "start_ms", "name", "value", "unit", "common")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = p6_common(spark, sf_dir).filter(~F.col("unit").isin(*COMMON.values()))
     return rows.select("file", "start_ms", "name", F.rint(F.col("common") * 1000).cast("long").alias("milli")).distinct()
 
 
+def p6_declared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is declared, in common units."""
+    return p6_common(spark, sf_dir).filter("declared").select("file", "start_ms", "name", "value", "unit", F.round("common", 6).alias("common"))
+
+
 def queries() -> dict:
-    return {"p2_found": p2_found, "p2_readings": implausible_readings, "p3_found": p3_found, "p5_found": p5_found, "p5_grid": p5_grid, "p6_found": p6_found, "p6_common": p6_common}
+    return {"p2_found": p2_found, "p2_readings": implausible_readings, "p2_certain": p2_certain, "p3_found": p3_found, "p5_found": p5_found, "p5_grid": p5_grid, "p5_slots": p5_slots, "p6_found": p6_found, "p6_common": p6_common, "p6_declared": p6_declared, "p6_undeclared": p6_undeclared}
 
 
 _UNITS = ", ".join(f"('{q}', '{n.replace(chr(39), chr(39) * 2)}', '{u}', {factor!r}::DOUBLE, {offset!r}::DOUBLE)" for u, (q, factor, offset, names) in UNITS.items() for n in names)
 
 
-def oracle_sql() -> dict[str, str]:
-    """None for p2 and p3, whose definitions are no plain SQL; see the tests."""
-    return {
-        # by what is declared alone: with the value, in the key, by the recorder
-        "p6_found": f"""WITH u(q, n, u, f, o) AS (VALUES {_UNITS}), rec AS (SELECT file, min(recorder) AS recorder FROM inspections WHERE file IS NOT NULL GROUP BY 1),
+_DECLARED = f"""WITH u(q, n, u, f, o) AS (VALUES {_UNITS}), rec AS (SELECT file, min(recorder) AS recorder FROM inspections WHERE file IS NOT NULL GROUP BY 1),
 e AS (SELECT file, start_ms, row_number() OVER (PARTITION BY file, start_ms ORDER BY event_no) AS n, string_split(regexp_replace(text, '^[^}}]*\\}}', ''), '\\N') AS l FROM (SELECT DISTINCT * FROM telemetry_raw)),
 p AS (SELECT k.file, k.start_ms, unnest(k.l) AS k, unnest(v.l[:len(k.l)]) AS v FROM e k JOIN e v ON k.file = v.file AND k.start_ms = v.start_ms AND k.n % 2 = 1 AND v.n = k.n + 1),
 r AS (SELECT file, start_ms, regexp_extract(k, '^(Depth|Rangefinder|Water Temp|Heading|Pitch|Roll|Camera Tilt)', 1) AS name, regexp_replace(regexp_extract(k, '^(?:Depth|Rangefinder|Water Temp|Heading|Pitch|Roll|Camera Tilt)(?:, | in | \\(| \\[)?(.*):$', 1), '[\\])]$', '') AS ku,
 regexp_extract(v, '^([+-]?[0-9]+(?:[.,][0-9]+)?(?:e-?[0-9]+)?)\\s*(.*)$', 1) AS x, regexp_extract(v, '^([+-]?[0-9]+(?:[.,][0-9]+)?(?:e-?[0-9]+)?)\\s*(.*)$', 2) AS vu FROM p),
-s AS (SELECT r.*, CASE WHEN name IN ('Depth', 'Rangefinder') THEN 'length' WHEN name = 'Water Temp' THEN 'temperature' ELSE 'angle' END AS q, CASE name WHEN 'Depth' THEN depth_unit WHEN 'Rangefinder' THEN range_unit WHEN 'Water Temp' THEN temp_unit ELSE angle_unit END AS du FROM r LEFT JOIN rec USING (file) LEFT JOIN recorders USING (recorder) WHERE name <> '' AND x <> '')
+s AS (SELECT r.*, CASE WHEN name IN ('Depth', 'Rangefinder') THEN 'length' WHEN name = 'Water Temp' THEN 'temperature' ELSE 'angle' END AS q, CASE name WHEN 'Depth' THEN depth_unit WHEN 'Rangefinder' THEN range_unit WHEN 'Water Temp' THEN temp_unit ELSE angle_unit END AS du FROM r LEFT JOIN rec USING (file) LEFT JOIN recorders USING (recorder) WHERE name <> '' AND x <> '')"""
+
+
+def oracle_sql() -> dict[str, str]:
+    """None for the spikes of p2 and for p3, whose definitions are no plain SQL; see the tests."""
+    return {
+        "p2_certain": """WITH f AS (SELECT DISTINCT frame_id, inspection_id AS i, framenumber AS o, depth, heading, roll, rangefinder FROM frames WHERE frame_id IS NOT NULL),
+r AS (SELECT frame_id, i, o, unnest(['depth', 'heading', 'roll', 'rangefinder']) AS field, unnest([depth, heading, roll, rangefinder]) AS v FROM f), v AS (SELECT *, v < CASE field WHEN 'roll' THEN -180 ELSE 0 END OR v > CASE field WHEN 'depth' THEN 300 WHEN 'heading' THEN 360 WHEN 'roll' THEN 180 ELSE 100 END OR (field = 'heading' AND v >= 360) AS impossible FROM r WHERE v IS NOT NULL AND NOT isnan(v)),
+p AS (SELECT *, CASE WHEN v IS DISTINCT FROM lag(v) OVER (PARTITION BY i, field ORDER BY o, frame_id) THEN 1 ELSE 0 END AS x FROM v WHERE i IS NOT NULL AND o IS NOT NULL AND NOT isnan(o)), g AS (SELECT *, sum(x) OVER (PARTITION BY i, field ORDER BY o, frame_id ROWS UNBOUNDED PRECEDING) AS k FROM p),
+s AS (SELECT *, count(*) OVER (PARTITION BY i, field, k) >= 6 AS stuck FROM g) SELECT DISTINCT frame_id, field, impossible, coalesce(stuck, false) AS stuck FROM v LEFT JOIN (SELECT frame_id, i, o, field, stuck FROM s) s USING (frame_id, i, o, field) WHERE impossible OR stuck""",
+        # by what is declared alone: with the value, in the key, by the recorder
+        "p6_found": f"""{_DECLARED}
 SELECT DISTINCT file, start_ms, name, CAST(round_even((replace(x, ',', '.')::DOUBLE + o) * f * 1000, 0) AS BIGINT) AS milli FROM s JOIN u ON u.q = s.q AND u.n = lower(CASE WHEN vu <> '' THEN vu WHEN ku <> '' THEN ku ELSE du END) WHERE u.u NOT IN ('m', 'deg', 'C')""",
+        "p6_declared": f"""{_DECLARED}
+SELECT DISTINCT file, start_ms, name, replace(x, ',', '.')::DOUBLE AS value, u.u AS unit, round((replace(x, ',', '.')::DOUBLE + o) * f, 6) AS common FROM s JOIN u ON u.q = s.q AND u.n = lower(CASE WHEN vu <> '' THEN vu WHEN ku <> '' THEN ku ELSE du END)""",
+        "p5_slots": """WITH t AS (SELECT inspection_id AS i, epoch_us(time) // 10000000 AS s, depth, heading, pitch FROM telemetry WHERE inspection_id IS NOT NULL AND time IS NOT NULL),
+g AS (SELECT i, max(s) - min(s) + 1 AS slots FROM t GROUP BY i), h AS (SELECT i, s, unnest(['depth', 'heading', 'pitch']) AS field, unnest([depth, heading, pitch]) AS v FROM t), n AS (SELECT i, field, count(DISTINCT s) AS full_ FROM h WHERE v IS NOT NULL AND NOT isnan(v) GROUP BY 1, 2),
+f AS (SELECT i, slots, unnest(['depth', 'heading', 'pitch']) AS field FROM g) SELECT i AS inspection_id, field, slots, slots - coalesce(full_, 0) AS missing, CASE WHEN full_ > 0 THEN slots ELSE 0 END AS filled, 0 AS off FROM f LEFT JOIN n USING (i, field)""",
         "p5_found": """WITH t AS (SELECT inspection_id AS i, epoch_us(time) // 10000000 AS s, depth, heading, pitch FROM telemetry WHERE inspection_id IS NOT NULL AND time IS NOT NULL),
 g AS (SELECT i, unnest(generate_series(min(s), max(s))) AS s FROM t GROUP BY i), f AS (SELECT i, s, unnest(['depth', 'heading', 'pitch']) AS field FROM g),
 h AS (SELECT i, s, unnest(['depth', 'heading', 'pitch']) AS field, unnest([depth, heading, pitch]) AS v FROM t), full_ AS (SELECT DISTINCT i, s, field FROM h WHERE v IS NOT NULL AND NOT isnan(v))
