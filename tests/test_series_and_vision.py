@@ -62,6 +62,8 @@ def test_suppression(spark):
     w = h = np.ones(4)
     p = np.array([[0.9, 0.0], [0.8, 0.7], [0.5, 0.1], [0.1, 0.1]])
     assert V.suppress(x, y, w, h, p) == [(0, 0, 0.9), (1, 1, 0.7), (2, 0, 0.5)]
+    far = np.array([0.0, 9.0])  # a box may be chosen for several classes
+    assert V.suppress(far, far * 0, far * 0 + 1, far * 0 + 1, np.array([[0.9, 0.8], [0.1, 0.1]])) == [(0, 0, 0.9), (0, 1, 0.8)]
     assert V.suppress(x[:0], y[:0], w[:0], h[:0], p[:0]) == []
     d = spark.createDataFrame([("i", float(x[k]), 0.0, 1.0, 1.0, p[k].tolist()) for k in range(4)] + [("j", None, 0.0, 1.0, 1.0, [1.0])], "image_id string, x double, y double, w double, h double, class_probs array<double>")
     assert [(r["class"], r.probability) for r in V.detections(d).collect()] == [(0, 0.9), (1, 0.7), (0, 0.5)]

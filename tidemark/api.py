@@ -26,7 +26,9 @@ class InspectionGraph:
     clusters: DataFrame
     in_cluster: DataFrame
     in_mosaic: DataFrame | None = None
-    parts: DataFrame | None = None
+    parts: DataFrame | None = None  # vis_code and, for the table by name, name
+    ships: DataFrame | None = None  # imo, name
+    mosaics: DataFrame | None = None  # mosaic_id, marine_growth_percentage, ship_hull_percentage
 
     @classmethod
     def read(cls, spark: SparkSession, path: str) -> "InspectionGraph":
@@ -47,14 +49,13 @@ class InspectionGraph:
 
     def get_graph(self, options: FilterOptions) -> dict[str, set]:
         spark = self.frames.sparkSession
-        depicts = G.depicts_of(self.frames)
         parts = self.parts if self.parts is not None else spark.createDataFrame([(c,) for c in sorted(set(G.DEPICTS.values()))], "vis_code string")
-        v = G.view(self.frames, self.similar, self.in_cluster, self.clusters, self.in_mosaic, depicts, parts, options)
+        v = G.view(self.frames, self.similar, self.in_cluster, self.clusters, self.in_mosaic, None, parts, options)
         return {k: {tuple(r) for r in d.collect()} for k, d in v.items()}
 
     def get_histogram_data(self, options: FilterOptions, widths: dict[str, float] | None = None) -> dict[str, list[tuple[float, int]]]:
-        h = A.histogram_values(self.frames, self.similar, options)
-        w = {"uciqe": 0.25, "depth": 0.5, "similar": 0.1, "visually_similar": 0.25} | (widths or {})
+        h = A.histogram_values(self.frames, self.similar, options, self.in_mosaic, self.mosaics)
+        w = {"growth": 5.0, "uciqe": 0.25, "depth": 0.5, "similar": 0.1, "visually_similar": 0.25} | (widths or {})
         out = {}
         for name, d in h.items():
             out[name] = sorted((r.bin, r["count"]) for r in A.value_histogram(d, d.columns[0], w[name]).collect())
@@ -67,7 +68,9 @@ class InspectionGraph:
 
     def get_tables(self, options: FilterOptions) -> tuple[list[dict], list[dict]]:
         f = of_inspections(self.frames, options).filter(findings(options))
-        return [r.asDict() for r in A.defect_table(f, ["imo"]).collect()], [r.asDict() for r in A.by_part(f, G.depicts_of(f)).collect()]
+        ships = A.defect_table(f, ["imo"]) if self.ships is None else A.by_ship(f, self.inspections, self.ships)
+        named = self.parts if self.parts is not None and "name" in self.parts.columns else None
+        return [r.asDict() for r in ships.collect()], [r.asDict() for r in A.by_part(f, G.depicts_of(f), named).collect()]
 
     def get_cluster_table(self, options: FilterOptions) -> list[dict]:
         f = of_inspections(self.frames, options)

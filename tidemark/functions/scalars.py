@@ -87,6 +87,12 @@ def row_id(cluster: Column | str, inspection: Column | str) -> Column:
     return F.concat(col(cluster).cast("string"), F.lit("="), col(inspection).cast("string"))
 
 
+def split_row_id(row: Column | str) -> Column:
+    """(cluster INT, inspection INT) of a row id; nulls where it is none."""
+    part = lambda i: F.regexp_extract(col(row), r"^(-?\d+)=(-?\d+)$", i).try_cast("int")
+    return F.struct(part(1).alias("cluster"), part(2).alias("inspection"))
+
+
 def pseudonym(key: Column | str, names: list[str]) -> Column:
     """A name that depends on the key alone."""
     return F.element_at(F.array(*map(F.lit, names)), (F.pmod(F.conv(F.substring(F.md5(col(key).cast("string").cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(len(names))) + 1).cast("int"))

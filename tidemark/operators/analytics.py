@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalars import heading_bin
+from tidemark.functions.scalars import growth_ratio, heading_bin
 from tidemark.model import DEFECTS, LABELS
 from tidemark.operators.filters import SEEN, FilterOptions, findings, of_inspections
 
@@ -22,9 +22,18 @@ def defect_table(frames: DataFrame, keys: Sequence[str], labels: Sequence[str] =
     return frames.groupBy(*keys).agg(*[count_seen(x) for x in labels])
 
 
-def by_part(frames: DataFrame, depicts: DataFrame, part: str = "vis_code", labels: Sequence[str] = DEFECTS) -> DataFrame:
-    """Defects for each part; a frame counts once for each part that it shows."""
-    return defect_table(frames.join(depicts.select("frame_id", part).distinct(), "frame_id"), [part], labels)
+def by_ship(frames: DataFrame, inspections: DataFrame, ships: DataFrame, labels: Sequence[str] = DEFECTS) -> DataFrame:
+    """(name, imo, labels): defects for each ship, by the ship of the frame's inspection. Inspections of unknown ships are left out."""
+    of = inspections.select("inspection_id", "imo").distinct().join(ships.select("imo", "name").distinct(), "imo")
+    return defect_table(frames.drop("imo").join(of, "inspection_id"), ["name", "imo"], labels)
+
+
+def by_part(frames: DataFrame, depicts: DataFrame, parts: DataFrame | None = None, labels: Sequence[str] = DEFECTS) -> DataFrame:
+    """Defects for each part by its code or, with ``parts`` (vis_code, name), by its name over all ships; a frame counts once for each part that it shows."""
+    shown, key = depicts.select("frame_id", "vis_code").distinct(), "vis_code"
+    if parts is not None:
+        shown, key = shown.join(parts.select("vis_code", "name").distinct(), "vis_code"), "name"
+    return defect_table(frames.join(shown, "frame_id"), [key], labels)
 
 
 def heading_histogram(frames: DataFrame, inspections: DataFrame, *, faithful: bool = False) -> DataFrame:
@@ -78,9 +87,22 @@ def frames_of_sector(frames: DataFrame, inspections: DataFrame, inspection_id: i
     return s.filter(F.col("heading") == heading).select("path", "uciqe").orderBy(F.desc_nulls_first("uciqe"))
 
 
+def cluster_frames(frames: DataFrame, in_cluster: DataFrame) -> DataFrame:
+    """(cluster_id, path, uciqe, framenumber) of the frames of every cluster; a NaN quality is null."""
+    f = frames.select("frame_id", F.col("thumbnail").alias("path"), F.when(~F.isnan("uciqe"), F.col("uciqe")).alias("uciqe"), "framenumber")
+    return f.join(in_cluster.select("frame_id", "cluster_id").distinct(), "frame_id").select("cluster_id", "path", "uciqe", "framenumber")
+
+
 def frames_of_cluster(frames: DataFrame, in_cluster: DataFrame, cluster_id: str) -> DataFrame:
-    m = in_cluster.filter(F.col("cluster_id") == cluster_id).select("frame_id").distinct()
-    return frames.join(m, "frame_id", "left_semi").orderBy(F.asc_nulls_last("framenumber")).select(F.col("thumbnail").alias("path"), "uciqe", "framenumber")
+    """(path, uciqe, framenumber) of one cluster, in the order of the frames."""
+    return cluster_frames(frames, in_cluster.filter(F.col("cluster_id") == cluster_id)).drop("cluster_id").orderBy(F.asc_nulls_last("framenumber"))
+
+
+def mosaic_growth(frames: DataFrame, in_mosaic: DataFrame, mosaics: DataFrame, opts: FilterOptions) -> DataFrame:
+    """(mosaic_id, growth): percentage of the hull that is grown over, for each mosaic that a chosen frame is in (quality ignored)."""
+    f = of_inspections(frames, opts).filter(findings(opts, ignore_quality=True)).select("frame_id")
+    m = in_mosaic.join(f, "frame_id", "left_semi").select("mosaic_id").distinct()
+    return mosaics.join(m, "mosaic_id", "left_semi").select("mosaic_id", growth_ratio("marine_growth_percentage", "ship_hull_percentage").alias("growth")).distinct()
 
 
 def value_histogram(df: DataFrame, value: str, width: float) -> DataFrame:
@@ -89,14 +111,15 @@ def value_histogram(df: DataFrame, value: str, width: float) -> DataFrame:
     return df.filter(v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))).groupBy((F.floor(v / width) * width).alias("bin")).agg(F.count(F.lit(1)).alias("count"))
 
 
-def histogram_values(frames: DataFrame, similar: DataFrame, opts: FilterOptions) -> dict[str, DataFrame]:
-    """Raw values of the chosen frames (quality ignored) and the distances of their edges, once from each matching end."""
+def histogram_values(frames: DataFrame, similar: DataFrame, opts: FilterOptions, in_mosaic: DataFrame | None = None, mosaics: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Raw values of the chosen frames (quality ignored), the growth of their mosaics, and the distances of their edges, once from each matching end."""
     from tidemark.operators.graph import undirected
 
     f = of_inspections(frames, opts).filter(findings(opts, ignore_quality=True))
     ids = f.select(F.col("frame_id").alias("src"))
     edges = undirected(similar).join(ids, "src", "left_semi")
-    return {
+    growth = {} if in_mosaic is None or mosaics is None else {"growth": mosaic_growth(frames, in_mosaic, mosaics, opts).select("growth")}
+    return growth | {
         "uciqe": f.select("uciqe"), "depth": f.select("depth"),
         "similar": edges.filter("not visual").select("distance"), "visually_similar": edges.filter("visual").select("distance"),
     }
@@ -117,3 +140,8 @@ def unique_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 def keep_one(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
     """The first row of each key by an order."""
     return df.withColumn("_rn", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter("_rn = 1").drop("_rn")
+
+
+def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], k: int) -> DataFrame:
+    """The first k rows of each key by an order; every task cuts its rows to k before they are sent."""
+    return df.withColumn("_rn", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter(F.col("_rn") <= k).drop("_rn")

@@ -25,14 +25,14 @@ def near_edges(edges: DataFrame, below: float, visual: bool) -> DataFrame:
     return edges.filter((F.col("visual") == visual) & (F.col("distance") < below) & ~F.isnan("distance"))
 
 
-def closure(spark_sql_edges: DataFrame, child: str, parent: str, view: str) -> DataFrame:
-    """(node, ancestor, hops) along paths of one hop or more, by a recursive query; at most 100 levels."""
-    spark_sql_edges.select(F.col(child).alias("node"), F.col(parent).alias("up")).filter("node is not null and up is not null").distinct().createOrReplaceTempView(view)
-    return spark_sql_edges.sparkSession.sql(f"""
+def closure(edges: DataFrame, child: str, parent: str, levels: int = 99) -> DataFrame:
+    """(node, ancestor, hops) along paths of one hop or more, by a recursive query. Paths end after ``levels`` hops, so a cycle is gone round until then."""
+    e = edges.select(F.col(child).alias("node"), F.col(parent).alias("up")).filter("node is not null and up is not null").distinct()
+    return edges.sparkSession.sql(f"""
         WITH RECURSIVE c(node, ancestor, hops) AS (
-            SELECT node, up, 1 FROM {view}
-            UNION ALL SELECT c.node, e.up, c.hops + 1 FROM c JOIN {view} e ON c.ancestor = e.node)
-        SELECT node, ancestor, hops FROM c""")
+            SELECT node, up, 1 FROM {{e}}
+            UNION ALL SELECT c.node, e.up, c.hops + 1 FROM c JOIN {{e}} e ON c.ancestor = e.node WHERE c.hops < {int(levels)})
+        SELECT node, ancestor, hops FROM c""", e=e)
 
 
 def among(edges: DataFrame, nodes: DataFrame, node: str = "id", src: str = "src", dst: str = "dst") -> DataFrame:
@@ -59,8 +59,13 @@ def simple_graph(kinds: list[tuple[DataFrame, float]]) -> DataFrame:
 
 
 def base_frames(frames: DataFrame, opts: FilterOptions, limit: int = VIEW_FRAMES) -> DataFrame:
-    """The first frames by their id as text that pass the filter. Every part of a view is made from this once."""
-    return of_inspections(frames, opts).filter(findings(opts)).orderBy("frame_id").limit(limit)
+    """The first frames by their id as text that pass the filter, repeated rows once. Every part of a view is made from this.
+
+    The ids are chosen before whole rows are taken up, so that only ids are compared and sent.
+    """
+    chosen = of_inspections(frames, opts).filter(findings(opts))
+    ids = chosen.select("frame_id").distinct().orderBy("frame_id").limit(limit)
+    return chosen.join(F.broadcast(ids), "frame_id", "left_semi").dropDuplicates(["frame_id"])
 
 
 def depicts_of(frames: DataFrame) -> DataFrame:
@@ -77,12 +82,15 @@ def neighbours(edges: list[DataFrame]) -> DataFrame:
     return every.toDF("node", "other")
 
 
-def view(frames: DataFrame, similar: DataFrame, in_cluster: DataFrame, clusters: DataFrame, in_mosaic: DataFrame | None, depicts: DataFrame, parts: DataFrame, opts: FilterOptions) -> dict[str, DataFrame]:
+def view(frames: DataFrame, similar: DataFrame, in_cluster: DataFrame, clusters: DataFrame, in_mosaic: DataFrame | None, depicts: DataFrame | None, parts: DataFrame, opts: FilterOptions) -> dict[str, DataFrame]:
     """The graph view: nodes and seven sets of edges (src, dst), all over one base of frames.
 
-    Without inspections all are empty. in_mosaic is left out unless opts.mosaics; clusters unless opts.clusters.
+    Without inspections all are empty. in_mosaic is left out unless opts.mosaics; clusters unless opts.clusters. Without ``depicts`` it is
+    what the base frames' own labels depict. The base, at most 300 rows, is fetched once.
     """
-    base = base_frames(frames, opts).persist()  # at most 300 rows
+    base = base_frames(frames, opts)
+    base = base.sparkSession.createDataFrame(base.collect(), base.schema)
+    depicts = depicts_of(base) if depicts is None else depicts
     ids = base.select("frame_id")
     f = lambda c: node_id("im", c)
 

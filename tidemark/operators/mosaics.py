@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.runtime import running
+from tidemark.runtime import carried, running
 
 # A mosaic is discarded if it has fewer frames and has grown less.
 LEAST_FRAMES, LEAST_GROWTH = 180, 1.5
@@ -32,11 +32,16 @@ def segments(log: DataFrame, inspection: str = "inspection_id", index: str = "fr
     return g.select(inspection, F.concat(F.lit("m"), F.col(inspection).cast("string"), F.lit("."), F.col("start_frame").cast("string")).alias("mosaic_id"), "start_frame", "end_frame", "frames", "growth", "closed")
 
 
-def membership(log: DataFrame, kept: DataFrame, every: int = 30) -> DataFrame:
-    """(inspection_id, frame_index, mosaic_id): the sampled, accepted frames of the kept mosaics."""
-    f = log.filter(F.col("ok") & (F.col("frame_index") % every == 0)).select("inspection_id", "frame_index")
-    k = kept.select("inspection_id", "mosaic_id", "start_frame", F.when(F.col("closed"), F.col("end_frame") - 1).otherwise(F.col("end_frame")).alias("_e"))
-    return f.join(k, "inspection_id").filter("frame_index between start_frame and _e").select("inspection_id", "frame_index", "mosaic_id")
+def membership(log: DataFrame, kept: DataFrame, every: int = 30, *, chunk: float = 10_000) -> DataFrame:
+    """(inspection_id, frame_index, mosaic_id): the sampled, accepted frames of the kept mosaics.
+
+    The mosaic that began last is carried along the frames, so no frame is joined with its inspection's mosaics.
+    """
+    f = log.filter(F.col("ok") & (F.col("frame_index") % every == 0)).select("inspection_id", "frame_index", F.lit(1).alias("_kind"), F.lit(None).cast("string").alias("_m"), F.lit(None).cast("double").alias("_e"))
+    k = kept.select("inspection_id", F.col("start_frame").alias("frame_index"), F.lit(0).alias("_kind"), F.col("mosaic_id").alias("_m"), F.when(F.col("closed"), F.col("end_frame") - 1).otherwise(F.col("end_frame")).cast("double").alias("_e"))
+    begun = F.when(F.col("_kind") == 0, F.struct("_m", "_e"))
+    d = carried(f.unionByName(k), "inspection_id", ["frame_index", "_kind"], F.floor(F.col("frame_index") / chunk), {"_open": begun})
+    return d.filter("_kind = 1 and frame_index <= _open._e").select("inspection_id", "frame_index", F.col("_open._m").alias("mosaic_id"))
 
 
 def compose(steps: DataFrame, mosaic: str, index: str, matrix: str) -> DataFrame:

@@ -70,8 +70,9 @@ def k_nearest(df: DataFrame, *, id: str, group: str, vector: str, k: int = 4, bl
         n = min(k, d.shape[1])
         kth = np.partition(d, n - 1, axis=1)[:, n - 1] * (1 + 1e-9)
         i, j = np.nonzero((d <= kth[:, None]) & np.isfinite(d))  # ties are kept until the last rank
-        exact = [float(np.sqrt(((np.asarray(of.v.iat[a]) - np.asarray(to.v.iat[b])) ** 2).sum())) for a, b in zip(i, j, strict=True)]
-        return pd.DataFrame({"src": of.id.to_numpy()[i], "dst": to.id.to_numpy()[j], "distance": exact})
+        x, y = np.stack(of.v.to_numpy()), np.stack(to.v.to_numpy())
+        exact = [np.sqrt(((x[i[p : p + 20_000]] - y[j[p : p + 20_000]]) ** 2).sum(1)) for p in range(0, len(i), 20_000)]
+        return pd.DataFrame({"src": of.id.to_numpy()[i], "dst": to.id.to_numpy()[j], "distance": np.concatenate(exact) if exact else np.empty(0)})
 
     def fn(left: pd.DataFrame, right: pd.DataFrame, d: np.ndarray, one: bool) -> pd.DataFrame:
         return directed(left, right, d) if one else pd.concat([directed(left, right, d), directed(right, left, d.T)])

@@ -68,6 +68,43 @@ def uciqe(chroma: np.ndarray, lightness: np.ndarray, saturation: np.ndarray | No
     return float(0.468 * np.sqrt(((c - c.mean()) ** 2).mean()) + 0.2745 * contrast + 0.2576 * s.mean())
 
 
+def _by_rows(df: DataFrame, columns: list[str], out: str, kind: str, fn: Callable) -> DataFrame:  # noqa: ANN001
+    """``out``: fn of some array columns, row by row over Arrow batches; null where one of them is null."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            ok = b[columns].notna().all(axis=1)
+            value = pd.Series([None] * len(b), dtype=object)
+            value[ok.to_numpy()] = pd.Series([fn(*v) for v in zip(*(b.loc[ok, c] for c in columns), strict=True)], index=np.flatnonzero(ok), dtype=object)
+            yield b.assign(**{out: value.to_numpy()})
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != out)
+    return df.drop(out).mapInPandas(run, f"{fields}, `{out}` {kind}")
+
+
+def with_uciqe(df: DataFrame, chroma: str, lightness: str, out: str = "uciqe") -> DataFrame:
+    """The quality of each image from its pixels' chroma and lightness (arrays of one length)."""
+    return _by_rows(df, [chroma, lightness], out, "double", uciqe)
+
+
+def with_run_lengths(df: DataFrame, mask: str, height: int, out: str = "counts") -> DataFrame:
+    """The run lengths of each mask, column by column from zeros; masks are arrays row by row, of so many rows."""
+    return _by_rows(df, [mask], out, "array<int>", lambda m: run_lengths(np.asarray(m, bool).reshape(height, -1)))
+
+
+def decoded(df: DataFrame, grid: str, anchors: np.ndarray, classes: int, size: int) -> DataFrame:
+    """(all but grid, x, y, w, h, class_probs): the boxes of each image's detector output (a flat array), for ``detections``."""
+    keep = [c for c in df.columns if c != grid]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for r in b[b[grid].notna()].itertuples(index=False):
+                boxes = decode(np.asarray(getattr(r, grid), float).reshape(-1, size, size), anchors, classes)
+                yield boxes.assign(**{c: getattr(r, c) for c in keep})[[*keep, "x", "y", "w", "h", "class_probs"]]
+
+    kinds = dict(df.dtypes)
+    return df.mapInPandas(run, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", x double, y double, w double, h double, class_probs array<double>")
+
+
 def decode(grid: np.ndarray, anchors: np.ndarray, classes: int) -> pd.DataFrame:
     """Boxes of a detector's output (anchors * (5 + classes), size, size): corner, width, height and class probabilities."""
     k, size = len(anchors), grid.shape[-1]
@@ -93,7 +130,7 @@ def suppress(x: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray, probs:
         ih = np.maximum(np.minimum(y + h, y[i] + h[i]) - np.maximum(y, y[i]), 0)
         union = w * h + w[i] * h[i] - iw * ih
         p[np.where(union > 0, iw * ih / np.where(union > 0, union, 1), 0) > most_iou, c] = 0
-        p[i] = 0
+        p[i, c] = 0  # the box may be chosen again for another class
     return best
 
 

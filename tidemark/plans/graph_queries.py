@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,13 +16,15 @@ from tidemark.operators import mosaics as M
 from tidemark.operators import neighbours as N
 from tidemark.operators import series as T
 from tidemark.operators import vision as V
-from tidemark.operators.filters import FilterOptions, findings
+from tidemark.operators.filters import FilterOptions, findings, of_inspections
 from tidemark.runtime import table
 from tidemark.sources import store
 from tidemark.sources.overlay import instants
 from tidemark.streaming.mosaics import sessions, windows
 
 OPTS = FilterOptions(defects=("corrosion", "defect"), parts=("bilge_keel", "anode", "propeller"))
+# The inspections of the queries that are about chosen ones.
+CHOSEN = (100001, 100002, 100003, 100005, 100008)
 NAMES = ["Alder", "Birch", "Cedar", "Elm", "Fir", "Hazel", "Larch", "Maple", "Oak", "Pine", "Rowan", "Willow"]
 
 QUERIES: dict = {}
@@ -55,6 +59,25 @@ def vectors(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "features").select("frame_id", "inspection_id", "tel").filter("frame_id is not null and inspection_id is not null and tel is not null").dropDuplicates(["frame_id"])
 
 
+def _in_mosaic(spark: SparkSession, d: str) -> DataFrame:
+    """Stand-in for the mosaics' frames, of which there is no table: the members of clusters of even number."""
+    c = table(spark, d, "clusters").filter("number % 2 = 0").select("cluster_id").distinct()
+    return table(spark, d, "in_cluster").join(c, "cluster_id", "left_semi").select("frame_id", F.concat(F.lit("m"), F.col("cluster_id")).alias("mosaic_id")).distinct()
+
+
+def _mosaics(spark: SparkSession, d: str) -> DataFrame:
+    """Stand-in for the mosaics: the percentages of their frames, added up."""
+    f = frames(spark, d, "marine_growth_segmentation", "bilge_keel_segmentation").join(_in_mosaic(spark, d), "frame_id")
+    part = lambda c: F.round(F.sum(F.when(~F.isnan(c), F.col(c))), 4)
+    return f.groupBy("mosaic_id").agg(part("marine_growth_segmentation").alias("marine_growth_percentage"), part("bilge_keel_segmentation").alias("ship_hull_percentage"))
+
+
+def _ships(spark: SparkSession, d: str) -> DataFrame:
+    """Stand-in for the ships, of which there is no table."""
+    return table(spark, d, "inspections").select("imo").filter("imo is not null").distinct().withColumn("name", S.pseudonym("imo", NAMES))
+
+
+IN_MOSAIC = "SELECT DISTINCT frame_id, 'm' || cluster_id AS mosaic_id FROM in_cluster WHERE cluster_id IN (SELECT cluster_id FROM clusters WHERE number % 2 = 0)"
 SEEN = "sum(CASE WHEN {0} > 0.8 THEN 1 ELSE 0 END)::BIGINT AS {0}"
 FRAMES = "f AS (SELECT DISTINCT * FROM frames)"
 INSPECTIONS = "i AS (SELECT DISTINCT * FROM inspections)"
@@ -102,12 +125,12 @@ def q_parse_telemetry(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {FRAMES} SELECT frame_id, uciqe FROM f WHERE {FOUND}")
 def q_findings_filter(spark: SparkSession, d: str) -> DataFrame:
-    return frames(spark, d).filter(findings(OPTS)).select("frame_id", "uciqe")
+    return table(spark, d, "frames").filter(findings(OPTS)).select("frame_id", "uciqe").distinct()
 
 
 @query(f"WITH {FRAMES} SELECT frame_id, uciqe FROM f WHERE {FOUND.replace('uciqe >= 4', 'uciqe >= 0')}")
 def q_findings_any_quality(spark: SparkSession, d: str) -> DataFrame:
-    return frames(spark, d).filter(findings(OPTS, ignore_quality=True)).select("frame_id", "uciqe")
+    return table(spark, d, "frames").filter(findings(OPTS, ignore_quality=True)).select("frame_id", "uciqe").distinct()
 
 
 @query("SELECT DISTINCT frame_id, cluster_id FROM in_cluster WHERE cluster_id NOT LIKE '%-1'")
@@ -163,39 +186,38 @@ def q_part_closure(spark: SparkSession, d: str) -> DataFrame:
     key = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     e = table(spark, d, "supplier").select(key("s", "s_suppkey").alias("node"), key("n", "s_nationkey").alias("up"))
     e = e.union(table(spark, d, "nation").select(key("n", "n_nationkey"), key("r", "n_regionkey"))).union(table(spark, d, "region").select(key("r", "r_regionkey"), F.lit("root")))
-    return G.closure(e, "node", "up", "tidemark_closure")
+    return G.closure(e, "node", "up")
 
 
 @query(f"WITH RECURSIVE p(vis_code, up) AS (VALUES {', '.join(f"('{a}', '{b or 'ship'}')" for a, b in PARTS)}), c AS (SELECT vis_code AS node, up AS ancestor, 1 AS hops FROM p UNION ALL SELECT c.node, p.up, hops + 1 FROM c JOIN p ON c.ancestor = p.vis_code), {FRAMES}, dep AS ({DEP}) SELECT DISTINCT frame_id, ancestor, hops FROM dep JOIN c ON dep.vis_code = c.node")
 def q_parts_shown(spark: SparkSession, d: str) -> DataFrame:
     """Each frame with the parts above those that it shows, up to the ship."""
     p = spark.createDataFrame([(a, b or "ship") for a, b in PARTS], "vis_code string, up string")
-    c = G.closure(p, "vis_code", "up", "tidemark_parts").withColumnRenamed("node", "vis_code")
-    return G.depicts_of(frames(spark, d)).join(F.broadcast(c), "vis_code").select("frame_id", "ancestor", "hops").distinct()  # 25 parts
+    c = G.closure(p, "vis_code", "up").withColumnRenamed("node", "vis_code")
+    return G.depicts_of(table(spark, d, "frames")).join(F.broadcast(c), "vis_code").select("frame_id", "ancestor", "hops").distinct()  # 25 parts
 
 
 @query(f"WITH {FRAMES} SELECT frame_id, imo, uciqe FROM f WHERE {FOUND} ORDER BY frame_id LIMIT 300")
 def q_graph_base_top300(spark: SparkSession, d: str) -> DataFrame:
-    return G.base_frames(frames(spark, d), OPTS).select("frame_id", "imo", "uciqe")
+    return G.base_frames(table(spark, d, "frames"), OPTS).select("frame_id", "imo", "uciqe")
 
 
 @query(f"""WITH {FRAMES}, {EDGES}, b AS (SELECT * FROM f WHERE uciqe >= 4 AND NOT isnan(uciqe) ORDER BY frame_id LIMIT 300), dep AS ({DEP}), u AS (SELECT src, dst, visual, distance FROM e UNION ALL SELECT dst, src, visual, distance FROM e)
 SELECT DISTINCT * FROM (
-SELECT 'similar_to' AS kind, 'im_' || src AS src, 'im_' || dst AS dst FROM u WHERE NOT visual AND distance < 1.5 AND NOT isnan(distance) AND src IN (SELECT frame_id FROM b)
+SELECT 'node' AS kind, 'im_' || frame_id AS src, imo AS dst FROM b UNION ALL SELECT 'in_mosaic', 'im_' || frame_id, 'm_' || mosaic_id FROM b JOIN ({IN_MOSAIC}) USING (frame_id)
+UNION ALL SELECT 'similar_to' AS kind, 'im_' || src AS src, 'im_' || dst AS dst FROM u WHERE NOT visual AND distance < 1.5 AND NOT isnan(distance) AND src IN (SELECT frame_id FROM b)
 UNION ALL SELECT 'visually_similar_to', 'im_' || src, 'im_' || dst FROM u WHERE visual AND distance < 10 AND NOT isnan(distance) AND src IN (SELECT frame_id FROM b)
 UNION ALL SELECT 'in_inspection', 'im_' || frame_id, 'in_' || inspection_id FROM b
 UNION ALL SELECT 'in_cluster', 'im_' || frame_id, 'c_' || cluster_id FROM in_cluster JOIN (SELECT DISTINCT cluster_id FROM clusters WHERE number <> -1) USING (cluster_id) WHERE frame_id IN (SELECT frame_id FROM b)
 UNION ALL SELECT 'shows_part', 'im_' || frame_id, 'p_s_' || imo || '_' || vis_code FROM dep JOIN b USING (frame_id)
 UNION ALL SELECT 'part_of_ship', 'p_s_' || imo || '_' || vis_code, 's_' || imo FROM dep JOIN b USING (frame_id)) WHERE src IS NOT NULL AND dst IS NOT NULL""")
 def q_graph_view(spark: SparkSession, d: str) -> DataFrame:
-    f = frames(spark, d)
     parts = spark.createDataFrame([(a,) for a, _ in PARTS], "vis_code string")
-    v = G.view(f, similar(spark, d), table(spark, d, "in_cluster"), table(spark, d, "clusters"), None, G.depicts_of(f), parts, FilterOptions())
-    out = None
+    f = table(spark, d, "frames").select("frame_id", "inspection_id", "imo", "uciqe", *LABELS, *[f"{x}_{m}" for x in DEPICTS for m in ("segmentation", "classification")])
+    v = G.view(f, similar(spark, d), table(spark, d, "in_cluster"), table(spark, d, "clusters"), _in_mosaic(spark, d), None, parts, FilterOptions(mosaics=True))
+    out = v.pop("nodes").select(F.lit("node").alias("kind"), F.col("id").alias("src"), F.get_json_object("data", "$.imo").alias("dst"))
     for kind, e in v.items():
-        if kind != "nodes":
-            e = e.select(F.lit(kind).alias("kind"), "src", "dst")
-            out = e if out is None else out.unionByName(e)
+        out = out.unionByName(e.select(F.lit(kind).alias("kind"), "src", "dst"))
     return out.filter("src is not null and dst is not null")
 
 
@@ -210,8 +232,29 @@ def q_table_by_ship(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {FRAMES}, dep AS ({DEP}) SELECT vis_code, {', '.join(SEEN.format(x) for x in DEFECTS)} FROM f JOIN (SELECT DISTINCT frame_id, vis_code FROM dep) USING (frame_id) GROUP BY 1")
 def q_table_by_part(spark: SparkSession, d: str) -> DataFrame:
-    f = frames(spark, d)
-    return A.by_part(f, G.depicts_of(f))
+    f = frames(spark, d, *DEFECTS, *DEPICTS)
+    return A.by_part(f, _shown(f))
+
+
+def _shown(f: DataFrame) -> DataFrame:
+    """What frames depict, where only the parts matter."""
+    return G.depicts_of(f.withColumns({f"{x}_{m}": F.lit(None).cast("double") for x in DEPICTS for m in ("segmentation", "classification")}))
+
+
+_PART_NAMES = {code: ("hull" if x in ("anode", "bilge_keel") else x) for x, code in DEPICTS.items()}
+
+
+@query(f"WITH {FRAMES}, dep AS ({DEP}), p(vis_code, name) AS (VALUES {', '.join(f'{x!r}' for x in _PART_NAMES.items())}) SELECT name, {', '.join(SEEN.format(x) for x in DEFECTS)} FROM f JOIN (SELECT DISTINCT frame_id, vis_code FROM dep) USING (frame_id) JOIN p USING (vis_code) GROUP BY 1")
+def q_table_by_part_name(spark: SparkSession, d: str) -> DataFrame:
+    """By the parts' names, over all ships and all parts of a name."""
+    f = frames(spark, d, *DEFECTS, *DEPICTS)
+    return A.by_part(f, _shown(f), spark.createDataFrame(list(_PART_NAMES.items()), "vis_code string, name string"))
+
+
+@query(f"WITH {FRAMES}, {INSPECTIONS}, s AS (SELECT DISTINCT imo, [{', '.join(repr(n) for n in NAMES)}][CAST(('0x' || substr(md5(imo), 1, 8))::BIGINT % {len(NAMES)} AS INT) + 1] AS name FROM inspections WHERE imo IS NOT NULL) SELECT name, s.imo, {', '.join(SEEN.format(x) for x in DEFECTS)} FROM f JOIN (SELECT DISTINCT inspection_id, imo FROM i) i USING (inspection_id) JOIN s ON s.imo = i.imo WHERE uciqe >= 4 AND NOT isnan(uciqe) GROUP BY 1, 2")
+def q_table_by_ship_name(spark: SparkSession, d: str) -> DataFrame:
+    f = frames(spark, d, "inspection_id", "uciqe", *DEFECTS).filter(findings(FilterOptions()))
+    return A.by_ship(f, inspections(spark, d), _ships(spark, d))
 
 
 @query(f"WITH {FRAMES}, {INSPECTIONS} SELECT inspection_id, i.imo, date, {SHIP_HEADING} AS ship_heading, CAST((({BIN}) % 360 + 360) % 360 AS INT) AS heading, count(*) AS count FROM f JOIN i USING (inspection_id) WHERE heading IS NOT NULL AND NOT isnan(heading) AND NOT isinf(heading) GROUP BY ALL")
@@ -228,12 +271,27 @@ def q_heading_hist_faithful(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {FRAMES}, {INSPECTIONS} SELECT DISTINCT inspection_id, CAST((({BIN}) % 360 + 360) % 360 AS INT) AS heading, thumbnail AS path, uciqe FROM f JOIN i USING (inspection_id) WHERE heading IS NOT NULL AND NOT isnan(heading) AND NOT isinf(heading) AND {FOUND}")
 def q_frames_angle(spark: SparkSession, d: str) -> DataFrame:
-    return A.sector_frames(frames(spark, d).filter("abs(heading) <> double('Infinity')"), inspections(spark, d), OPTS)
+    f = frames(spark, d, "inspection_id", "heading", "thumbnail", "uciqe", *OPTS.defects, *OPTS.parts)
+    return A.sector_frames(f.filter("abs(heading) <> double('Infinity')"), inspections(spark, d), OPTS)
+
+
+@query(f"WITH {FRAMES}, {INSPECTIONS}, m AS ({IN_MOSAIC}) SELECT DISTINCT inspection_id, CAST((({BIN}) % 360 + 360) % 360 AS INT) AS heading, coalesce(mosaic_id, thumbnail) AS path, uciqe FROM f JOIN i USING (inspection_id) LEFT JOIN m USING (frame_id) WHERE heading IS NOT NULL AND NOT isnan(heading) AND NOT isinf(heading) AND {FOUND}")
+def q_frames_angle_mosaics(spark: SparkSession, d: str) -> DataFrame:
+    """The mosaics that frames are in, and the frames that are in none."""
+    f = frames(spark, d, "inspection_id", "heading", "thumbnail", "uciqe", *OPTS.defects, *OPTS.parts)
+    return A.sector_frames(f.filter("abs(heading) <> double('Infinity')"), inspections(spark, d), replace(OPTS, mosaics=True), _in_mosaic(spark, d))
+
 
+@query(f"WITH {FRAMES}, {INSPECTIONS} SELECT thumbnail AS path, uciqe FROM (SELECT DISTINCT inspection_id, CAST((({BIN}) % 360 + 360) % 360 AS INT) AS heading, thumbnail, uciqe FROM f JOIN i USING (inspection_id) WHERE heading IS NOT NULL AND NOT isnan(heading) AND NOT isinf(heading) AND uciqe >= 4 AND NOT isnan(uciqe)) WHERE heading = 330 AND inspection_id = {CHOSEN[0]}")
+def q_sector_of_one(spark: SparkSession, d: str) -> DataFrame:
+    """The drill-down of one sector of one inspection, best first."""
+    f = table(spark, d, "frames").select("frame_id", "inspection_id", "heading", "thumbnail", "uciqe").filter("abs(heading) <> double('Infinity')")
+    return A.frames_of_sector(f, inspections(spark, d), CHOSEN[0], 330, FilterOptions())
 
-@query(f"WITH {FRAMES} SELECT cluster_id, thumbnail AS path, uciqe, framenumber FROM f JOIN (SELECT DISTINCT * FROM in_cluster) USING (frame_id)")
+
+@query(f"WITH {FRAMES} SELECT cluster_id, thumbnail AS path, CASE WHEN isnan(uciqe) THEN NULL ELSE uciqe END AS uciqe, framenumber FROM f JOIN (SELECT DISTINCT * FROM in_cluster) USING (frame_id)")
 def q_frames_cluster(spark: SparkSession, d: str) -> DataFrame:
-    return frames(spark, d, "thumbnail", "uciqe", "framenumber").join(table(spark, d, "in_cluster").distinct(), "frame_id").select("cluster_id", F.col("thumbnail").alias("path"), "uciqe", "framenumber")
+    return A.cluster_frames(frames(spark, d, "thumbnail", "uciqe", "framenumber"), table(spark, d, "in_cluster"))
 
 
 _WORDS = "trim(concat_ws(' ', " + ", ".join(f"CASE WHEN {x} > size // 3 THEN '{x}' END" for x in LABELS) + "))"
@@ -244,7 +302,7 @@ g AS (SELECT inspection_id, cluster, count(*) AS size, min(framenumber) AS first
 k AS (SELECT inspection_id, cluster, thumbnail, row_number() OVER (PARTITION BY inspection_id, cluster ORDER BY uciqe DESC, framenumber DESC NULLS LAST, frame_id DESC) AS n FROM m WHERE uciqe >= 0 AND NOT isnan(uciqe))
 SELECT g.inspection_id, g.cluster, size, first_frame, coalesce(k.thumbnail, '') AS key_frame, {_WORDS} AS keywords FROM g LEFT JOIN k ON k.inspection_id = g.inspection_id AND k.cluster = g.cluster AND n = 1""")
 def q_cluster_table(spark: SparkSession, d: str) -> DataFrame:
-    return A.cluster_table(frames(spark, d), table(spark, d, "in_cluster"), table(spark, d, "clusters"))
+    return A.cluster_table(frames(spark, d, "inspection_id", "framenumber", "uciqe", "thumbnail", *LABELS), table(spark, d, "in_cluster"), table(spark, d, "clusters"))
 
 
 @query(f"WITH {FRAMES} SELECT frame_id, cluster_id, round(avg(CASE WHEN isnan(uciqe) THEN NULL ELSE uciqe END) OVER (PARTITION BY cluster_id), 6) AS avg_quality FROM (SELECT DISTINCT * FROM in_cluster) JOIN f USING (frame_id)")
@@ -278,6 +336,13 @@ def q_summary_stats(spark: SparkSession, d: str) -> DataFrame:
     return s.select("imo", *[F.round(c, 6).alias(c) for c in ("mean", "median", "stdev")], F.round("variance", 5).alias("variance"), "samples")
 
 
+@query(f"WITH {FRAMES}, m AS ({IN_MOSAIC}), p AS (SELECT mosaic_id, round(sum(CASE WHEN isnan(marine_growth_segmentation) THEN NULL ELSE marine_growth_segmentation END), 4) AS g, round(sum(CASE WHEN isnan(bilge_keel_segmentation) THEN NULL ELSE bilge_keel_segmentation END), 4) AS h FROM f JOIN m USING (frame_id) GROUP BY 1), c AS (SELECT DISTINCT mosaic_id FROM m JOIN f USING (frame_id) WHERE uciqe >= 0 AND NOT isnan(uciqe)) SELECT CAST(floor(v / 5.0) * 5.0 AS DOUBLE) AS bin, count(*) AS count FROM (SELECT DISTINCT mosaic_id, least(CASE WHEN coalesce(h, 0) < 0.05 THEN 0 ELSE coalesce(g, 0) / h END, 1) * 100 AS v FROM p JOIN c USING (mosaic_id)) GROUP BY 1")
+def q_hist_growth(spark: SparkSession, d: str) -> DataFrame:
+    """The fifth histogram: how far the hull is grown over, each mosaic once."""
+    h = A.histogram_values(frames(spark, d, "uciqe", "depth"), similar(spark, d), FilterOptions(), _in_mosaic(spark, d), _mosaics(spark, d))
+    return A.value_histogram(h["growth"], "growth", 5.0)
+
+
 @query("SELECT max(number) + 1 AS clusters, inspection_id FROM clusters GROUP BY inspection_id")
 def q_cluster_count(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "clusters").groupBy("inspection_id").agg((F.max("number") + 1).alias("clusters"))
@@ -317,6 +382,41 @@ def q_cascade_delete(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+@query(f"""WITH g AS (SELECT DISTINCT cluster_id FROM in_cluster WHERE frame_id IN (SELECT frame_id FROM frames WHERE inspection_id IN {CHOSEN}) AND cluster_id IS NOT NULL)
+SELECT 'similar' AS tab, count(*) AS n FROM similar_frames WHERE src IS NULL OR src NOT IN (SELECT frame_id FROM frames WHERE inspection_id IN {CHOSEN}) UNION ALL SELECT 'clusters', count(*) FROM clusters WHERE cluster_id IS NULL OR cluster_id NOT IN (FROM g)
+UNION ALL SELECT 'in_cluster', count(*) FROM in_cluster WHERE cluster_id IS NULL OR cluster_id NOT IN (FROM g)""")
+def q_clear_similarities(spark: SparkSession, d: str) -> DataFrame:
+    t = {n: table(spark, d, n) for n in ("frames", "clusters", "in_cluster")} | {"similar": table(spark, d, "similar_frames")}
+    left = store.delete_context(t, CHOSEN)
+    count = lambda n: left[n].agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("tab"), "n")
+    return count("similar").unionByName(count("clusters")).unionByName(count("in_cluster"))
+
+
+@query("SELECT DISTINCT frame_id FROM frames WHERE frame_id NOT IN (SELECT frame_id FROM features WHERE frame_id IS NOT NULL)")
+def q_missing_features(spark: SparkSession, d: str) -> DataFrame:
+    """The frames whose vectors are still to be computed."""
+    return store.missing(table(spark, d, "frames").select("frame_id"), table(spark, d, "features"), ["frame_id"])
+
+
+@query("SELECT DISTINCT cluster_id, number, inspection_id, number || '=' || inspection_id AS row_id FROM clusters WHERE number IS NOT NULL AND inspection_id IS NOT NULL")
+def q_row_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Row ids, built and taken apart again."""
+    c = table(spark, d, "clusters").filter("number is not null and inspection_id is not null").select("cluster_id", S.row_id("number", "inspection_id").alias("row_id")).distinct()
+    c = c.withColumn("p", S.split_row_id("row_id"))
+    return c.select("cluster_id", F.col("p.cluster").alias("number"), F.col("p.inspection").alias("inspection_id"), "row_id")
+
+
+@query("SELECT event_id, (s // 3600) || 'h ' || (s % 3600 // 60) || 'm ' || (s % 60) || 's' AS length FROM (SELECT event_id, CAST(floor(abs(value) * 100) AS BIGINT) AS s FROM events)")
+def q_durations(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select("event_id", S.duration(F.floor(F.abs("value") * 100)).alias("length"))
+
+
+@query(f"WITH {FRAMES} SELECT frame_id, uciqe FROM f WHERE {FOUND} AND inspection_id IN {CHOSEN}")
+def q_findings_of_inspections(spark: SparkSession, d: str) -> DataFrame:
+    o = replace(OPTS, inspections=CHOSEN)
+    return of_inspections(table(spark, d, "frames"), o).filter(findings(o)).select("frame_id", "uciqe").distinct()
+
+
 @query("SELECT DISTINCT frame_id, cluster_id FROM in_cluster WHERE cluster_id IS NOT NULL UNION SELECT DISTINCT frame_id, 'c' || inspection_id || '.-1' FROM features")
 def q_attach(spark: SparkSession, d: str) -> DataFrame:
     new = table(spark, d, "features").select("frame_id", F.concat(F.lit("c"), F.col("inspection_id").cast("string"), F.lit(".-1")).alias("cluster_id"))
@@ -362,10 +462,10 @@ def q_logistic(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", F.round(S.logistic(F.col("value") / 50 - 2), 6).alias("p"))
 
 
-@query("SELECT vec_id, round(1 / list_sum(list_transform(x, lambda v: exp(v - list_max(x)))), 6) AS best FROM (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings)")
+@query("SELECT vec_id, CAST(i AS INT) AS place, round(exp(x[i + 1] - list_max(x)) / list_sum(list_transform(x, lambda v: exp(v - list_max(x)))), 6) AS p FROM (SELECT vec_id, embedding::DOUBLE[] AS x, unnest(range(len(embedding))) AS i FROM embeddings)")
 def q_softmax(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
-    return e.select("vec_id", F.round(F.array_max(S.softmax("x")), 6).alias("best"))
+    return e.select("vec_id", F.posexplode(S.softmax("x")).alias("place", "p")).withColumn("p", F.round("p", 6))
 
 
 def _box(v: str, k: int) -> str:
@@ -400,14 +500,66 @@ def q_mask_overlap(spark: SparkSession, d: str) -> DataFrame:
     return e.select("vec_id", F.round(V.overlap(over(0.0), over(0.05)), 6).alias("overlap"), F.round(V.label_share(over(0.05), over(-0.05)), 6).alias("share"))
 
 
-@query()
+_IOU = "(greatest(least(q.x + q.w, r.x + r.w) - greatest(q.x, r.x), 0) * greatest(least(q.y + q.h, r.y + r.h) - greatest(q.y, r.y), 0))"
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT label || '.' || (vec_id // 50) AS image_id, embedding::DOUBLE[] AS e FROM embeddings), b AS (SELECT image_id, abs(e[1]) AS x, abs(e[2]) AS y, abs(e[3]) AS w, abs(e[4]) AS h, list_transform(e[5:8], lambda v: least(abs(v) * 3, 1.0)) AS p, row_number() OVER (PARTITION BY image_id ORDER BY abs(e[1]), abs(e[2]), abs(e[3]), abs(e[4])) - 1 AS box FROM e),
+c AS (SELECT image_id, box, x, y, w, h, k AS class, p[k + 1] AS prob FROM b, range(4) t(k) WHERE p[k + 1] >= 0.15), r AS (SELECT *, row_number() OVER (PARTITION BY image_id, class ORDER BY prob DESC, box) AS n FROM c),
+g AS (SELECT image_id, class, 0::BIGINT AS n, []::STRUCT(box BIGINT, x DOUBLE, y DOUBLE, w DOUBLE, h DOUBLE, prob DOUBLE)[] AS kept FROM (SELECT DISTINCT image_id, class FROM r) UNION ALL
+SELECT g.image_id, g.class, g.n + 1, CASE WHEN len(list_filter(g.kept, lambda q: {_IOU} > 0.45 * (q.w * q.h + r.w * r.h - {_IOU}))) = 0 THEN list_append(g.kept, struct_pack(box := r.box, x := r.x, y := r.y, w := r.w, h := r.h, prob := r.prob)) ELSE g.kept END FROM g JOIN r ON g.image_id = r.image_id AND g.class = r.class AND r.n = g.n + 1),
+f AS (SELECT image_id, class, unnest(k) AS k FROM (SELECT image_id, class, arg_max(kept, n) AS k FROM g GROUP BY 1, 2)), o AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY k.prob DESC, k.box, class) AS rn FROM f)
+SELECT image_id, CAST(k.box AS INT) AS box, CAST(class AS INT) AS class, k.prob AS probability, k.x AS x, k.y AS y, k.w AS w, k.h AS h FROM o WHERE rn <= 20""")
 def q_detections(spark: SparkSession, d: str) -> DataFrame:
-    """Boxes from the vectors' elements, suppressed within each label."""
+    """Boxes from the vectors' elements, suppressed within each class of an image."""
     e = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("e"))
     boxes = e.select(F.concat_ws(".", "label", F.expr("vec_id div 50")).alias("image_id"), *[F.abs(F.col("e")[i]).alias(c) for i, c in enumerate("xywh")], F.transform(F.slice("e", 5, 4), lambda v: F.least(F.abs(v) * 3, F.lit(1.0))).alias("class_probs"))
     return V.detections(boxes)
 
 
+_PIXELS = "c AS (SELECT label, list(e ORDER BY vec_id, i) AS c, list(l ORDER BY vec_id, i) AS l FROM (SELECT label, vec_id, i, abs(x[i]) AS e, abs(x[65 - i]) AS l FROM (SELECT label, vec_id, embedding::DOUBLE[] AS x, unnest(range(1, 65)) AS i FROM embeddings)) GROUP BY 1), s AS (SELECT *, greatest(1, CAST(floor(0.01 * len(l) + 0.5) AS BIGINT)) AS n FROM c)"
+
+
+@query(f"WITH {_PIXELS} SELECT label, round(0.468 * list_stddev_pop(c) + 0.2745 * (list_avg(list_reverse_sort(l)[1:len(l):n]) - list_avg(list_sort(l)[1:len(l):n])) + 0.2576 * list_avg(list_transform(list_zip(c, l), lambda p: CASE WHEN p[1] = 0 OR p[2] = 0 THEN 0 ELSE p[1] / p[2] END)), 5) AS uciqe FROM s")
+def q_uciqe(spark: SparkSession, d: str) -> DataFrame:
+    """The quality of images whose pixels are the elements of a label's vectors."""
+    e = table(spark, d, "embeddings").select("label", "vec_id", F.transform("embedding", lambda v: F.abs(v.cast("double"))).alias("x"))
+    e = e.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("vec_id", "x", F.reverse("x").alias("l")))).alias("p"))
+    e = e.select("label", F.flatten(F.transform("p", lambda s: s["x"])).alias("chroma"), F.flatten(F.transform("p", lambda s: s["l"])).alias("lightness"))
+    return V.with_uciqe(e, "chroma", "lightness").select("label", F.round("uciqe", 5).alias("uciqe"))
+
+
+@query("""WITH p AS (SELECT vec_id, embedding::DOUBLE[] AS x, unnest(range(64)) AS k FROM embeddings), f AS (SELECT vec_id, k, x[(k % 8) * 8 + k // 8 + 1] > 0.02 AS f FROM p), n AS (SELECT *, CASE WHEN f IS DISTINCT FROM lag(f) OVER (PARTITION BY vec_id ORDER BY k) THEN 1 ELSE 0 END AS s FROM f),
+r AS (SELECT *, sum(s) OVER (PARTITION BY vec_id ORDER BY k) AS run FROM n), c AS (SELECT vec_id, run, any_value(f) AS f, count(*) AS n FROM r GROUP BY 1, 2) SELECT vec_id, CASE WHEN bool_or(f AND run = 1) THEN '0 ' ELSE '' END || string_agg(n::VARCHAR, ' ' ORDER BY run) AS counts FROM c GROUP BY 1""")
+def q_mask_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Run lengths of masks of 8 by 8."""
+    e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double") > 0.02).alias("mask"))
+    return V.with_run_lengths(e, "mask", 8).select("vec_id", F.array_join("counts", " ").alias("counts"))
+
+
+@query("SELECT * FROM (SELECT DISTINCT src, dst, visual, distance FROM similar_frames WHERE distance IS NOT NULL AND NOT isnan(distance)) QUALIFY row_number() OVER (PARTITION BY src, visual ORDER BY distance, dst) <= 2")
+def q_best_matches(spark: SparkSession, d: str) -> DataFrame:
+    e = similar(spark, d).select("src", "dst", "visual", "distance").filter("distance is not null and not isnan(distance)")
+    return A.top_rows(e, ["src", "visual"], ["distance", "dst"], 2)
+
+
+_M = [f"CASE WHEN {k} IN (0, 4, 8) THEN 1 ELSE 0 END + 0.05 * embedding[{k + 1}]::DOUBLE" for k in range(9)]
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n, [{', '.join(_M)}] AS m FROM embeddings), h AS (SELECT label, vec_id, n, m AS h FROM e WHERE n = 1 UNION ALL
+SELECT e.label, e.vec_id, e.n, [{', '.join(' + '.join(f'h.h[{3 * i + k + 1}] * e.m[{3 * k + j + 1}]' for k in range(3)) for i in range(3) for j in range(3))}] FROM h JOIN e ON h.label = e.label AND e.n = h.n + 1) SELECT label, vec_id, {', '.join(f'round(h[{k + 1}], 5) + 0.0 AS h{k}' for k in range(9))} FROM h""")
+def q_homographies(spark: SparkSession, d: str) -> DataFrame:
+    """Running products of each label's matrices."""
+    m = table(spark, d, "embeddings").select("label", "vec_id", F.array(*[F.lit(float(k in (0, 4, 8))) + 0.05 * F.col("embedding")[k].cast("double") for k in range(9)]).alias("m"))
+    return M.compose(m, "label", "vec_id", "m").select("label", "vec_id", *[(F.round(F.col("homography")[k], 5) + 0.0).alias(f"h{k}") for k in range(9)])
+
+
+@query(f"WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS m FROM embeddings) SELECT vec_id, {', '.join('round(' + ' + '.join(f'm[{3 * (n // 3) + k + 1}] * m[{3 * k + n % 3 + 10}]' for k in range(3)) + f', 6) + 0.0 AS p{n}' for n in range(9))} FROM e")
+def q_matrix_product(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
+    e = e.withColumn("p", S.matrix_product(F.slice("e", 1, 9), F.slice("e", 10, 9)))
+    return e.select("vec_id", *[(F.round(F.col("p")[n], 6) + 0.0).alias(f"p{n}") for n in range(9)])
+
+
 # series
 
 
@@ -502,11 +654,14 @@ def q_dbscan(spark: SparkSession, d: str) -> DataFrame:
     return N.density_clusters(vectors(spark, d), id="frame_id", group="inspection_id", vector="tel", eps=61.4)
 
 
-@query("WITH e AS (SELECT label, unnest(embedding::DOUBLE[]) AS v, unnest(generate_series(1, 64)) AS i FROM embeddings), s AS (SELECT label, i, var_pop(v) AS s, count(*) AS n FROM e GROUP BY 1, 2) SELECT label, round(sum(s), 6) AS variance FROM s GROUP BY 1")
+@query("""WITH e AS (SELECT label, row_number() OVER () AS r, embedding::DOUBLE[] AS x FROM embeddings), u AS (SELECT label, r, unnest(x) AS v, unnest(range(64)) AS i FROM e)
+SELECT a.label, CAST(a.i AS INT) AS i, CAST(b.i AS INT) AS j, round(covar_pop(a.v, b.v), 6) + 0.0 AS covariance FROM u a JOIN u b ON a.r = b.r GROUP BY ALL""")
 def q_pca(spark: SparkSession, d: str) -> DataFrame:
-    """All components' variances add up to the elements' variances."""
+    """The covariances that all components together stand for."""
     c = X.components(table(spark, d, "embeddings"), "label", "embedding", 64)
-    return c.select("label", F.round(F.aggregate("variance", F.lit(0.0), lambda a, x: a + x), 6).alias("variance"))
+    parts = c.select("label", F.explode(F.arrays_zip("variance", "axes")).alias("k")).select("label", "k.variance", F.posexplode("k.axes").alias("i", "x"), "k.axes")
+    parts = parts.select("label", "i", (F.col("variance") * F.col("x")).alias("w"), F.posexplode("axes").alias("j", "y"))
+    return parts.groupBy("label", "i", "j").agg((F.round(F.sum(F.col("w") * F.col("y")), 6) + 0.0).alias("covariance"))
 
 
 @query()

@@ -86,11 +86,38 @@ def delete_similarities(similar: DataFrame, frames: DataFrame, inspections: Sequ
     return similar.join(own, "src", "left_anti")
 
 
+def delete_context(tables: dict[str, DataFrame], inspections: Sequence[int] | None = None) -> dict[str, DataFrame]:
+    """``similar``, ``clusters`` and ``in_cluster`` without what enrichment made of the inspections; None deletes all of it.
+
+    A cluster goes with all its members' edges if any member is a frame of the inspections.
+    """
+    t = dict(tables)
+    if inspections is None:
+        return t | {n: t[n].limit(0) for n in ("similar", "clusters", "in_cluster")}
+    own = t["frames"].filter(F.col("inspection_id").isin(*inspections) if inspections else F.lit(False)).select("frame_id").distinct()
+    gone = t["in_cluster"].join(own, "frame_id", "left_semi").select("cluster_id").distinct()
+    return t | {"similar": delete_similarities(t["similar"], t["frames"], inspections)} | {n: t[n].join(gone, "cluster_id", "left_anti") for n in ("clusters", "in_cluster")}
+
+
+def missing(wanted: DataFrame, have: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows whose key is not there yet, each key once: what is left to be computed and appended."""
+    return wanted.dropDuplicates(list(keys)).join(have.select(*keys), list(keys), "left_anti")
+
+
 def attach(edges: DataFrame, new: DataFrame) -> DataFrame:
     """Edges with new ones, each once."""
     return edges.unionByName(new).distinct()
 
 
+def save_all(tables: dict[str, DataFrame], out: str) -> None:
+    """Write several tables as one: all to a folder of their own first, which takes its place only when it is whole."""
+    spark = next(iter(tables.values())).sparkSession
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{out}/_new/{name}.parquet")
+    for name in tables:
+        spark.read.parquet(f"{out}/_new/{name}.parquet").write.mode("overwrite").parquet(f"{out}/{name}.parquet")
+
+
 def truncate(df: DataFrame) -> DataFrame:
     return df.limit(0)
 
