@@ -13,6 +13,6 @@ DIR = os.environ.get("TIDEMARK_TEST_DIR", "/root/testdata/sf0.001")
 @pytest.mark.skipif(not os.path.isdir(DIR), reason="the driver's tables are not here")
 @pytest.mark.parametrize("name", list(Q.queries()))
 def test_query(spark, name):
-    mine = Q.queries()[name](spark, DIR).toPandas()
+    mine = oracle.spark_rows(Q.queries()[name](spark, DIR))
     if name in Q.oracle_sql():
-        assert oracle.differ(mine, oracle.connect(DIR).execute(Q.oracle_sql()[name]).fetchdf()) == ""
+        assert oracle.differ(mine, oracle.sql_rows(oracle.connect(DIR), Q.oracle_sql()[name])) == ""

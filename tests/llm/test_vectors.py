@@ -1,6 +1,6 @@
 import numpy as np
 import pytest
-from tidemark.llm.vectors import codes_of, fit, leaves_of, near_pairs, scan, similar
+from tidemark.llm.vectors import TABLE_BIT, codes_of, fit, near_pairs, scan, similar
 
 
 def made(n=600, d=32, seed=0):
@@ -29,7 +29,7 @@ def test_all_neighbours_are_found(spark, block):
 
 def test_scan_and_bound():
     x = made(400)
-    plan = fit(x, len(x), reach=1.5, leaf=50, block=100, axes=8, sub=8, eta=4.0)
+    plan = fit(x, len(x), reach=1.5, leaf=50, sub=8, eta=4.0, loss=1e-4)
     c = x - plan.mean
     code, error, along = codes_of(c, plan.books, plan.eta)
     at = np.concatenate([plan.books[s][code[:, s]] for s in range(len(plan.books))], axis=1)
@@ -38,8 +38,6 @@ def test_scan_and_bound():
     assert np.allclose(np.abs(((c - at) * c).sum(1)), along, atol=0.05)
     plain = ((c - np.concatenate([plan.books[s][((c[:, s * 8 : s * 8 + 8, None] - plan.books[s].T[None]) ** 2).sum(1).argmin(1)] for s in range(4)], axis=1)) * c).sum(1)
     assert np.abs(along).mean() < np.abs(plain).mean()  # the parallel error is the smaller for being weighed
-    home, row, leaf = leaves_of(plan, c @ plan.axes.T)
-    assert home.max() < plan.leaves and (leaf > home[row]).all()
     i, j, d = near_pairs(x, None, plan, 1.5)
     assert {(a, b) for a, b in zip(i, j)} == {(a, b) for a, b in brute(x, 10**9, 1.5) if a < b}
 
@@ -61,11 +59,27 @@ def test_everyone_has_k(spark, block):
     assert min(np.bincount([i for i, _ in got], minlength=len(x))) >= 4
 
 
-def test_copies_do_not_narrow_the_margin():
+@pytest.mark.parametrize("where", [0.0, 0.3, 3.0])
+def test_pairs_at_the_reach_meet(where):
+    """At any place, and whatever the sample holds: of pairs exactly ``reach`` apart hardly any shares no bucket."""
     r = np.random.default_rng(5)
-    x = np.concatenate([np.repeat(r.normal(0, 3, (1, 512)), 200, 0), r.normal(0, 3, (300, 512))]).astype(np.float32)
-    plan = fit(x, len(x), reach=1.5, leaf=50, block=100, axes=8, sub=8, eta=4.0)
-    step = (1.4 * plan.axes[plan.planes[0][0]]).astype(np.float32)  # across the first plane, along its axis
-    at = plan.mean + plan.axes[plan.planes[0][0]] * (plan.planes[0][1] - 0.7)
-    home, row, leaf = leaves_of(plan, (np.stack([at, at + step]) - plan.mean) @ plan.axes.T)
-    assert home[0] != home[1] and any(home[i] < k == home[1 - i] for i, k in zip(row, leaf))
+    sample = np.concatenate([np.repeat(r.normal(0, 1, (1, 256)), 500, 0), r.normal(0, 1, (1500, 256))]).astype(np.float32)
+    missed = []
+    for seed in range(4):
+        plan = fit(sample, 5_000_000, reach=1.5, leaf=512, sub=8, eta=4.0, loss=1e-3, seed=seed)
+        x = (r.normal(0, 1, (4000, 256)) * where).astype(np.float32)
+        step = r.normal(size=x.shape)
+        y = x + (1.5 * step / np.linalg.norm(step, axis=1, keepdims=True)).astype(np.float32)
+        missed.append((plan.buckets(x) != plan.buckets(y)).all(1).mean())
+    assert np.mean(missed) < 2e-3, missed
+    far = plan.buckets(sample[500:])
+    assert 3 < plan.planes.shape[0] < 40 and all(np.unique(far[:, t]).size > 500 for t in range(far.shape[1]))
+    assert (far >> TABLE_BIT == np.arange(far.shape[1])).all()
+
+
+def test_differing_vectors_of_one_id(spark):
+    rows = [("a", [0.0] * 8), ("a", [9.0] * 8), ("b", [0.1] * 8), ("c", [9.1] * 8)]
+    got = {frozenset((r.id, r.other)) for r in similar(spark.createDataFrame(rows, "frame_id string, img array<float>"), id="frame_id", vector="img", dimensions=8).collect()}
+    assert len(got) == 1 and "a" in next(iter(got))
+    again = {frozenset((r.id, r.other)) for r in similar(spark.createDataFrame(rows[::-1], "frame_id string, img array<float>"), id="frame_id", vector="img", dimensions=8).collect()}
+    assert got == again

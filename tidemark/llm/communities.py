@@ -4,10 +4,10 @@ Method. Within a group (an inspection) an approximate nearest-neighbour graph is
 neighbours are improved by the neighbours of neighbours until hardly any changes. The distance of the k-th found bounds
 a scan that completes the lists, so that they are the k nearest (of equally near ones those of the least id). The edges of at most
 ``reach``, weighted by closeness, are divided into communities by modularity (local moves, then moves of whole
-communities); members are described by their weighted degree inside their community. An exact check follows: the
-graph's pieces are joined wherever any two of their vectors are at most ``reach`` apart, pieces being told apart by
-their centres and radii first. So a cluster is exactly what chains of steps of at most ``reach`` connect, and the
-communities are its parts.
+communities); members are described by their weighted degree inside their community. Communities that an edge connects make a
+piece. An exact check follows: pieces are joined wherever two communities of theirs, told apart by their centres and radii first,
+have vectors at most ``reach`` apart. So a cluster is exactly what chains of steps of at most ``reach`` connect, and the
+communities are its parts. ``describe`` says how many pieces each cluster had before the check, so that its share is seen.
 
 Local moves are made in rounds, each by the half of the nodes whose id's hash says so, all at once, so that neighbours
 seldom change places. Weights are whole numbers, so that sums don't depend on their order: one task and many come
@@ -32,13 +32,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.vectors import DIMENSIONS, _spread, near_pairs, planned, usable, vectors_of
+from tidemark.llm.vectors import DIMENSIONS, Met, met_in, one_of_each, planned, ranges, spread, usable
 from tidemark.operators.components import connected, pieces
 from tidemark.runtime import cut, map_segments
 
 ROUNDS = 16  # of moves at one level
 UNIT = 1e6  # weights are whole multiples of one in so many
 LEAST_GAIN = 1e-6
+BUCKETS = 64  # parts in which a cluster is described
 
 
 def neighbour_descent(x: np.ndarray, k: int, seed: int = 1, rounds: int = 12, enough: float = 0.002) -> tuple[np.ndarray, np.ndarray]:
@@ -163,28 +164,28 @@ def _first(i: np.ndarray, j: np.ndarray, d: np.ndarray, k: int) -> np.ndarray:
     return o[np.arange(len(o)) - np.repeat(new, np.diff(np.r_[new, len(o)])) < k]
 
 
-def clusters_of(x: np.ndarray, reach: float, k: int, hashes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(piece, community, weighted degree within the community) of each row of one group; both named by their least row."""
+def clusters_of(x: np.ndarray, reach: float, k: int, hashes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(cluster, piece, community, weighted degree within the community) of each row of one group; all named by their least row."""
     n = len(x)
     if n == 1:
-        return np.zeros(1, int), np.zeros(1, int), np.zeros(1)
+        return np.zeros(1, int), np.zeros(1, int), np.zeros(1, int), np.zeros(1)
     i, j, d = nearest(x, k, reach)
     _, one = np.unique(np.minimum(i, j) * n + np.maximum(i, j), return_index=True)
     a, b, w = np.minimum(i, j)[one], np.maximum(i, j)[one], np.rint(UNIT / (0.05 * reach + d[one]))
     community = modularity_communities(n, a, b, w, hashes=hashes)
     inside = community[a] == community[b]
     degree = (np.bincount(a[inside], w[inside], n) + np.bincount(b[inside], w[inside], n)) / UNIT
-    piece = pieces(n, a, b)
-    more = _joins(x.astype(np.float64), piece, reach)
-    if len(more):
-        piece = pieces(n, np.r_[a, more[:, 0]], np.r_[b, more[:, 1]])
-    return piece, community, degree
+    piece = pieces(n, np.r_[np.arange(n), a[~inside]], np.r_[community, b[~inside]])
+    more = _joins(x.astype(np.float64), community, piece, reach)
+    cluster = pieces(n, np.r_[np.arange(n), more[:, 0]], np.r_[piece, more[:, 1]]) if len(more) else piece
+    return cluster, piece, community, degree
 
 
-def _joins(x: np.ndarray, piece: np.ndarray, reach: float) -> np.ndarray:
-    """A pair of rows for every two pieces that lie within reach of each other."""
-    names, at = np.unique(piece, return_inverse=True)
-    if len(names) == 1:
+def _joins(x: np.ndarray, community: np.ndarray, piece: np.ndarray, reach: float) -> np.ndarray:
+    """A pair of rows for every two communities of different pieces that lie within reach of each other."""
+    names, at = np.unique(community, return_inverse=True)
+    own = piece[names]
+    if (own == own[0]).all():
         return np.empty((0, 2), int)
     count = np.bincount(at)
     centre = np.zeros((len(names), x.shape[1]))
@@ -198,7 +199,7 @@ def _joins(x: np.ndarray, piece: np.ndarray, reach: float) -> np.ndarray:
     start = np.r_[0, np.cumsum(count)]
     for lo in range(0, len(names), 512):
         gap = np.sqrt(np.maximum(sq[lo : lo + 512, None] + sq[None] - 2 * centre[lo : lo + 512] @ centre.T, 0))
-        p, q = np.nonzero(gap <= radius[lo : lo + 512, None] + radius[None] + reach + 1e-6)
+        p, q = np.nonzero((gap <= radius[lo : lo + 512, None] + radius[None] + reach + 1e-6) & (own[lo : lo + 512, None] != own[None]))
         for u, v in zip((p + lo).tolist(), q.tolist(), strict=True):
             if u < v:
                 r, s = order[start[u] : start[u + 1]], order[start[v] : start[v + 1]]
@@ -213,22 +214,23 @@ def _joins(x: np.ndarray, piece: np.ndarray, reach: float) -> np.ndarray:
 
 
 def clusters(df: DataFrame, *, id: str, group: str, vector: str, reach: float = 1.5, k: int = 8, dimensions: int = DIMENSIONS, whole: int = 4096) -> DataFrame:
-    """(id, group, cluster, community, degree): cluster is the least id of the cluster's members. See the module's text."""
-    rows = usable(df.filter(F.col(group).isNotNull()), id, vector, dimensions, F.col(group).alias("group")).dropDuplicates(["id"])
+    """(id, group, cluster, piece, community, degree): cluster is the least id of the cluster's members, piece that of its piece. See the module's text."""
+    rows = usable(df.filter(F.col(group).isNotNull()), id, vector, dimensions, F.col(group).alias("group"))
+    rows = rows.dropDuplicates(["id"])
     kinds = dict(rows.dtypes)
-    schema = f"id {kinds['id']}, `group` {kinds['group']}, cluster {kinds['id']}, community string, degree double"
+    schema = f"id {kinds['id']}, `group` {kinds['group']}, cluster {kinds['id']}, piece {kinds['id']}, community string, degree double"
     large = cut(rows.groupBy("group").count().filter(F.col("count") > whole).select("group"))
 
     def work(batch: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
         ids = batch.id.to_numpy()
-        least, community, degree = np.empty(len(batch), dtype=object), np.empty(len(batch), dtype=object), np.zeros(len(batch))
+        least, part, community, degree = *(np.empty(len(batch), dtype=object) for _ in range(3)), np.zeros(len(batch))
         for s, e in zip(starts, np.r_[starts[1:], len(batch)], strict=True):
             x = np.stack(batch.v.iloc[s:e].to_numpy())
-            piece, com, degree[s:e] = clusters_of(x, reach, k, batch["hash"].to_numpy()[s:e])
+            cluster, piece, com, degree[s:e] = clusters_of(x, reach, k, batch["hash"].to_numpy()[s:e])
             own = ids[s:e]
-            least[s:e] = own[piece]  # rows are sorted by id, so the least row is the least id
-            community[s:e] = np.char.add(np.char.add(own[piece].astype(str), "/"), own[com].astype(str))
-        return pd.DataFrame({"id": ids, "group": batch.group, "cluster": least, "community": community, "degree": degree})
+            least[s:e], part[s:e] = own[cluster], own[piece]  # rows are sorted by id, so the least row is the least id
+            community[s:e] = np.char.add(np.char.add(own[cluster].astype(str), "/"), own[com].astype(str))
+        return pd.DataFrame({"id": ids, "group": batch.group, "cluster": least, "piece": part, "community": community, "degree": degree})
 
     small = rows.join(large, "group", "left_anti") if not large.isEmpty() else rows
     out = map_segments(small.select("group", "id", "v", F.xxhash64("id").alias("hash")), ["group"], ["id"], work, schema)
@@ -238,22 +240,17 @@ def clusters(df: DataFrame, *, id: str, group: str, vector: str, reach: float =
 
 
 def _large(rows: DataFrame, reach: float, k: int, dimensions: int, whole: int) -> DataFrame:
-    plan = planned(rows.select("id", "v"), dimensions, reach=reach, sample=8_192, leaf=4000, block=8192, margin=reach)
+    n = rows.count()
+    plan = planned(rows.select("id", "v"), n, reach=reach, sample=8_192, leaf=512, loss=1e-6)
     shared = rows.sparkSession.sparkContext.broadcast(plan)
     kind = dict(rows.dtypes)["id"]
 
     def work(batch: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
         out = [pd.DataFrame({"u": pd.Series([], dtype=object), "v": pd.Series([], dtype=object), "d": pd.Series([], dtype=float)})]
-        side, ids, group = batch.side.to_numpy(), batch.id.to_numpy(), batch.group.to_numpy()
-        a, b = batch.a.to_numpy(), batch.b.to_numpy()
+        ids, group = batch.id.to_numpy(), batch.group.to_numpy()
         for s, e in zip(starts, np.r_[starts[1:], len(batch)], strict=True):
-            x = np.arange(s, e)
-            left, right = x[side[s:e] == 0], x[side[s:e] == 1]
-            one = a[s] == b[s]
-            if not len(left) or (not one and not len(right)):
-                continue
-            i, j, d = near_pairs(vectors_of(batch.vec.iloc[left]), None if one else vectors_of(batch.vec.iloc[right]), shared.value, reach)
-            i, j = left[i] - s, (left if one else right)[j] - s
+            i, j, d = _met_pairs(met_in(batch, s, e, shared.value, reach, "group"), k)
+            i, j = i - s, j - s
             same = group[s + i] == group[s + j]
             i, j, d = i[same], j[same], d[same]
             root = pieces(e - s, i, j)
@@ -261,13 +258,14 @@ def _large(rows: DataFrame, reach: float, k: int, dimensions: int, whole: int) -
             low = np.full(e - s, e - s)
             np.minimum.at(low, root, rank)
             name = ids[s:e][np.argsort(rank)][low[root]]
-            out.append(pd.DataFrame({"u": ids[s:e], "v": name, "d": -1.0}))
+            apart = name != ids[s:e]
+            out.append(pd.DataFrame({"u": ids[s:e][apart], "v": name[apart], "d": -1.0}))
             i, j, d = np.r_[i, j], np.r_[j, i], np.r_[d, d]
             first = _first(i, rank[j], d, k)
             out.append(pd.DataFrame({"u": ids[s + i[first]], "v": ids[s + j[first]], "d": d[first]}))
         return pd.concat(out, ignore_index=True)
 
-    found = cut(map_segments(_spread(rows, plan, ["group"]), ["leaf", "a", "b"], ["side"], work, f"u {kind}, v {kind}, d double"))
+    found = cut(map_segments(spread(rows, n, plan, shared, 8192, ["group"]), ["leaf", "a", "b"], ["side", "id"], work, f"u {kind}, v {kind}, d double"))
     label = connected(found.filter("d < 0").select("u", "v"))
     named = cut(rows.select("id", "group").join(label.withColumnRenamed("u", "id"), "id", "left").select("id", "group", F.coalesce("label", "id").alias("cluster")))
     near = found.filter("d >= 0").withColumn("_r", F.row_number().over(W.partitionBy("u").orderBy("d", "v"))).filter(F.col("_r") <= k)
@@ -278,8 +276,27 @@ def _large(rows: DataFrame, reach: float, k: int, dimensions: int, whole: int) -
     of = lambda end: community.toDF(end, f"c{end}")
     inside = edges.join(of("a"), "a").join(of("b"), "b").filter("ca = cb")
     degree = inside.select(F.explode(F.array("a", "b")).alias("id"), "w").groupBy("id").agg((F.sum("w") / F.lit(UNIT)).alias("degree"))
-    return named.join(community.toDF("id", "c"), "id", "left").join(degree, "id", "left").select(
-        "id", "group", "cluster", F.concat(F.col("cluster").cast("string"), F.lit("/"), F.coalesce("c", "id").cast("string")).alias("community"), F.coalesce("degree", F.lit(0.0)).alias("degree"))
+    piece = connected(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))).toDF("id", "p")
+    return named.join(community.toDF("id", "c"), "id", "left").join(degree, "id", "left").join(piece, "id", "left").select(
+        "id", "group", "cluster", F.coalesce("p", "id").alias("piece"), F.concat(F.col("cluster").cast("string"), F.lit("/"), F.coalesce("c", "id").cast("string")).alias("community"), F.coalesce("degree", F.lit(0.0)).alias("degree"))
+
+
+def _met_pairs(m: Met, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, row, distance) of what was met, each pair once. Of many copies only those with the first k + 1 of a class: the others are nobody's k nearest."""
+    by_i, by_j = np.argsort(m.of_left, kind="stable"), np.argsort(m.of_right, kind="stable")
+    n = max(m.of_left.max(initial=-1), m.of_right.max(initial=-1)) + 2
+    start_i, start_j = (np.searchsorted(c[b], np.arange(n)) for c, b in ((m.of_left, by_i), (m.of_right, by_j)))
+    same = np.intersect1d(m.of_left, m.of_right) if m.table == 0 else np.empty(0, int)
+    i, j, d = np.r_[m.i, same], np.r_[m.j, same], np.r_[m.distance, np.zeros(len(same))]
+    few_i, few_j = np.minimum(start_i[i] + k + 1, start_i[i + 1]), np.minimum(start_j[j] + k + 1, start_j[j + 1])
+    out = []
+    for lo, hi, first, last in ((start_i[i], start_i[i + 1], start_j[j], few_j), (start_i[i], few_i, few_j, start_j[j + 1])):
+        pair, at = ranges(lo, hi)
+        of, to = ranges(first[pair], last[pair])
+        a, b, own = m.left[by_i[at]][of], m.right[by_j[to]], (i == j)[pair][of] & m.one
+        ok = ~own | (b < a)
+        out.append((a[ok], b[ok], d[pair][of][ok]))
+    return tuple(np.concatenate([o[p] for o in out]) for p in range(3))
 
 
 def _divided(edges: DataFrame, kind: str, most: int, passes: int = 10) -> DataFrame:
@@ -351,17 +368,23 @@ def same_cluster_pairs(found: DataFrame, least: int = 5) -> DataFrame:
 
 
 def describe(found: DataFrame, features: DataFrame, *, id: str, quality: str, depth: str, least: int = 5, top: int = 3) -> DataFrame:
-    """One row for each cluster: size, communities, typical members (highest weighted degree), best (highest quality) and depth.
+    """One row for each cluster: size, communities, pieces before the exact check, typical members (highest weighted degree), best (highest quality) and depth.
 
     Ties are broken by the id; members without a row or with a null or NaN quality can't be best.
     """
     q = F.col(quality)
     f = features.select(F.col(id).alias("id"), F.when(~F.isnan(q), q).alias("quality"), F.when(~F.isnan(depth), F.col(depth)).alias("depth")).dropDuplicates(["id"])
     m = found.join(f, "id", "left")
-    by = W.partitionBy("cluster")
-    m = m.withColumn("_t", F.row_number().over(by.orderBy(F.desc("degree"), "id"))).withColumn("_q", F.row_number().over(by.orderBy(F.desc_nulls_last("quality"), "id")))
-    pick = lambda rank, ok: F.transform(F.array_sort(F.collect_list(F.when((F.col(rank) <= top) & ok, F.struct(F.col(rank), F.col("id"))))), lambda s: s["id"])
-    return m.groupBy("group", "cluster").agg(
-        F.count(F.lit(1)).alias("size"), F.countDistinct("community").alias("communities"), pick("_t", F.lit(True)).alias("typical"), pick("_q", F.col("quality").isNotNull()).alias("best"),
-        F.avg("depth").alias("depth_mean"), F.min("depth").alias("depth_min"), F.max("depth").alias("depth_max"),
+    best = lambda order, ok: F.slice(F.array_sort(F.array_agg(F.when(ok, order))), 1, top)
+    # two levels, so that no task sees a whole cluster: the first of every bucket of ids, then the first of those
+    part = m.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(BUCKETS))).withColumn("_t", F.struct((-F.col("degree")).alias("by"), "id")).withColumn("_q", F.struct((-F.col("quality")).alias("by"), "id"))
+    part = part.groupBy("group", "cluster", "_b").agg(
+        F.count(F.lit(1)).alias("n"), best(F.col("_t"), F.lit(True)).alias("_t"), best(F.col("_q"), F.col("quality").isNotNull()).alias("_q"),
+        F.sum("depth").alias("_s"), F.count("depth").alias("_n"), F.min("depth").alias("lo"), F.max("depth").alias("hi"))
+    first = lambda c: F.transform(F.slice(F.array_sort(F.flatten(F.collect_list(c))), 1, top), lambda x: x["id"])
+    parts = lambda c, n: m.select("group", "cluster", c).distinct().groupBy("group", "cluster").agg(F.count(F.lit(1)).alias(n))
+    whole = part.groupBy("group", "cluster").agg(
+        F.sum("n").alias("size"), first("_t").alias("typical"), first("_q").alias("best"),
+        (F.sum("_s") / F.sum("_n")).alias("depth_mean"), F.min("lo").alias("depth_min"), F.max("hi").alias("depth_max"),
     ).filter(F.col("size") >= least)
+    return whole.join(parts("community", "communities"), ["group", "cluster"]).join(parts("piece", "pieces"), ["group", "cluster"])

@@ -1,29 +1,33 @@
-"""The most similar vectors of every vector: partitioned, scanned by four-bit tables, reranked exactly.
+"""The most similar vectors of every vector: hashed to buckets, scanned by four-bit tables, reranked exactly.
 
-Method. A bounded sample (``sample`` vectors) gives the mean, the first principal axes, a tree of planes across
-those axes, and the codebooks of a product quantiser: 16 centres, so four bits, for each ``sub`` dimensions. Codes are
-chosen score-aware: the error along the vector itself weighs ``eta`` times as much as the error across
-it, because only that part changes the inner product with a query that lies near the vector. For a block of
+Method. A bounded sample (``sample`` vectors) gives the mean and the codebooks of a product quantiser: 16 centres, so four
+bits, for each ``sub`` dimensions. Codes are chosen score-aware: the error along the vector itself weighs ``eta`` times as much
+as the error across it, because only that part changes the inner product with a query that lies near the vector. For a block of
 queries the inner products with all centres are tabulated, the tables of two neighbouring codes are joined to
 one of 256 entries, and a scan adds up table rows by the bytes of each vector. What passes the scan is reranked
 by its exact distance.
 
-Nothing is lost. A query x looks for vectors y at most ``reach`` away. On an axis x and y differ by at most reach, so x visits the
-leaves on both sides of a plane nearer than that (``margin``; a smaller one saves work where it is known to do). In the scan |x-y|^2 is estimated as |x|^2 + |y|^2 - 2<x, code of y>; with e = y - code of y the estimate is at most
+What is compared. Only vectors that share a bucket are scanned. A bucket is a side of each of ``bits`` random planes, and there are
+several tables of such buckets. A random direction turns a difference of length r, in d dimensions, into one of about r / sqrt(d), and a plane's
+place is drawn evenly from two deviations of the data along it; so it parts two vectors at most ``reach`` apart with a probability
+of at most reach * sqrt(2 / (pi d)) / (2 deviations), wherever they lie and whatever the data. The number of tables is chosen so
+that the probability of sharing no bucket is at most ``loss``; for vectors nearer than ``reach`` it is far less. It rises with
+the logarithm of the number of vectors, and is known before anything is compared.
+
+In a bucket nothing is lost. In the scan |x-y|^2 is estimated as |x|^2 + |y|^2 - 2<x, code of y>; with e = y - code of y the estimate is at most
 reach^2 + 2 reach |e| + 2 |<y, e>| for any y within reach. That bound, kept with each vector, is the scan's cut-off.
 
 Vectors with fewer than k others within reach are looked for again where all k are asked for (``everyone``): in blocks against blocks of
 all vectors, by their inner products, with a cut-off that allows for rounding, and reranked exactly. So these k are exact too, at any
 distance. No plane or code helps so far out: this part takes time with the number of such vectors times that of all.
 
-Scale. Leaves are planned from the sample: one expected to hold (or be visited by) more than ``block`` vectors is
-split into blocks by hash, and tasks are pairs of blocks, so that no task grows with the data and a leaf that
-holds a third of all vectors becomes many tasks. Of two leaves only the one of higher number is visited, so a pair is
-computed once. Each task already cuts its rows to the ``k`` nearest of each vector, ties kept, before the
-final rank.
+Scale. The number of planes is chosen so that a bucket holds about ``leaf`` vectors however many there are. A bucket that holds more than
+``block``, as counted, is split into blocks by hash, and tasks are pairs of blocks, so that no task grows with the data and a bucket that
+holds a third of all vectors becomes many tasks. Copies of one vector are scanned as one. A pair is reported by the first table that brings it together.
+Each task already cuts its rows to the ``k`` nearest of each vector, ties kept, before the final rank.
 
 Defined results. Vectors of another length, null, or with an element that is null, NaN or infinite take no part; nor do null
-ids. A repeated id counts once. Ties count as defined: y is among the k nearest of x if fewer than k others are
+ids. A repeated id counts once, with the vector of the least hash. Ties count as defined: y is among the k nearest of x if fewer than k others are
 strictly nearer. Fewer than two vectors give no pair. Extra columns are ignored.
 """
 
@@ -31,7 +35,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -50,97 +54,54 @@ def usable(df: DataFrame, id: str, vector: str, dimensions: int, *more: str) ->
     return rows.filter(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
 
 
+def one_of_each(rows: DataFrame) -> tuple[DataFrame, int]:
+    """Rows of which those of one id are alike (of differing vectors the one of the least hash stays), and how many ids there are."""
+    seen = rows.select("id", F.xxhash64("v").alias("h")).groupBy("id").agg(F.min("h").alias("lo"), F.max("h").alias("hi"))
+    n, clashes = seen.agg(F.count(F.lit(1)), F.count_if(F.col("lo") != F.col("hi"))).first()
+    if clashes:
+        rows = rows.join(seen.filter("lo <> hi").select("id", "lo"), "id", "left").filter(F.col("lo").isNull() | (F.xxhash64("v") == F.col("lo"))).drop("lo")
+    return rows, n
+
+
 @dataclass
 class Plan:
-    """What the sample teaches."""
+    """What the sample teaches, and the random planes."""
 
     mean: np.ndarray
-    axes: np.ndarray  # (axes, dimensions)
-    planes: list[tuple[int, float, int, int]] = field(default_factory=list)  # axis, threshold, left, right; ~leaf below zero
-    members: np.ndarray | None = None  # blocks of members for each leaf
-    visitors: np.ndarray | None = None  # blocks of visitors for each leaf
-    books: np.ndarray | None = None  # (subspaces, 16, sub)
-    eta: float = 4.0
-    margin: float = 0.0
-
-    @property
-    def leaves(self) -> int:
-        return len(self.members)
-
-
-def _tree(p: np.ndarray, reach: float, leaf: int) -> list[tuple[int, float, int, int]]:
-    """Planes that halve the sample roughly, where few vectors lie within reach of them."""
-    planes: list[tuple[int, float, int, int]] = []
-    leaves = 0
-
-    def split(rows: np.ndarray) -> int:
-        nonlocal leaves
-        if len(rows) > leaf:
-            best = None
-            for a in range(p.shape[1]):
-                v = np.sort(p[rows, a])
-                lo, hi = len(v) // 5, len(v) - len(v) // 5
-                cut = (v[lo : hi - 1] + v[lo + 1 : hi]) / 2
-                if not len(cut):
-                    continue
-                near = np.searchsorted(v, cut + reach) - np.searchsorted(v, cut - reach)
-                i = int(near.argmin())
-                if cut[i] > v[0] and cut[i] < v[-1] and (best is None or near[i] < best[0]):
-                    best = (int(near[i]), a, float(cut[i]))
-            if best is not None and best[0] < 0.9 * len(rows):
-                at = len(planes)
-                planes.append((0, 0.0, 0, 0))
-                left = p[rows, best[1]] <= best[2]
-                planes[at] = (best[1], best[2], split(rows[left]), split(rows[~left]))
-                return at
-        leaves += 1
-        return ~(leaves - 1)
-
-    root = split(np.arange(len(p)))
-    return planes if planes else [(0, math.inf, root, ~1)]
-
-
-def leaves_of(plan: Plan, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Home leaf of each projected vector; (row, leaf) of each leaf of a higher number that lies within the margin."""
-    reach = plan.margin
-    home = np.zeros(len(p), np.int32)
-    rows, leaf = [], []
-    stack = [(0, np.arange(len(p)), np.ones(len(p), bool))]
-    while stack:
-        node, at, own = stack.pop()
-        if not len(at):
-            continue
-        if node < 0:
-            home[at[own]] = ~node
-            rows.append(at[~own])
-            leaf.append(np.full((~own).sum(), ~node, np.int32))
-            continue
-        axis, cut, left, right = plan.planes[node]
-        v = p[at, axis]
-        below = v <= cut
-        for child, own_side, touch in ((left, below, v <= cut + reach), (right, ~below, v > cut - reach)):
-            stack.append((child, at[touch], own[touch] & own_side[touch]))
-    rows_, leaf_ = np.concatenate(rows), np.concatenate(leaf)
-    higher = leaf_ > home[rows_]
-    return home, rows_[higher], leaf_[higher]
-
-
-def fit(sample: np.ndarray, n: int, *, reach: float, leaf: int, block: int, axes: int, sub: int, eta: float, margin: float | None = None, seed: int = 7) -> Plan:
-    """n: how many vectors there are in all; leaf: how many of them a leaf should hold."""
+    planes: np.ndarray  # (tables, bits, dimensions)
+    places: np.ndarray  # (tables, bits)
+    books: np.ndarray  # (subspaces, 16, sub)
+    eta: float
+
+    def buckets(self, c: np.ndarray) -> np.ndarray:
+        """(n, tables): the bucket of each centred vector in each table."""
+        t, k, d = self.planes.shape
+        side = (c @ self.planes.reshape(t * k, d).T > self.places.ravel()).reshape(len(c), t, k)
+        return side @ (np.int64(1) << np.arange(k, dtype=np.int64)) + (np.arange(t, dtype=np.int64) << TABLE_BIT)
+
+
+#: The number of the table lies above so many bits of the bucket.
+TABLE_BIT = 56
+
+
+def fit(sample: np.ndarray, n: int, *, reach: float, leaf: int, sub: int, eta: float, loss: float, seed: int = 7) -> Plan:
+    """n: how many vectors there are in all; leaf: how many of them a bucket should hold."""
     mean = sample.mean(0, dtype=np.float64).astype(np.float32)
     c = sample - mean
-    vec = np.linalg.eigh((c.T @ c / max(len(c), 1)).astype(np.float64))[1]
-    plan = Plan(mean=mean, axes=vec[:, ::-1][:, :axes].T.astype(np.float32), eta=eta)
-    share = max(len(c), 1) / max(n, 1)
-    p = c @ plan.axes.T
-    plan.margin = reach if margin is None else margin
-    plan.planes = _tree(p, plan.margin, max(8, int(leaf * share)))
-    count = max(~c for _, _, a, b in plan.planes for c in (a, b) if c < 0) + 1
-    home, _, visited = leaves_of(plan, p)
-    plan.members = np.maximum(1, np.ceil(np.bincount(home, minlength=count) / share / block)).astype(np.int32)
-    plan.visitors = np.maximum(1, np.ceil(np.bincount(visited, minlength=count) / share / block)).astype(np.int32)
-    plan.books = _books(c, sub, seed)
-    return plan
+    d = c.shape[1]
+    rng = np.random.default_rng(seed)
+    deviation = float(np.sqrt((c.astype(np.float64) ** 2).mean())) or 1.0  # along a random direction
+    parts = min(reach * math.sqrt(2 / (math.pi * d)) / (2 * deviation), 1.0)
+    alike = 0.6  # about the share of pairs that such a plane leaves together
+    bits = min(max(0, math.ceil(math.log(leaf / max(n, 1)) / math.log(alike))), TABLE_BIT - 1)
+    while bits and (met := (1 - parts) ** bits) < 0.3:  # the data is too dense for the reach: fewer planes, larger buckets
+        bits -= 1
+    met = (1 - parts) ** bits
+    tables = 1 if met >= 1 - loss else math.ceil(math.log(loss) / math.log(1 - met))
+    planes = rng.normal(size=(tables, bits, d))
+    planes /= np.linalg.norm(planes, axis=2, keepdims=True) if bits else 1
+    places = rng.uniform(-deviation, deviation, (tables, bits))
+    return Plan(mean, planes.astype(np.float32), places.astype(np.float32), _books(c, sub, seed), eta)
 
 
 def _books(c: np.ndarray, sub: int, seed: int, rounds: int = 8) -> np.ndarray:
@@ -200,20 +161,21 @@ def scan(q: np.ndarray, code: np.ndarray, books: np.ndarray) -> np.ndarray:
     return out
 
 
-def near_pairs(x: np.ndarray, y: np.ndarray | None, plan: Plan, reach: float, queries: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(i in x, j in y, distance) of all pairs within reach; with y None, pairs i < j within x."""
+def near_pairs(x: np.ndarray, y: np.ndarray | None, plan: Plan, reach: float, coded: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None, queries: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i in x, j in y, distance) of all pairs within reach; with y None, pairs i < j within x. coded: what ``codes_of`` gives for x."""
     base = x
     c = base - plan.mean
-    code, error, along = codes_of(c, plan.books, plan.eta)
+    code, error, along = codes_of(c, plan.books, plan.eta) if coded is None else coded
     own = (c * c).sum(1)
     bound = reach * reach + 2 * reach * error + 2 * along + 1e-3 * (1 + own)
     others = base if y is None else y
     out = []
     for lo in range(0, len(others), queries):
         o = others[lo : lo + queries]
+        rows = len(base) if y is not None else min(lo + len(o), len(base))  # of pairs within x only i < j are wanted
         q = o - plan.mean
-        est = own[:, None] + (q * q).sum(1)[None, :] - 2 * scan(q, code, plan.books)
-        i, j = np.nonzero(est <= bound[:, None])
+        est = own[:rows, None] + (q * q).sum(1)[None, :] - 2 * scan(q, code[:rows], plan.books)
+        i, j = np.nonzero(est <= bound[:rows, None])
         if y is None:
             keep = i < j + lo
             i, j = i[keep], j[keep]
@@ -231,9 +193,8 @@ def vectors_of(column: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.float32).reshape(len(column), -1)
 
 
-def planned(rows: DataFrame, dimensions: int, *, reach: float, sample: int, leaf: int, block: int, axes: int = 24, sub: int = 8, eta: float = 4.0, margin: float | None = None) -> Plan | None:
-    """The plan for ``rows`` (id, v ARRAY<FLOAT>), from a sample chosen by a hash of the id."""
-    n = rows.count()
+def planned(rows: DataFrame, n: int, *, reach: float, sample: int, leaf: int, sub: int = 8, eta: float = 4.0, loss: float = 1e-3) -> Plan | None:
+    """The plan for ``n`` vectors in ``rows`` (id, v ARRAY<FLOAT>), from a sample chosen by a hash of the id."""
     if n < 2:
         return None
     share = min(1_000_000, math.ceil(1_000_000 * sample / n))
@@ -241,7 +202,7 @@ def planned(rows: DataFrame, dimensions: int, *, reach: float, sample: int, leaf
     got = packed(rows.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share))
     if not len(got):
         got = packed(rows)
-    return fit(vectors_of(got), n, reach=reach, leaf=leaf, block=block, axes=axes, sub=sub, eta=eta, margin=margin)
+    return fit(vectors_of(got), n, reach=reach, leaf=leaf, sub=sub, eta=eta, loss=loss)
 
 
 def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -249,9 +210,24 @@ def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"vec": [np.asarray(v, np.float32).tobytes() for v in b.v]})
 
 
-def _spread(rows: DataFrame, plan: Plan, more: list[str]) -> DataFrame:
-    """(leaf, a, b, side, id, vec, more): each vector in all the tasks (leaf, block a, block b) that need it."""
-    shared = rows.sparkSession.sparkContext.broadcast(plan)
+def hot_buckets(rows: DataFrame, n: int, shared, block: int) -> tuple[np.ndarray, np.ndarray]:  # noqa: ANN001
+    """The buckets of more than ``block`` rows, sorted, and the number of blocks of each; at most n / block of them in a table."""
+    if n <= block:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                keys, count = np.unique(shared.value.buckets(np.stack(b.v.to_numpy()).astype(np.float32) - shared.value.mean), return_counts=True)
+                yield pd.DataFrame({"leaf": keys, "n": count})
+
+    count = rows.select("v").mapInPandas(work, "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n")).filter(F.col("n") > block).orderBy("leaf").toPandas()
+    return count.leaf.to_numpy(np.int64), np.ceil(count.n.to_numpy() / block).astype(np.int64)
+
+
+def spread(rows: DataFrame, n: int, plan: Plan, shared, block: int, more: list[str]) -> DataFrame:  # noqa: ANN001
+    """(leaf, a, b, side, id, vec, code, error, along, buckets, more): each vector in all the tasks (bucket, block a, block b) that need it."""
+    hot, blocks = hot_buckets(rows, n, shared, block)
     kinds = dict(rows.dtypes)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -262,81 +238,166 @@ def _spread(rows: DataFrame, plan: Plan, more: list[str]) -> DataFrame:
                 if not len(b):
                     continue
                 x = np.stack(b.v.to_numpy()).astype(np.float32)
-                home, visitor, visited = leaves_of(plan, (x - plan.mean) @ plan.axes.T)
-                h = pd.util.hash_array(b.id.to_numpy())
-                own = (h % plan.members[home].astype(np.uint64)).astype(np.int32)
-                out: list[tuple[np.ndarray, ...]] = []
-                for k in range(int(plan.members[home].max())):  # tasks of the pairs of member blocks
-                    at = np.flatnonzero(plan.members[home] > k)
-                    out.append((at, home[at], np.minimum(own[at], k), np.maximum(own[at], k), (own[at] > k).astype(np.int32)))
-                for k in range(int(plan.visitors[home].max())):  # and of a member block with each block of visitors
-                    at = np.flatnonzero(plan.visitors[home] > k)
-                    out.append((at, home[at], own[at], -1 - np.full(len(at), k, np.int32), np.zeros(len(at), np.int32)))
-                if len(visitor):
-                    vb = (h[visitor] % plan.visitors[visited].astype(np.uint64)).astype(np.int32)
-                    for k in range(int(plan.members[visited].max())):
-                        s = plan.members[visited] > k
-                        out.append((visitor[s], visited[s], np.full(s.sum(), k, np.int32), -1 - vb[s], np.ones(s.sum(), np.int32)))
+                c = x - plan.mean
+                code, error, along = codes_of(c, plan.books, plan.eta)
+                buckets = plan.buckets(c)
+                count = np.ones(buckets.shape, np.int64)
+                if len(hot):
+                    place = np.minimum(np.searchsorted(hot, buckets), len(hot) - 1)
+                    count = np.where(hot[place] == buckets, blocks[place], 1)
+                own = (pd.util.hash_array(b.id.to_numpy())[:, None] % count.astype(np.uint64)).astype(np.int32)
+                out = []
+                for k in range(int(count.max())):  # tasks of the pairs of blocks
+                    at, table = np.nonzero(count > k)
+                    o = own[at, table]
+                    out.append((at, buckets[at, table], np.minimum(o, k), np.maximum(o, k), (o > k).astype(np.int32)))
                 at = np.concatenate([o[0] for o in out])
-                vec = np.array([v.tobytes() for v in x], dtype=object)
                 cols = {n: np.concatenate([o[k] for o in out]) for k, n in ((1, "leaf"), (2, "a"), (3, "b"), (4, "side"))}
-                yield pd.DataFrame(cols | {"id": b.id.to_numpy()[at], "vec": vec[at]} | {c: b[c].to_numpy()[at] for c in more})
+                bytes_of = lambda m: np.array([v.tobytes() for v in m], dtype=object)[at]  # noqa: E731, B023
+                yield pd.DataFrame(cols | {"id": b.id.to_numpy()[at], "vec": bytes_of(x), "code": bytes_of(code), "error": error[at], "along": along[at], "buckets": bytes_of(buckets)} | {c: b[c].to_numpy()[at] for c in more})
 
-    return rows.mapInPandas(work, f"leaf int, a int, b int, side int, id {kinds['id']}, vec binary" + "".join(f", {c} {kinds[c]}" for c in more))
+    return rows.mapInPandas(work, f"leaf long, a int, b int, side int, id {kinds['id']}, vec binary, code binary, error float, along float, buckets binary" + "".join(f", {c} {kinds[c]}" for c in more))
 
 
-def _top(i: np.ndarray, j: np.ndarray, d: np.ndarray, k: int) -> np.ndarray:
-    """Which of the directed rows i -> j are among the k nearest of i, ties kept."""
+@dataclass
+class Met:
+    """What a task brings together: near pairs (i, j) of different vectors, as classes of equal ones, and the rows of both sides with their classes."""
+
+    i: np.ndarray
+    j: np.ndarray
+    distance: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    of_left: np.ndarray
+    of_right: np.ndarray
+    one: bool  # both sides are the same rows
+    table: int
+
+
+def met_in(batch: pd.DataFrame, s: int, e: int, plan: Plan, reach: float, by: str | None = None) -> Met:
+    """The pairs of the task in rows s to e that no earlier table brings together; rows of a repeated id are left out. by: classes are apart where this differs."""
+    part = batch.iloc[s:e]
+    part = part[~part.duplicated("id")]
+    alike = part.vec if by is None else pd.Series(list(zip(part.vec, part[by], strict=True)), dtype=object)
+    cls, names = pd.factorize(alike)
+    side = part.side.to_numpy()
+    one = bool(part.a.iloc[0] == part.b.iloc[0])
+    table = int(part.leaf.iloc[0]) >> TABLE_BIT
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == (0 if one else 1))
+    first = np.full(len(names), len(part))
+    np.minimum.at(first, cls, np.arange(len(part)))
+    lc, rc = np.unique(cls[left]), np.unique(cls[right])
+    i, j, d = np.empty(0, int), np.empty(0, int), np.empty(0)
+    if len(lc) and len(rc) and (not one or len(lc) > 1):
+        rows = part.iloc[first[lc]]
+        coded = np.frombuffer(b"".join(rows.code), np.uint8).reshape(len(rows), -1), rows.error.to_numpy(), rows.along.to_numpy()
+        i, j, d = near_pairs(vectors_of(rows.vec), None if one else vectors_of(part.vec.iloc[first[rc]]), plan, reach, coded)
+        i, j = lc[i], rc[j]
+        ok = i != j
+        if table and ok.any():
+            b = np.frombuffer(b"".join(part.buckets), np.int64).reshape(len(part), -1)[first, :table]
+            ok &= ~(b[i] == b[j]).any(1)
+        i, j, d = i[ok], j[ok], d[ok]
+    at = part.index.to_numpy()
+    return Met(i, j, d, at[left], at[right], cls[left], cls[right], one, table)
+
+
+def ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which range, and the place, for every place from each lo to its hi."""
+    n = hi - lo
+    of = np.repeat(np.arange(len(n)), n)
+    return of, np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + lo[of]
+
+
+def nearest_of(m: Met, k: int, most: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, other, distance): of the rows met, the k nearest of each row, ties kept, in parts of some ``most`` rows."""
+    same = np.empty(0, int)
+    if m.table == 0:
+        count = np.bincount(m.of_left) > 1 if m.one else np.bincount(m.of_left, minlength=1)
+        same = np.flatnonzero(count) if m.one else np.intersect1d(m.of_left, m.of_right)
+    zero = np.zeros(len(same))
+    yield from _directed(np.r_[m.i, m.j, same] if m.one else np.r_[m.i, same], np.r_[m.j, m.i, same] if m.one else np.r_[m.j, same], np.r_[m.distance, m.distance, zero] if m.one else np.r_[m.distance, zero], m.left, m.right, m.of_left, m.of_right, m.one, k, most)
+    if not m.one:
+        yield from _directed(np.r_[m.j, same], np.r_[m.i, same], np.r_[m.distance, zero], m.right, m.left, m.of_right, m.of_left, False, k, most)
+
+
+def _directed(i, j, d, rows_i, rows_j, cls_i, cls_j, one, k, most):  # noqa: ANN001, ANN202
+    if not len(i):
+        return
+    classes = max(i.max(), j.max(), cls_i.max(), cls_j.max()) + 1
+    size = np.bincount(cls_j, minlength=classes)
     o = np.lexsort((d, i))
-    first = np.r_[True, i[o][1:] != i[o][:-1]]
-    start = np.flatnonzero(first)[np.cumsum(first) - 1]
-    kth = np.minimum(start + k - 1, np.r_[np.flatnonzero(first)[1:], len(o)][np.cumsum(first) - 1] - 1)
-    keep = np.zeros(len(i), bool)
-    keep[o] = d[o] <= d[o][kth]
-    return keep
-
-
-def similar(df: DataFrame, *, id: str, vector: str, k: int = 4, reach: float = 1.5, dimensions: int = DIMENSIONS, sample: int = 8_192, leaf: int = 4000, block: int = 8192, margin: float | None = None, everyone: bool = False) -> DataFrame:
+    i, j, d = i[o], j[o], d[o]
+    new = np.r_[True, i[1:] != i[:-1]]
+    tie = new | np.r_[True, d[1:] != d[:-1]]
+    n = size[j] - (one & (i == j))
+    before = np.cumsum(n) - n
+    nearer = before[np.flatnonzero(tie)[np.cumsum(tie) - 1]] - before[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    i, j, d = (v[nearer < k] for v in (i, j, d))
+    by_i, by_j = np.argsort(cls_i, kind="stable"), np.argsort(cls_j, kind="stable")
+    start_i, start_j = (np.searchsorted(c[b], np.arange(classes + 1)) for c, b in ((cls_i, by_i), (cls_j, by_j)))
+    pair, at = ranges(start_i[i], start_i[i + 1])
+    row, j, d = rows_i[by_i[at]], j[pair], d[pair]
+    part = np.cumsum(size[j]) // most
+    for lo, hi in zip(at_ := np.flatnonzero(np.r_[True, part[1:] != part[:-1]]), np.r_[at_[1:], len(part)], strict=True):
+        of, at = ranges(start_j[j[lo:hi]], start_j[j[lo:hi] + 1])
+        a, b, dist = row[lo:hi][of], rows_j[by_j[at]], d[lo:hi][of]
+        ok = a != b
+        yield a[ok], b[ok], dist[ok]
+
+
+def similar(df: DataFrame, *, id: str, vector: str, k: int = 4, reach: float = 1.5, dimensions: int = DIMENSIONS, sample: int = 8_192, leaf: int = 512, block: int = 8192, loss: float = 1e-3, everyone: bool = False) -> DataFrame:
     """(id, other, distance): the k nearest others of each vector that are at most ``reach`` away, ties included.
 
-    everyone: also those farther away than ``reach``, for the vectors that have fewer than k within it.
+    loss: the most probable share of pairs exactly ``reach`` apart that are missed. everyone: also those farther away than
+    ``reach``, for the vectors that have fewer than k within it.
     """
-    rows = usable(df, id, vector, dimensions).dropDuplicates(["id"])
+    rows, n = one_of_each(usable(df, id, vector, dimensions))
     kind = dict(rows.dtypes)["id"]
     schema = f"id {kind}, other {kind}, distance double"
-    plan = planned(rows, dimensions, reach=reach, sample=sample, leaf=leaf, block=block, margin=margin)
+    plan = planned(rows, n, reach=reach, sample=sample, leaf=leaf, loss=loss)
     if plan is None:
         return df.sparkSession.createDataFrame([], schema)
     shared = df.sparkSession.sparkContext.broadcast(plan)
 
-    def work(batch: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
-        out = []
-        side, ids = batch.side.to_numpy(), batch.id.to_numpy()
-        a, b = batch.a.to_numpy(), batch.b.to_numpy()
+    def work(batch: pd.DataFrame, starts: np.ndarray) -> Iterator[pd.DataFrame]:
+        ids = batch.id.to_numpy()
+        held: list[tuple] = []
         for s, e in zip(starts, np.r_[starts[1:], len(batch)], strict=True):
-            x = np.arange(s, e)
-            left, right = x[side[s:e] == 0], x[side[s:e] == 1]
-            one = a[s] == b[s]
-            if not len(left) or (not one and not len(right)):
-                continue
-            i, j, d = near_pairs(vectors_of(batch.vec.iloc[left]), None if one else vectors_of(batch.vec.iloc[right]), shared.value, reach)
-            i, j = left[i], (left if one else right)[j]
-            i, j, d = np.r_[i, j], np.r_[j, i], np.r_[d, d]
-            if len(i):
-                keep = _top(i, j, d, k)
-                out.append(pd.DataFrame({"id": ids[i[keep]], "other": ids[j[keep]], "distance": d[keep]}))
-        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"id": pd.Series([], dtype=object), "other": pd.Series([], dtype=object), "distance": pd.Series([], dtype=float)})
-
-    near = map_segments(_spread(rows, plan, []), ["leaf", "a", "b"], ["side"], work, schema)
+            for part in nearest_of(met_in(batch, s, e, shared.value, reach), k):
+                held.append(part)
+                if sum(len(h[0]) for h in held) > 500_000:
+                    yield _pairs(held, ids)
+                    held = []
+        yield _pairs(held, ids)
+
+    near = map_segments(spread(rows, n, plan, shared, block, []), ["leaf", "a", "b"], ["side", "id"], work, schema)
     ranked = lambda d: d.withColumn("_r", F.rank().over(W.partitionBy("id").orderBy("distance"))).filter(F.col("_r") <= k).drop("_r")
     if not everyone:
         return ranked(near)
     near = cut(ranked(near))
     full = cut(near.groupBy("id").count().filter(F.col("count") >= k).select("id"))
+    rows = rows.dropDuplicates(["id"])
     few = rows.join(full, "id", "left_anti")
     return near.join(full, "id", "left_semi").unionByName(ranked(_nearest_of(few, rows, plan, k, block, schema)))
 
 
+def _pairs(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]], ids: np.ndarray) -> pd.DataFrame:
+    a, b, d = (np.concatenate([h[p] for h in held]) if held else np.empty(0, int) for p in range(3))
+    return pd.DataFrame({"id": ids[a], "other": ids[b], "distance": d.astype(float)})
+
+
+def _top(i: np.ndarray, j: np.ndarray, d: np.ndarray, k: int) -> np.ndarray:
+    """Which of the directed rows i -> j are among the k nearest of i, ties kept."""
+    o = np.lexsort((d, i))
+    first = np.r_[True, i[o][1:] != i[o][:-1]]
+    start = np.flatnonzero(first)[np.cumsum(first) - 1]
+    kth = np.minimum(start + k - 1, np.r_[np.flatnonzero(first)[1:], len(o)][np.cumsum(first) - 1] - 1)
+    keep = np.zeros(len(i), bool)
+    keep[o] = d[o] <= d[o][kth]
+    return keep
+
+
 def _nearest_of(few: DataFrame, rows: DataFrame, plan: Plan, k: int, block: int, schema: str) -> DataFrame:
     """(id, other, distance): for each of ``few`` its k nearest others in each block of ``rows``, ties kept."""
     few = cut(few.select("id", "v"))
