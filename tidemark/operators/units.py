@@ -5,12 +5,13 @@ unit of the reading. Evidence for the state: a unit written with the value or in
 recorder's own unit is strong evidence (``trust``) for a reading that states none. Between successive readings
 a switch of unit costs ``switch``, and the jump in log value that a unit implies is weighed against a smooth
 underlying level by a heavy-tailed cost of at most ``cap``, so that a real change of level never outweighs what
-is written. Viterbi decodes all series of a batch at once; where nothing is written and the recorder is not
+is written. A unit that would give a value out of the quantity's usual range has a little against it in each reading, and other
+than common units next to nothing. Viterbi decodes all series of a batch at once; where nothing is written and the recorder is not
 known, the jumps decide. An exact conversion by the decoded unit follows.
 
 Scale. Parsing is Spark expressions alone. A file is decoded in blocks of ``block_ms`` of its running time, so
 no task holds a whole file. Where every reading has a declared unit the blocks are independent: what is declared outweighs any jump. Series
-without a recorder's unit that are longer than a block are decoded a second time, exactly as if in one piece: each block is summed up by a matrix of the best
+without a recorder's unit are decoded a second time, exactly as if in one piece, with what is usual for the quantity among all that is declared: each block is summed up by a matrix of the best
 scores from each state before it to each state at its end, the matrices, one row a block, are multiplied through from both ends, and each block is decoded between
 the scores that come to it from before and after. So a unit stated once holds for hours.
 
@@ -47,6 +48,8 @@ UNITS = {
     "K": ("temperature", 1.0, -273.15, ["k", "kelvin", "°k"]),
 }
 COMMON = {"length": "m", "angle": "deg", "temperature": "C"}
+# Ranges in the common unit outside of which a value speaks against the unit that gives it.
+USUAL = {"length": (0.0, 300.0), "angle": (-180.0, 360.0), "temperature": (-3.0, 45.0)}
 QUANTITY = {"Depth": "length", "Rangefinder": "length", "Water Temp": "temperature", "Heading": "angle", "Pitch": "angle", "Roll": "angle", "Camera Tilt": "angle"}
 
 _NUMBER = r"^\s*([+\-−]?(?:\d+(?:[.,]\d*)?|[.,]\d+)(?:[eE][+\-]?\d+)?)\s*(.*?)\s*$"
@@ -98,7 +101,8 @@ def viterbi(x: np.ndarray, real: np.ndarray, evidence: np.ndarray, factor: np.nd
 
 
 def _levels(x: np.ndarray, factor: np.ndarray, offset: np.ndarray) -> np.ndarray:
-    return np.log(np.abs((x[..., None] + offset) * factor) + 0.05)
+    """Log value in the common unit for each state. Small readings are kept apart from 0 on their own scale, so that no unit has smaller jumps."""
+    return np.log(np.abs(x[..., None] + offset) + 0.05) + np.log(factor)
 
 
 def _moves(before: np.ndarray, after: np.ndarray, switch: float, cap: float) -> np.ndarray:
@@ -107,10 +111,15 @@ def _moves(before: np.ndarray, after: np.ndarray, switch: float, cap: float) ->
     return -jump - switch * (1 - np.eye(before.shape[1]))
 
 
-def _evidence(batch: pd.DataFrame, states: list[str], trust: float) -> np.ndarray:
-    """(rows, states): what is written against each state."""
+def _evidence(batch: pd.DataFrame, states: list[str], trust: float, odd: float = 4.0, usual: tuple[float, float] | None = None) -> np.ndarray:
+    """(rows, states): what is written against each state, and that it gives a value such as the quantity hardly has. usual: mean and deviation of its log."""
+    factor, offset = (np.array([UNITS[u][i] for u in states]) for i in (1, 2))
+    value = (batch.value.to_numpy(float)[:, None] + offset) * factor
+    lo, hi = USUAL[UNITS[states[0]][0]]
     code = {u: i for i, u in enumerate(states)}
-    out = np.zeros((len(batch), len(states)))
+    out = np.where((value < lo) | (value > hi), -odd, 0.0) - 0.01 * (np.array(states) != COMMON[UNITS[states[0]][0]])
+    if usual is not None:
+        out -= np.minimum(0.5 * ((np.log(np.abs(value) + 0.05) - usual[0]) / max(usual[1], 0.5)) ** 2, odd)
     for column, weight in (("stated", 10 * trust), ("usual", trust)):
         known = batch[column].map(code).fillna(-1).to_numpy().astype(int)
         out -= np.where((known >= 0)[:, None] & (known[:, None] != np.arange(len(states))), weight, 0.0)
@@ -148,14 +157,16 @@ def common_units(rows: DataFrame, *, switch: float = 3.0, cap: float = 12.0, tru
     src = src.withColumnRenamed("name", "name_").select("file", "start_ms", "name_", "value", "quantity", "stated", "usual", "block")
     kinds = "file string, start_ms bigint, name_ string, value double, quantity string, stated string, usual string, block bigint, unit string, common double"
     decoded = cut(map_segments(src, ["file", "block", "name_"], ["start_ms", "value"], work, kinds))
-    loose = decoded.filter("usual = ''").groupBy("file", "name_").agg(F.min("block").alias("_lo"), F.max("block").alias("_hi")).filter("_lo < _hi").drop("_lo", "_hi")
+    loose = decoded.filter("usual = ''")
     if not loose.isEmpty():
-        again = _chained(decoded.filter("usual = ''").join(loose, ["file", "name_"]), by_quantity, switch, cap, trust, kinds)
-        decoded = decoded.join(loose.withColumn("_l", F.lit(True)), ["file", "name_"], "left").filter("_l is null or usual <> ''").select(*again.columns).unionByName(again)
+        log = F.log(F.abs("common") + 0.05)
+        level = decoded.filter("stated <> '' or usual <> ''").groupBy("name_").agg(F.avg(log).alias("m"), F.stddev(log).alias("d")).filter("d is not null").collect()  # a row for each of the few names
+        again = _chained(loose, {r.name_: (r.m, r.d) for r in level}, by_quantity, switch, cap, trust, kinds)
+        decoded = decoded.filter("usual <> ''").select(*again.columns).unionByName(again)
     return decoded.select("file", "start_ms", F.col("name_").alias("name"), "value", "unit", F.expr("stated <> '' or usual <> ''").alias("declared"), "common")
 
 
-def _chained(rows: DataFrame, by_quantity: dict[str, list[str]], switch: float, cap: float, trust: float, kinds: str) -> DataFrame:
+def _chained(rows: DataFrame, usual: dict[str, tuple[float, float]], by_quantity: dict[str, list[str]], switch: float, cap: float, trust: float, kinds: str) -> DataFrame:
     """The rows with their units decoded over all blocks of their series."""
     d = rows.drop("unit", "common").withColumn("series", F.concat_ws("\x00", "file", "name_"))
     d = carried(d, "series", ["start_ms", "value"], F.col("block"), {"last": F.col("value")})  # the reading before this one
@@ -169,7 +180,7 @@ def _chained(rows: DataFrame, by_quantity: dict[str, list[str]], switch: float,
         moves = _moves(np.nan_to_num(level[:-1]), level[1:], switch, cap)
         if np.isnan(x[0]):
             moves[0] = 0.0  # nothing comes before the first reading
-        return moves + _evidence(batch.iloc[s:e], by_quantity[q], trust)[:, None, :]
+        return moves + _evidence(batch.iloc[s:e], by_quantity[q], trust, usual=usual.get(batch.name_.iloc[s]))[:, None, :]
 
     def matrices(batch: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
         out = []
