@@ -42,6 +42,13 @@ def test_commands(spark, tables, tmp_path):
     assert cli.main(["analyze", str(tmp_path / "m.json")], spark) == 1
     (tmp_path / "v.mp4").write_text("x")
     assert cli.main(["list", str(tmp_path)], spark) == 0
+    assert cli.main(["analyze", str(tmp_path / "m.json"), "--select", "1,2", "--dry-run"], spark) == 0  # there is only one
+    assert cli.main(["clear", tables, str(tmp_path / "sim"), "1", "--similarities"], spark) == 0
+    assert spark.read.parquet(str(tmp_path / "sim/frames.parquet")).count() > 1 and spark.read.parquet(str(tmp_path / "sim/clusters.parquet")).count() == 0
+    assert cli.main(["clear", tables, str(tmp_path / "none"), "--all"], spark) == 0
+    assert spark.read.parquet(str(tmp_path / "none/frames.parquet")).count() == 0
+    with pytest.raises(SystemExit):
+        cli.main(["clear", tables, str(tmp_path / "x")], spark)
 
 
 def test_contextualise(spark):

@@ -81,6 +81,16 @@ def test_components(spark):
     assert len(components(df.limit(2), "g", "v", 50).first().variance) == 2
 
 
+def test_components_of_a_hot_group_in_levels(spark):
+    r = np.random.default_rng(1)
+    x = r.normal(0, 1, (3000, 5)) * [4, 2, 1, 0.5, 0.2] + 7
+    df = spark.createDataFrame(pd.DataFrame({"g": np.where(np.arange(3000) < 2700, 1, 2), "v": list(x.tolist())})).repartition(130)
+    for c in components(df, "g", "v", 5).collect():
+        own = x[:2700] if c.g == 1 else x[2700:]
+        val, vec = np.linalg.eigh(np.cov(own.T, bias=True))
+        assert np.allclose(c.variance, val[::-1]) and np.allclose(np.abs(np.array(c.axes)), np.abs(vec[:, ::-1].T), atol=1e-6)
+
+
 def test_cluster_nodes(spark):
     d = spark.createDataFrame([("a", 1, True, 0), ("b", 1, False, -1)], "id string, `group` int, core boolean, number int")
     nodes, edges = cluster_nodes(d)

@@ -73,3 +73,14 @@ def test_smoother_against_the_batch_solution():
     cov = np.linalg.inv(a)
     x, var = smooth(t[None], y[None], np.ones((1, 30), bool), np.array([v]), q, None)
     assert np.allclose(x[0], (cov @ b)[::2], atol=1e-3) and np.allclose(var[0], np.diag(cov)[::2], rtol=1e-2)
+
+
+def test_a_long_gap_is_filled_with_growing_uncertainty(spark):
+    """Of 60 hours, far more than a block and its halos: every slot has a value, and the middle is the least certain."""
+    rows = [at(10 * k, d=5.0) for k in range(60)] + [at(216_000 + 10 * k, d=9.0) for k in range(60)]
+    g = grid(spark, rows)
+    d = g[g.field == "depth"].sort_values("slot").reset_index(drop=True)
+    gap = d[d.missing]
+    assert len(gap) > 21_000 and d.value.notna().all() and d.sd.notna().all()
+    assert gap.sd.iloc[len(gap) // 2] > 5 * max(gap.sd.iloc[0], gap.sd.iloc[-1])
+    assert abs(d.value.iloc[30] - 5) < 0.1 and abs(d.value.iloc[-30] - 9) < 0.1

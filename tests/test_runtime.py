@@ -1,7 +1,10 @@
+from types import SimpleNamespace
+
+import pytest
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
-from tidemark.runtime import map_segments, ranked_blocks
+from tidemark.runtime import cut, map_segments, ranked_blocks
 
 
 def test_segments_are_whole_across_batches(spark):
@@ -25,3 +28,15 @@ def test_ranked_blocks(spark):
     own = rows[rows.own].sort_values("o")
     assert own.idx.tolist() == list(range(100)) and (own.block == own.idx // 30).all()
     assert set(rows[(rows.block == 1) & ~rows.own].idx) == {26, 27, 28, 29, 60, 61, 62, 63}
+
+
+@pytest.mark.parametrize(("master", "folder", "raises"), [("spark://somewhere:7077", None, True), ("local-cluster[2,1,1024]", None, True), ("local[4]", None, False), ("yarn", "hdfs:/x", False)])
+def test_a_cluster_needs_a_shared_folder(master, folder, raises):
+    made = []
+    sc = SimpleNamespace(master=master, getCheckpointDir=lambda: None, setCheckpointDir=made.append)
+    df = SimpleNamespace(sparkSession=SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda name, other: folder)), checkpoint=lambda eager: "done")
+    if raises:
+        with pytest.raises(RuntimeError, match="checkpoint"):
+            cut(df)
+    else:
+        assert cut(df) == "done" and len(made) == 1 and made[0] == (folder or made[0])

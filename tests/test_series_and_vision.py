@@ -91,3 +91,14 @@ def test_runs_and_islands_across_chunks(spark, chunk):
     assert got == [(0, True, 2), (2, False, 2), (4, True, 4), (8, False, 1), (9, True, 1)]
     log = d.selectExpr("1 as inspection_id", "n as frame_index", "f as ok", "2.0 as size_increase")
     assert sorted((r.start_frame, r.end_frame, r.frames) for r in M.segments(log, chunk=chunk).collect()) == [(0, 2, 2), (4, 8, 4), (9, 9, 1)]
+
+
+def test_arrays_of_pixels_masks_and_grids(spark):
+    d = spark.createDataFrame([(1, [3.0, 4.0], [1.0, 2.0], [0.0, 0.0]), (2, None, [1.0, 1.0], [1.0, 0.0]), (3, [1.0, 1.0], [0.0, 0.0], None)], "id int, c array<double>, l array<double>, m array<double>")
+    got = {r.id: r.uciqe for r in V.with_uciqe(d, "c", "l").collect()}
+    assert abs(got[1] - (0.468 * 0.5 + 0.2576 * 2.5)) < 1e-9 and got[2] is None and got[3] == 0.0
+    assert {r.id: r.counts for r in V.with_run_lengths(d, "m", 1).collect()} == {1: [2], 2: [0, 1, 1], 3: None}
+    g = spark.createDataFrame([("i", [0.0] * 126), ("j", None)], "image_id string, grid array<double>")
+    boxes = V.decoded(g, "grid", np.array([[1.0, 1.0], [2.0, 1.0]]), 2, 3)
+    assert boxes.count() == 18 and V.detections(boxes).filter("image_id = 'i'").count() > 0
+    assert V.with_uciqe(d.limit(0), "c", "l").count() == 0

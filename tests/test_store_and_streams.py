@@ -78,3 +78,18 @@ def test_sessions_and_windows(spark, tmp_path):
     d.unionByName(late).coalesce(1).write.parquet(str(tmp_path / "e"))
     s = spark.readStream.schema(d.schema).parquet(str(tmp_path / "e"))
     assert {(r.u, r["count"]) for r in run_stream(spark, sessions(s, "ts", "u"), "tm_sessions")} >= {(1, 2), (1, 1), (2, 1)}
+
+
+def test_clearing_similarities_and_what_is_missing(spark):
+    t = {
+        "frames": spark.createDataFrame([("1.0", 1), ("1.1", 1), ("2.0", 2)], "frame_id string, inspection_id int"),
+        "similar": spark.createDataFrame([("1.0", "2.0"), ("2.0", "1.0"), (None, "1.0")], "src string, dst string"),
+        "clusters": spark.createDataFrame([("c1.0", 1), ("c2.0", 2), ("c3.0", 3)], "cluster_id string, inspection_id int"),
+        "in_cluster": spark.createDataFrame([("1.1", "c1.0"), ("2.0", "c2.0"), ("2.0", None)], "frame_id string, cluster_id string"),
+    }
+    left = {k: sorted(map(tuple, d.collect()), key=str) for k, d in store.delete_context(t, [1]).items()}
+    assert left["similar"] == [("2.0", "1.0"), (None, "1.0")] and [c[0] for c in left["clusters"]] == ["c2.0", "c3.0"] and len(left["in_cluster"]) == 2 and len(left["frames"]) == 3
+    assert [d.count() for k, d in store.delete_context(t).items() if k != "frames"] == [0, 0, 0]
+    assert store.delete_context(t, [])["similar"].count() == 3
+    have = spark.createDataFrame([("1.0",)], "frame_id string")
+    assert sorted(r.frame_id for r in store.missing(t["frames"].union(t["frames"]), have, ["frame_id"]).collect()) == ["1.1", "2.0"]

@@ -77,3 +77,15 @@ def test_ambiguous_times_follow_their_file(spark):
     got = instants_utc(df, keys=["file", "start_ms", "want"], file="file", run_ms="start_ms", date="d", time="t", order="o", zone="z", zones=["Europe/Oslo", "No/Where", None]).collect()
     assert len(got) == len(rows) and all(r.utc_ms == r.want * 1000 for r in got)
     assert instants_utc(df.limit(0), keys=["file"], file="file", run_ms="start_ms", date="d", time="t", order="o", zone="z", zones=["UTC"]).count() == 0
+
+
+@pytest.mark.parametrize("zone", ["Europe/Berlin", "America/New_York", "Australia/Lord_Howe", "Pacific/Apia", "Asia/Kolkata"])
+def test_zone_tables_agree_with_the_database_in_all_years(zone):
+    r, z, epoch = np.random.default_rng(2), ZoneInfo(zone), datetime(1970, 1, 1)
+    local = [datetime(int(r.integers(1800, 3000)), int(r.integers(1, 13)), int(r.integers(1, 29)), int(r.integers(0, 24)), 30) for _ in range(500)] + [datetime(1945, 7, 1, 12)]
+    lo, hi = to_utc(np.array([int((t - epoch).total_seconds()) * 1000 for t in local]), zone_table(zone))
+    for t, a, b in zip(local, lo, hi, strict=True):
+        want = sorted(int((t.replace(tzinfo=z, fold=f) - epoch.replace(tzinfo=timezone.utc)).total_seconds()) * 1000 for f in (0, 1))
+        assert a == NONE or [a, b] == want, t
+    if zone == "Europe/Berlin":
+        assert iso_ms(lo[-1:])[0] == "1945-07-01T09:00:00.000Z"
