@@ -115,6 +115,29 @@ def queries() -> dict:
 _UNITS = ", ".join(f"('{q}', '{n.replace(chr(39), chr(39) * 2)}', '{u}', {factor!r}::DOUBLE, {offset!r}::DOUBLE)" for u, (q, factor, offset, names) in UNITS.items() for n in names)
 
 
+_READINGS = """f AS (SELECT DISTINCT frame_id, inspection_id AS i, framenumber AS o, depth, heading, roll, rangefinder FROM frames WHERE frame_id IS NOT NULL),
+r AS (SELECT frame_id, i, o, unnest(['depth', 'heading', 'roll', 'rangefinder']) AS field, unnest([depth, heading, roll, rangefinder]) AS v FROM f), v AS (SELECT *, v < CASE field WHEN 'roll' THEN -180 ELSE 0 END OR v > CASE field WHEN 'depth' THEN 300 WHEN 'heading' THEN 360 WHEN 'roll' THEN 180 ELSE 100 END OR (field = 'heading' AND v >= 360) AS impossible FROM r WHERE v IS NOT NULL AND NOT isnan(v)),
+p AS (SELECT *, CASE WHEN v IS DISTINCT FROM lag(v) OVER (PARTITION BY i, field ORDER BY o, frame_id) THEN 1 ELSE 0 END AS x FROM v WHERE i IS NOT NULL AND o IS NOT NULL AND NOT isnan(o)), g AS (SELECT *, sum(x) OVER (PARTITION BY i, field ORDER BY o, frame_id ROWS UNBOUNDED PRECEDING) AS k FROM p),
+s AS (SELECT *, count(*) OVER (PARTITION BY i, field, k) >= 6 AS stuck FROM g)"""
+
+
+def _wrap(x: str) -> str:
+    """SQL of an angle's difference within half a turn, of others as it is."""
+    return f"CASE WHEN field = 'heading' THEN ({x}) - 360 * floor(({x}) / 360 + 0.5) ELSE {x} END"
+
+
+def _height(width: int) -> str:
+    """SQL of the height of the stretch of ``width`` readings that begins here."""
+    after = f"a{width}"
+    middle = f"(b + ({_wrap(f'{after} - b')}) / 2)"
+    detail, back, front = ([f"({_wrap(f'u{j} - {of}')})" for j in range(width)] for of in (middle, "b", after))
+    same = " AND ".join(f"sign({x}) = sign({detail[0]})" for x in [*detail, *back, *front])
+    low = f"least({', '.join(f'abs({x})' for x in detail)})" if width > 1 else f"abs({detail[0]})"
+    rise = f"least({', '.join(f'abs({x})' for x in [*back, *front])})"
+    known = " AND ".join(f"u{j} IS NOT NULL" for j in range(width)) + f" AND b IS NOT NULL AND {after} IS NOT NULL"
+    return f"CASE WHEN {known} AND {same} AND {rise} >= 0.5 * {low} THEN {low} ELSE 0 END"
+
+
 _DECLARED = f"""WITH u(q, n, u, f, o) AS (VALUES {_UNITS}), rec AS (SELECT file, min(recorder) AS recorder FROM inspections WHERE file IS NOT NULL GROUP BY 1),
 e AS (SELECT file, start_ms, row_number() OVER (PARTITION BY file, start_ms ORDER BY event_no) AS n, string_split(regexp_replace(text, '^[^}}]*\\}}', ''), '\\N') AS l FROM (SELECT DISTINCT * FROM telemetry_raw)),
 p AS (SELECT k.file, k.start_ms, unnest(k.l) AS k, unnest(v.l[:len(k.l)]) AS v FROM e k JOIN e v ON k.file = v.file AND k.start_ms = v.start_ms AND k.n % 2 = 1 AND v.n = k.n + 1),
@@ -124,12 +147,16 @@ s AS (SELECT r.*, CASE WHEN name IN ('Depth', 'Rangefinder') THEN 'length' WHEN
 
 
 def oracle_sql() -> dict[str, str]:
-    """None for the spikes of p2 and for p3, whose definitions are no plain SQL; see the tests."""
+    """None for p3, whose notations are no plain SQL; see the tests."""
     return {
-        "p2_certain": """WITH f AS (SELECT DISTINCT frame_id, inspection_id AS i, framenumber AS o, depth, heading, roll, rangefinder FROM frames WHERE frame_id IS NOT NULL),
-r AS (SELECT frame_id, i, o, unnest(['depth', 'heading', 'roll', 'rangefinder']) AS field, unnest([depth, heading, roll, rangefinder]) AS v FROM f), v AS (SELECT *, v < CASE field WHEN 'roll' THEN -180 ELSE 0 END OR v > CASE field WHEN 'depth' THEN 300 WHEN 'heading' THEN 360 WHEN 'roll' THEN 180 ELSE 100 END OR (field = 'heading' AND v >= 360) AS impossible FROM r WHERE v IS NOT NULL AND NOT isnan(v)),
-p AS (SELECT *, CASE WHEN v IS DISTINCT FROM lag(v) OVER (PARTITION BY i, field ORDER BY o, frame_id) THEN 1 ELSE 0 END AS x FROM v WHERE i IS NOT NULL AND o IS NOT NULL AND NOT isnan(o)), g AS (SELECT *, sum(x) OVER (PARTITION BY i, field ORDER BY o, frame_id ROWS UNBOUNDED PRECEDING) AS k FROM p),
-s AS (SELECT *, count(*) OVER (PARTITION BY i, field, k) >= 6 AS stuck FROM g) SELECT DISTINCT frame_id, field, impossible, coalesce(stuck, false) AS stuck FROM v LEFT JOIN (SELECT frame_id, i, o, field, stuck FROM s) s USING (frame_id, i, o, field) WHERE impossible OR stuck""",
+        "p2_certain": f"""WITH {_READINGS} SELECT DISTINCT frame_id, field, impossible, coalesce(stuck, false) AS stuck FROM v LEFT JOIN (SELECT frame_id, i, o, field, stuck FROM s) s USING (frame_id, i, o, field) WHERE impossible OR stuck""",
+        # the same details by windows over the whole series
+        "p2_found": f"""WITH {_READINGS}, y AS (SELECT frame_id, i, field, v, row_number() OVER w AS n, v - lag(v) OVER w AS d FROM p WHERE NOT impossible WINDOW w AS (PARTITION BY i, field ORDER BY o, frame_id)),
+t AS (SELECT *, {_wrap('d')} AS step FROM y), u AS (SELECT *, CASE WHEN field = 'heading' THEN first_value(v) OVER w + coalesce(sum(step) OVER w, 0) ELSE v END AS u0 FROM t WINDOW w AS (PARTITION BY i, field ORDER BY n ROWS UNBOUNDED PRECEDING)),
+m AS (SELECT *, lead(u0, 1) OVER q AS u1, lead(u0, 2) OVER q AS u2, median(u0) OVER (PARTITION BY i, field ORDER BY n ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS b, {', '.join(f'median(u0) OVER (PARTITION BY i, field ORDER BY n ROWS BETWEEN {w} FOLLOWING AND {w + 2} FOLLOWING) AS a{w}' for w in (1, 2, 3))} FROM u WINDOW q AS (PARTITION BY i, field ORDER BY n)),
+h AS (SELECT *, {', '.join(f'{_height(w)} AS h{w}' for w in (1, 2, 3))} FROM m), e AS (SELECT *, greatest(h1, h2, lag(h2, 1, 0) OVER q, h3, lag(h3, 1, 0) OVER q, lag(h3, 2, 0) OVER q) AS height FROM h WINDOW q AS (PARTITION BY i, field ORDER BY n)),
+c AS (SELECT i, field, quantile_disc(abs(step), 0.5) * (1.482602218505602 / sqrt(2)) AS scatter FROM t WHERE step IS NOT NULL GROUP BY 1, 2)
+SELECT frame_id, field FROM v WHERE impossible UNION SELECT frame_id, field FROM s WHERE stuck UNION SELECT frame_id, field FROM e JOIN c USING (i, field) WHERE scatter > 0 AND height / scatter >= 8""",
         # by what is declared alone: with the value, in the key, by the recorder
         "p6_found": f"""{_DECLARED}
 SELECT DISTINCT file, start_ms, name, CAST(round_even((replace(x, ',', '.')::DOUBLE + o) * f * 1000, 0) AS BIGINT) AS milli FROM s JOIN u ON u.q = s.q AND u.n = lower(CASE WHEN vu <> '' THEN vu WHEN ku <> '' THEN ku ELSE du END) WHERE u.u NOT IN ('m', 'deg', 'C')""",

@@ -664,6 +664,15 @@ def q_pca(spark: SparkSession, d: str) -> DataFrame:
     return parts.groupBy("label", "i", "j").agg((F.round(F.sum(F.col("w") * F.col("y")), 6) + 0.0).alias("covariance"))
 
 
+@query("WITH a AS (SELECT label, list(x ORDER BY vec_id) AS axes FROM (SELECT *, embedding::DOUBLE[] AS x, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM embeddings) WHERE n <= 3 GROUP BY 1) SELECT vec_id, CAST(k AS INT) AS k, round(list_dot_product(embedding::DOUBLE[], axes[k + 1]), 6) + 0.0 AS along FROM embeddings JOIN a USING (label), range(3) t(k) WHERE k < len(axes)")
+def q_project(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors along three axes of their label."""
+    e = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("x"))
+    axes = A.top_rows(e, ["label"], ["vec_id"], 3).groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "x"))), lambda s: s["x"]).alias("axes"))
+    p = X.project(e, axes, "label", "x").select("vec_id", F.posexplode("reduced").alias("k", "along"))
+    return p.select("vec_id", "k", (F.round("along", 6) + 0.0).alias("along"))
+
+
 @query()
 def q_reduced(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
