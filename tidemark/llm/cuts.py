@@ -56,12 +56,16 @@ def _texts(df: DataFrame, id: str, text: str, source: str) -> DataFrame:
     return d.withColumn("body", F.when(marked, F.regexp_replace("core", MARK, "")).otherwise(F.col("core"))).withColumn("low", F.lower("body"))
 
 
-def _words(low: str) -> Column:
-    """Words and '.' for stops, two '.' before; numbers are '#'."""
-    words = F.regexp_extract_all(low, F.lit(TOKEN), F.lit(0))
-    number = lambda w: (w >= "0") & (w < ":") & w.rlike(r"^\p{N}+$")
-    stop = lambda w: (F.length(w) == 1) & ~w.rlike(r"[\p{L}\p{M}\p{N}]")
-    return F.concat(F.array(F.lit("."), F.lit(".")), F.transform(words, lambda w: F.when(number(w), "#").when(stop(w), ".").otherwise(w)))
+def _plain(w: Column) -> Column:
+    """A token as it is counted: numbers are '#', stops '.'."""
+    number = (w >= "0") & (w < ":") & w.rlike(r"^\p{N}+$")
+    stop = (F.length(w) == 1) & ~w.rlike(r"[\p{L}\p{M}\p{N}]")
+    return F.when(number, "#").when(stop, ".").otherwise(w)
+
+
+def _raw(low: str) -> Column:
+    """Words and stops, two '.' before."""
+    return F.concat(F.array(F.lit("."), F.lit(".")), F.regexp_extract_all(low, F.lit(TOKEN), F.lit(0)))
 
 
 def _narrow(texts: DataFrame) -> DataFrame:
@@ -75,7 +79,7 @@ def _narrow(texts: DataFrame) -> DataFrame:
         (F.octet_length("core") < F.octet_length("text")).alias("space"), end.rlike(PAUSE).alias("pause"), end.rlike(OPEN_END).alias("bare"), "low")
     t = t.withColumn("key", F.md5(F.concat(F.translate("low", SPACE + ",;:'\u2019\u2013\u2014-123456789", ""), (F.col("bare") | F.col("pause")).cast("string"))))
     open_ = F.col("bare") | F.col("pause") | (F.col("mark") != "")
-    t = t.withColumn("tok", F.when(open_, _words("low"))).withColumns({"some": F.size("tok") > 2, "brief": F.size("tok") - 2 <= CONTEXT})
+    t = t.withColumn("tok", F.when(open_, F.transform(_raw("low"), _plain))).withColumns({"some": F.size("tok") > 2, "brief": F.size("tok") - 2 <= CONTEXT})
     last = {"w1": "if(tok[size(tok) - 2] = '.', '.', tok[size(tok) - 3])", "w2": "tok[size(tok) - 2]", "w3": "tok[size(tok) - 1]", "context": f"xxhash64(slice(tok, greatest(1, size(tok) - {CONTEXT - 1}), {CONTEXT}))"}
     return t.select("id", "source", "h", "chars", "bytes", "mark", "space", "pause", "bare", "brief", "key", *[F.expr(f"if(some, {e}, null)").alias(c) for c, e in last.items()])
 
@@ -100,9 +104,11 @@ def _trigrams(texts: DataFrame, narrow: DataFrame) -> DataFrame:
         copies = F.broadcast(copies)
     once = texts.select("id", F.xxhash64("text").alias("h"), "low").join(copies, ["id", "h"], "left").filter("n is null or m is not null")
     n = F.when(F.size("tok") - 2 <= CONTEXT, F.greatest(F.coalesce("n", F.lit(1)) / usual, F.lit(1.0))).otherwise(F.lit(1.0)) / F.coalesce("m", F.lit(1))
-    every = "transform(sequence(2, greatest(size(tok) - 2, 2)), i -> struct(if(tok[i - 1] = '.', '.', tok[i - 2]) as w1, tok[i - 1] as w2, get(tok, i) as w3, get(tok, i + 1) = '.' as over))"
-    rows = once.select(_words("low").alias("tok"), "m", "n").select(n.alias("n"), F.explode(F.expr(every)).alias("t")).select("n", "t.*").filter("w3 <> '.' and over is not null")
-    inner = rows.groupBy("w1", "w2", "w3").agg(F.sum(F.when(~F.col("over"), F.col("n")).otherwise(0.0)).alias("inside"), F.sum(F.when(F.col("over"), F.col("n")).otherwise(0.0)).alias("ended"))
+    # four neighbours in a row at every place, by shifted copies; what they count as is told afterwards, in generated code
+    shifted = F.arrays_zip(*[F.slice("tok", k, F.size("tok")).alias(f"w{k}") for k in (1, 2, 3, 4)])
+    rows = once.select(_raw("low").alias("tok"), "m", "n").select(n.alias("n"), F.explode(shifted).alias("t")).select("n", "t.*").filter("w4 is not null")
+    rows = rows.select("n", *[_plain(F.col(c)).alias(c) for c in ("w1", "w2", "w3")], (_plain(F.col("w4")) == ".").alias("over")).filter("w3 <> '.'").withColumn("w1", F.expr("if(w2 = '.', '.', w1)"))
+    inner = rows.groupBy("w1", "w2", "w3").agg(*[F.round(F.sum(F.when(F.col("over") == ended, F.col("n")).otherwise(0.0)), 6).alias(c) for ended, c in ((False, "inside"), (True, "ended"))])
     last = narrow.filter("w3 <> '.'").groupBy("w1", "w2", "w3", "context", "brief", "key").agg(F.count(F.lit(1)).alias("n"))
     last = last.groupBy("w1", "w2", "w3", "context").agg(F.max(F.when(F.col("brief"), F.greatest(F.col("n") / usual, F.lit(1.0))).otherwise(1.0)).alias("n"))
     outer = last.groupBy("w1", "w2", "w3").agg(F.sum("n").alias("open"))
