@@ -311,17 +311,19 @@ def ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def nearest_of(m: Met, k: int, most: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(row, other, distance): of the rows met, the k nearest of each row, ties kept, in parts of some ``most`` rows."""
-    same = np.empty(0, int)
+    same = np.empty(0, int)  # copies meet in every table; the first reports them
     if m.table == 0:
-        count = np.bincount(m.of_left) > 1 if m.one else np.bincount(m.of_left, minlength=1)
-        same = np.flatnonzero(count) if m.one else np.intersect1d(m.of_left, m.of_right)
+        same = np.flatnonzero(np.bincount(m.of_left) > 1) if m.one else np.intersect1d(m.of_left, m.of_right)
     zero = np.zeros(len(same))
-    yield from _directed(np.r_[m.i, m.j, same] if m.one else np.r_[m.i, same], np.r_[m.j, m.i, same] if m.one else np.r_[m.j, same], np.r_[m.distance, m.distance, zero] if m.one else np.r_[m.distance, zero], m.left, m.right, m.of_left, m.of_right, m.one, k, most)
-    if not m.one:
+    if m.one:
+        yield from _directed(np.r_[m.i, m.j, same], np.r_[m.j, m.i, same], np.r_[m.distance, m.distance, zero], m.left, m.right, m.of_left, m.of_right, True, k, most)
+    else:
+        yield from _directed(np.r_[m.i, same], np.r_[m.j, same], np.r_[m.distance, zero], m.left, m.right, m.of_left, m.of_right, False, k, most)
         yield from _directed(np.r_[m.j, same], np.r_[m.i, same], np.r_[m.distance, zero], m.right, m.left, m.of_right, m.of_left, False, k, most)
 
 
 def _directed(i, j, d, rows_i, rows_j, cls_i, cls_j, one, k, most):  # noqa: ANN001, ANN202
+    """From each row of the classes i to the rows of its k nearest classes j, ties kept; ``one``: a class may be its own neighbour, a row not."""
     if not len(i):
         return
     classes = max(i.max(), j.max(), cls_i.max(), cls_j.max()) + 1
