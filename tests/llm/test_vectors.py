@@ -1,5 +1,9 @@
+import time
+from pathlib import Path
+
 import numpy as np
 import pytest
+from tidemark.llm import vectors
 from tidemark.llm.vectors import TABLE_BIT, codes_of, fit, near_pairs, scan, similar
 
 
@@ -83,3 +87,46 @@ def test_differing_vectors_of_one_id(spark):
     assert len(got) == 1 and "a" in next(iter(got))
     again = {frozenset((r.id, r.other)) for r in similar(spark.createDataFrame(rows[::-1], "frame_id string, img array<float>"), id="frame_id", vector="img", dimensions=8).collect()}
     assert got == again
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_disk_does_not_grow_with_the_tables(spark, few, monkeypatch):
+    """Each table's shuffle files are gone when the next begins: what is left is less than the vectors take once."""
+    monkeypatch.setattr(vectors, "ROUND", 1, raising=False)
+    r = np.random.default_rng(1)
+    x = r.normal(0, 0.7, (1000, 512)).astype(np.float32)
+    x[500:] = x[:500] + r.normal(0, 0.06, (500, 512)).astype(np.float32)
+    x = np.round(x * 16) / 16 if few else x
+    df = spark.createDataFrame([(f"f{i:04d}", v.tolist()) for i, v in enumerate(x)], "frame_id string, img array<float>")
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    held = lambda: {f: f.stat().st_size for d in disk.localDirsString() for f in Path(d).rglob("shuffle_*.data")}
+    before = held()
+    got = {(int(q.id[1:]), int(q.other[1:])) for q in similar(df, id="frame_id", vector="img", leaf=16).collect()}
+    assert got == brute(x, 4, 1.5) and len(got) > 500
+    for _ in range(100):  # files are removed in the background
+        left = sum(n for f, n in held().items() if f not in before)
+        if left < x.nbytes:
+            break
+        time.sleep(0.1)
+    assert left < x.nbytes, (left, x.nbytes)
+
+
+@pytest.mark.parametrize("d", [32, 21])
+def test_packed_without_loss(d):
+    r = np.random.default_rng(2)
+    x = (r.integers(-20, 20, (300, d)) / 16).astype(np.float32)
+    plan = fit(x, 10**6, reach=1.5, leaf=50, sub=8 if d == 32 else 7, eta=4.0, loss=1e-3)
+    x[5, 3], x[6, 0] = 0.123, -0.0  # not in the sample
+    packed = plan.packed(x)
+    assert (plan.vectors(packed).view(np.uint32) == x.view(np.uint32)).all()
+    assert len(packed[0]) - plan.head < 4 * d == len(packed[5]) - plan.head == len(packed[6]) - plan.head
+    side, error, along, code = plan.heads(packed)
+    c = x - plan.mean
+    want = codes_of(c, plan.books, plan.eta)
+    assert (code == want[0]).all() and np.allclose(error, want[1]) and np.allclose(along, want[2])
+    number = np.zeros(side.shape[:2], np.int64)
+    for k in range(side.shape[2]):
+        number = number * 256 + side[:, :, k]
+    assert (number + (np.arange(side.shape[1]) << TABLE_BIT) == plan.buckets(c)).all()
+    wide = fit(r.normal(size=(300, d)).astype(np.float32), 10**6, reach=1.5, leaf=50, sub=8 if d == 32 else 7, eta=4.0, loss=1e-3)
+    assert (wide.vectors(wide.packed(x)).view(np.uint32) == x.view(np.uint32)).all()

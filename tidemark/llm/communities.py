@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.vectors import DIMENSIONS, Met, met_in, one_of_each, planned, ranges, spread, usable
+from tidemark.llm.vectors import DIMENSIONS, Met, met_in, met_in_tables, one_of_each, packed_rows, planned, ranges, usable
 from tidemark.operators.components import connected, pieces
 from tidemark.runtime import cut, map_segments
 
@@ -265,7 +265,7 @@ def _large(rows: DataFrame, reach: float, k: int, dimensions: int, whole: int) -
             out.append(pd.DataFrame({"u": ids[s + i[first]], "v": ids[s + j[first]], "d": d[first]}))
         return pd.concat(out, ignore_index=True)
 
-    found = cut(map_segments(spread(rows, n, plan, shared, 8192, ["group"]), ["leaf", "a", "b"], ["side", "id"], work, f"u {kind}, v {kind}, d double"))
+    found = met_in_tables(cut(packed_rows(rows, shared, ["group"])), n, plan, 8192, work, f"u {kind}, v {kind}, d double")
     label = connected(found.filter("d < 0").select("u", "v"))
     named = cut(rows.select("id", "group").join(label.withColumnRenamed("u", "id"), "id", "left").select("id", "group", F.coalesce("label", "id").alias("cluster")))
     near = found.filter("d >= 0").withColumn("_r", F.row_number().over(W.partitionBy("u").orderBy("d", "v"))).filter(F.col("_r") <= k)

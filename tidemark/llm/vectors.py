@@ -21,7 +21,9 @@ Vectors with fewer than k others within reach are looked for again where all k a
 all vectors, by their inner products, with a cut-off that allows for rounding, and reranked exactly. So these k are exact too, at any
 distance. No plane or code helps so far out: this part takes time with the number of such vectors times that of all.
 
-Scale. The number of planes is chosen so that a bucket holds about ``leaf`` vectors however many there are. A bucket that holds more than
+Scale. The number of planes is chosen so that a bucket holds about ``leaf`` vectors however many there are. Each vector is packed once,
+without loss, with its sides, code and bounds, and held in a checkpoint. Tables are worked through in rounds of about ``ROUND`` vectors, at least a table each,
+and a round's shuffle files are freed at its end; so disk holds the vectors twice at most, however many tables there are. A bucket that holds more than
 ``block``, as counted, is split into blocks by hash, and tasks are pairs of blocks, so that no task grows with the data and a bucket that
 holds a third of all vectors becomes many tasks. Copies of one vector are scanned as one. A pair is reported by the first table that brings it together.
 Each task already cuts its rows to the ``k`` nearest of each vector, ties kept, before the final rank.
@@ -36,14 +38,15 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.runtime import cut, map_segments
+from tidemark.runtime import cut, map_segments, shuffles_freed
 
 DIMENSIONS = 512
 
@@ -72,6 +75,7 @@ class Plan:
     places: np.ndarray  # (tables, bits)
     books: np.ndarray  # (subspaces, 16, sub)
     eta: float
+    values: np.ndarray  # what the elements of the sample are, as their bits; empty if that is over 256 values
 
     def buckets(self, c: np.ndarray) -> np.ndarray:
         """(n, tables): the bucket of each centred vector in each table."""
@@ -79,9 +83,84 @@ class Plan:
         side = (c @ self.planes.reshape(t * k, d).T > self.places.ravel()).reshape(len(c), t, k)
         return side @ (np.int64(1) << np.arange(k, dtype=np.int64)) + (np.arange(t, dtype=np.int64) << TABLE_BIT)
 
+    @property
+    def wide(self) -> int:
+        """Bytes of a bucket's number within its table."""
+        return max(1, -(-self.planes.shape[1] // 8))
+
+    @property
+    def head(self) -> int:
+        """Bytes of a packed vector before the vector itself."""
+        return self.planes.shape[0] * self.wide + 8 + -(-len(self.books) // 2)
+
+    def packed(self, x: np.ndarray) -> np.ndarray:
+        """(n) bytes: of each vector the bucket in each table, error, error along it, code, and the vector itself."""
+        c = x - self.mean
+        code, error, along = codes_of(c, self.books, self.eta)
+        buckets = self.buckets(c).astype(">u8").view(np.uint8).reshape(len(x), -1, 8)[:, :, 8 - self.wide :].reshape(len(x), -1)
+        code = np.c_[code, np.zeros((len(x), len(self.books) % 2), np.uint8)]
+        head = np.c_[buckets, np.stack([error, along], 1).astype("<f4").view(np.uint8), code[:, 0::2] * 16 + code[:, 1::2]]
+        out = np.empty(len(x), object)
+        known, body = squeezed(x, self.values)
+        for at, b in ((np.flatnonzero(known), body), (np.flatnonzero(~known), x[~known].view(np.uint8))):
+            out[at] = [r.tobytes() for r in np.concatenate([head[at], b], axis=1)]
+        return out
+
+    def heads(self, packed: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Buckets (n, tables, bytes), error, error along the vector, and codes of packed vectors."""
+        h = np.frombuffer(b"".join([r[: self.head] for r in packed]), np.uint8).reshape(len(packed), self.head)
+        t = self.planes.shape[0]
+        bounds = np.ascontiguousarray(h[:, t * self.wide : t * self.wide + 8]).view("<f4")
+        byte = h[:, t * self.wide + 8 :]
+        code = np.stack([byte >> 4, byte & 15], axis=2).reshape(len(h), -1)[:, : len(self.books)]
+        return h[:, : t * self.wide].reshape(len(h), t, self.wide), bounds[:, 0], bounds[:, 1], code
+
+    def vectors(self, packed: pd.Series) -> np.ndarray:
+        """The vectors themselves, of packed ones, bit by bit."""
+        body = [r[self.head :] for r in packed]
+        d = self.planes.shape[2]
+        whole = np.array([len(b) == 4 * d for b in body], bool)
+        out = np.empty((len(body), d), np.float32)
+        if whole.any():
+            out[whole] = np.frombuffer(b"".join([b for b, w in zip(body, whole, strict=True) if w]), np.float32).reshape(-1, d)
+        if not whole.all():
+            out[~whole] = unsqueezed(b"".join([b for b, w in zip(body, whole, strict=True) if not w]), self.values, d)
+        return out
+
+
+def squeezed(x: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which vectors hold nothing but ``values``, and these as numbers of the values, of as many bits as these numbers need."""
+    if not len(values):
+        return np.zeros(len(x), bool), np.empty((0, 0), np.uint8)
+    bits = np.ascontiguousarray(x).view(np.uint32)
+    place = np.minimum(np.searchsorted(values, bits), len(values) - 1)
+    known = (values[place] == bits).all(1)
+    n, d = int(known.sum()), x.shape[1]
+    number = np.zeros((n, -(-d // 8), 8), np.uint64)
+    number.reshape(n, -1)[:, :d] = place[known]
+    wide = bits_of(values)
+    word = np.bitwise_or.reduce(number << (np.arange(8, dtype=np.uint64) * np.uint64(wide)), axis=2)  # eight numbers in so many bytes
+    return known, word.astype("<u8").view(np.uint8).reshape(n, -1, 8)[:, :, :wide].reshape(n, -1)
+
+
+def unsqueezed(b: bytes, values: np.ndarray, d: int) -> np.ndarray:
+    wide = bits_of(values)
+    part = np.frombuffer(b, np.uint8).reshape(-1, -(-d // 8), wide)
+    word = np.zeros((*part.shape[:2], 8), np.uint8)
+    word[:, :, :wide] = part
+    word = word.view("<u8")  # (n, words, 1)
+    number = (word >> (np.arange(8, dtype=np.uint64) * np.uint64(wide))).astype(np.uint8) & np.uint8((1 << wide) - 1)
+    return values.view(np.float32)[number.reshape(len(part), -1)[:, :d]]
+
+
+def bits_of(values: np.ndarray) -> int:
+    return max(1, (len(values) - 1).bit_length())
+
 
 #: The number of the table lies above so many bits of the bucket.
 TABLE_BIT = 56
+#: About so many vectors are shuffled at a time; a vector counts in each table.
+ROUND = 500_000
 
 
 def fit(sample: np.ndarray, n: int, *, reach: float, leaf: int, sub: int, eta: float, loss: float, seed: int = 7) -> Plan:
@@ -101,7 +180,8 @@ def fit(sample: np.ndarray, n: int, *, reach: float, leaf: int, sub: int, eta: f
     planes = rng.normal(size=(tables, bits, d))
     planes /= np.linalg.norm(planes, axis=2, keepdims=True) if bits else 1
     places = rng.uniform(-deviation, deviation, (tables, bits))
-    return Plan(mean, planes.astype(np.float32), places.astype(np.float32), _books(c, sub, seed), eta)
+    values = np.unique(np.ascontiguousarray(sample, np.float32).view(np.uint32))
+    return Plan(mean, planes.astype(np.float32), places.astype(np.float32), _books(c, sub, seed), eta, values if len(values) <= 256 else values[:0])
 
 
 def _books(c: np.ndarray, sub: int, seed: int, rounds: int = 8) -> np.ndarray:
@@ -210,53 +290,55 @@ def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"vec": [np.asarray(v, np.float32).tobytes() for v in b.v]})
 
 
-def hot_buckets(rows: DataFrame, n: int, shared, block: int) -> tuple[np.ndarray, np.ndarray]:  # noqa: ANN001
-    """The buckets of more than ``block`` rows, sorted, and the number of blocks of each; at most n / block of them in a table."""
-    if n <= block:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if len(b):
-                keys, count = np.unique(shared.value.buckets(np.stack(b.v.to_numpy()).astype(np.float32) - shared.value.mean), return_counts=True)
-                yield pd.DataFrame({"leaf": keys, "n": count})
-
-    count = rows.select("v").mapInPandas(work, "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n")).filter(F.col("n") > block).orderBy("leaf").toPandas()
-    return count.leaf.to_numpy(np.int64), np.ceil(count.n.to_numpy() / block).astype(np.int64)
-
-
-def spread(rows: DataFrame, n: int, plan: Plan, shared, block: int, more: list[str]) -> DataFrame:  # noqa: ANN001
-    """(leaf, a, b, side, id, vec, code, error, along, buckets, more): each vector in all the tasks (bucket, block a, block b) that need it."""
-    hot, blocks = hot_buckets(rows, n, shared, block)
+def packed_rows(rows: DataFrame, shared, more: list[str]) -> DataFrame:  # noqa: ANN001
+    """(id, vec, more): each vector as ``Plan.packed`` has it."""
     kinds = dict(rows.dtypes)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        plan = shared.value
         for whole in batches:
             for lo in range(0, len(whole), 2000):
                 b = whole.iloc[lo : lo + 2000]
-                if not len(b):
-                    continue
-                x = np.stack(b.v.to_numpy()).astype(np.float32)
-                c = x - plan.mean
-                code, error, along = codes_of(c, plan.books, plan.eta)
-                buckets = plan.buckets(c)
-                count = np.ones(buckets.shape, np.int64)
-                if len(hot):
-                    place = np.minimum(np.searchsorted(hot, buckets), len(hot) - 1)
-                    count = np.where(hot[place] == buckets, blocks[place], 1)
-                own = (pd.util.hash_array(b.id.to_numpy())[:, None] % count.astype(np.uint64)).astype(np.int32)
-                out = []
-                for k in range(int(count.max())):  # tasks of the pairs of blocks
-                    at, table = np.nonzero(count > k)
-                    o = own[at, table]
-                    out.append((at, buckets[at, table], np.minimum(o, k), np.maximum(o, k), (o > k).astype(np.int32)))
-                at = np.concatenate([o[0] for o in out])
-                cols = {n: np.concatenate([o[k] for o in out]) for k, n in ((1, "leaf"), (2, "a"), (3, "b"), (4, "side"))}
-                bytes_of = lambda m: np.array([v.tobytes() for v in m], dtype=object)[at]  # noqa: E731, B023
-                yield pd.DataFrame(cols | {"id": b.id.to_numpy()[at], "vec": bytes_of(x), "code": bytes_of(code), "error": error[at], "along": along[at], "buckets": bytes_of(buckets)} | {c: b[c].to_numpy()[at] for c in more})
-
-    return rows.mapInPandas(work, f"leaf long, a int, b int, side int, id {kinds['id']}, vec binary, code binary, error float, along float, buckets binary" + "".join(f", {c} {kinds[c]}" for c in more))
+                if len(b):
+                    yield pd.DataFrame({"id": b.id, "vec": shared.value.packed(np.stack(b.v.to_numpy()).astype(np.float32))} | {c: b[c] for c in more})
+
+    return rows.select("id", "v", *more).mapInPandas(work, f"id {kinds['id']}, vec binary" + "".join(f", `{c}` {kinds[c]}" for c in more))
+
+
+def leaves(plan: Plan, tables: range) -> Column:
+    """The bucket of a packed vector in each of the tables, with the table's number, as ``Plan.buckets`` has them."""
+    one = lambda t: F.conv(F.hex(F.substring("vec", 1 + t * plan.wide, plan.wide)), 16, 10).cast("long") + F.lit(t << TABLE_BIT)
+    return F.explode(F.array(*[one(t) for t in tables]))
+
+
+def hot_buckets(packed: DataFrame, n: int, plan: Plan, block: int) -> pd.DataFrame:
+    """(leaf, blocks): the buckets of more than ``block`` rows and the number of blocks of each; at most n / block of them in a table."""
+    if n <= block:
+        return pd.DataFrame({"leaf": np.empty(0, np.int64), "blocks": np.empty(0, np.int64)})
+    count = packed.select(leaves(plan, range(len(plan.planes))).alias("leaf")).groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block)
+    return count.select("leaf", F.ceil(F.col("n") / block).cast("long").alias("blocks")).toPandas()
+
+
+def spread(packed: DataFrame, plan: Plan, tables: range, hot: pd.DataFrame) -> DataFrame:
+    """(leaf, a, b, side, id, vec, more): each packed vector in all the tasks (bucket, block a, block b) of these tables that need it."""
+    rows = packed.select(leaves(plan, tables).alias("leaf"), "*")
+    hot = hot[(hot.leaf.to_numpy(np.int64) >> TABLE_BIT >= tables.start) & (hot.leaf.to_numpy(np.int64) >> TABLE_BIT < tables.stop)]
+    if not len(hot):
+        return rows.select("leaf", *[F.lit(0).alias(c) for c in ("a", "b", "side")], *packed.columns)
+    many = packed.sparkSession.createDataFrame([(int(a), int(b)) for a, b in zip(hot.leaf, hot.blocks, strict=True)], "leaf long, blocks long")
+    rows = rows.join(F.broadcast(many), "leaf", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)))  # tasks of the pairs of blocks
+    return rows.select("leaf", F.least("own", "k").alias("a"), F.greatest("own", "k").alias("b"), (F.col("own") > F.col("k")).cast("int").alias("side"), *packed.columns)
+
+
+def met_in_tables(packed: DataFrame, n: int, plan: Plan, block: int, work, schema: str) -> DataFrame:  # noqa: ANN001
+    """What ``work`` (see ``map_segments``) makes of the tasks of all tables; ``packed`` must be a checkpoint, as each round reads it."""
+    hot = hot_buckets(packed, n, plan, block)
+    tables, some = len(plan.planes), max(1, ROUND // max(n, 1))
+    out = []
+    for lo in range(0, tables, some):
+        with shuffles_freed(packed.sparkSession):
+            out.append(cut(map_segments(spread(packed, plan, range(lo, min(lo + some, tables)), hot), ["leaf", "a", "b"], ["side", "id"], work, schema)))
+    return reduce(DataFrame.unionByName, out)
 
 
 @dataclass
@@ -278,7 +360,8 @@ def met_in(batch: pd.DataFrame, s: int, e: int, plan: Plan, reach: float, by: st
     """The pairs of the task in rows s to e that no earlier table brings together; rows of a repeated id are left out. by: classes are apart where this differs."""
     part = batch.iloc[s:e]
     part = part[~part.duplicated("id")]
-    alike = part.vec if by is None else pd.Series(list(zip(part.vec, part[by], strict=True)), dtype=object)
+    body = [v[plan.head :] for v in part.vec]
+    alike = pd.Series(body if by is None else list(zip(body, part[by], strict=True)), dtype=object)
     cls, names = pd.factorize(alike)
     side = part.side.to_numpy()
     one = bool(part.a.iloc[0] == part.b.iloc[0])
@@ -289,14 +372,14 @@ def met_in(batch: pd.DataFrame, s: int, e: int, plan: Plan, reach: float, by: st
     lc, rc = np.unique(cls[left]), np.unique(cls[right])
     i, j, d = np.empty(0, int), np.empty(0, int), np.empty(0)
     if len(lc) and len(rc) and (not one or len(lc) > 1):
-        rows = part.iloc[first[lc]]
-        coded = np.frombuffer(b"".join(rows.code), np.uint8).reshape(len(rows), -1), rows.error.to_numpy(), rows.along.to_numpy()
-        i, j, d = near_pairs(vectors_of(rows.vec), None if one else vectors_of(part.vec.iloc[first[rc]]), plan, reach, coded)
+        vec = part.vec.to_numpy()
+        _, error, along, code = plan.heads(vec[first[lc]])
+        i, j, d = near_pairs(plan.vectors(vec[first[lc]]), None if one else plan.vectors(vec[first[rc]]), plan, reach, (code, error, along))
         i, j = lc[i], rc[j]
         ok = i != j
         if table and ok.any():
-            b = np.frombuffer(b"".join(part.buckets), np.int64).reshape(len(part), -1)[first, :table]
-            ok &= ~(b[i] == b[j]).any(1)
+            b = np.frombuffer(b"".join([v[: table * plan.wide] for v in vec[first]]), np.uint8).reshape(len(first), table, plan.wide)
+            ok &= ~(b[i] == b[j]).all(2).any(1)
         i, j, d = i[ok], j[ok], d[ok]
     at = part.index.to_numpy()
     return Met(i, j, d, at[left], at[right], cls[left], cls[right], one, table)
@@ -373,15 +456,16 @@ def similar(df: DataFrame, *, id: str, vector: str, k: int = 4, reach: float = 1
                     held = []
         yield _pairs(held, ids)
 
-    near = map_segments(spread(rows, n, plan, shared, block, []), ["leaf", "a", "b"], ["side", "id"], work, schema)
+    packed = cut(packed_rows(rows, shared, []))
+    near = met_in_tables(packed, n, plan, block, work, schema)
     ranked = lambda d: d.withColumn("_r", F.rank().over(W.partitionBy("id").orderBy("distance"))).filter(F.col("_r") <= k).drop("_r")
     if not everyone:
         return ranked(near)
     near = cut(ranked(near))
     full = cut(near.groupBy("id").count().filter(F.col("count") >= k).select("id"))
-    rows = rows.dropDuplicates(["id"])
-    few = rows.join(full, "id", "left_anti")
-    return near.join(full, "id", "left_semi").unionByName(ranked(_nearest_of(few, rows, plan, k, block, schema)))
+    packed = packed.dropDuplicates(["id"])
+    few = packed.join(full, "id", "left_anti")
+    return near.join(full, "id", "left_semi").unionByName(ranked(_nearest_of(few, packed, shared, k, block, schema)))
 
 
 def _pairs(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]], ids: np.ndarray) -> pd.DataFrame:
@@ -400,14 +484,14 @@ def _top(i: np.ndarray, j: np.ndarray, d: np.ndarray, k: int) -> np.ndarray:
     return keep
 
 
-def _nearest_of(few: DataFrame, rows: DataFrame, plan: Plan, k: int, block: int, schema: str) -> DataFrame:
+def _nearest_of(few: DataFrame, rows: DataFrame, shared, k: int, block: int, schema: str) -> DataFrame:  # noqa: ANN001
     """(id, other, distance): for each of ``few`` its k nearest others in each block of ``rows``, ties kept."""
-    few = cut(few.select("id", "v"))
+    few = cut(few.select("id", "vec"))
     a, b = (max(1, math.ceil(d.count() / block)) for d in (rows, few))
     of = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    base = rows.select(of(a).alias("a"), every(b).alias("b"), F.lit(0).alias("side"), "id", "v")
-    asked = few.select(every(a).alias("a"), of(b).alias("b"), F.lit(1).alias("side"), "id", "v")
+    base = rows.select(of(a).alias("a"), every(b).alias("b"), F.lit(0).alias("side"), "id", "vec")
+    asked = few.select(every(a).alias("a"), of(b).alias("b"), F.lit(1).alias("side"), "id", "vec")
 
     def work(batch: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
         out = [pd.DataFrame({"id": pd.Series([], dtype=object), "other": pd.Series([], dtype=object), "distance": pd.Series([], dtype=float)})]
@@ -416,12 +500,11 @@ def _nearest_of(few: DataFrame, rows: DataFrame, plan: Plan, k: int, block: int,
             at = s + np.flatnonzero(side[s:e] == 0), s + np.flatnonzero(side[s:e] == 1)
             if not len(at[0]) or not len(at[1]):
                 continue
-            x, q = (np.stack(batch.v.iloc[p].to_numpy()).astype(np.float32) for p in at)
-            i, j, d = nearest_in(q, x, pd.Index(ids[at[0]]).get_indexer(ids[at[1]]), k, plan_mean)
+            x, q = (shared.value.vectors(batch.vec.iloc[p]) for p in at)
+            i, j, d = nearest_in(q, x, pd.Index(ids[at[0]]).get_indexer(ids[at[1]]), k, shared.value.mean)
             out.append(pd.DataFrame({"id": ids[at[1][i]], "other": ids[at[0][j]], "distance": d}))
         return pd.concat(out, ignore_index=True)
 
-    plan_mean = plan.mean
     return map_segments(base.unionByName(asked), ["a", "b"], ["side"], work, schema)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -31,6 +32,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Of plans that are made and run in this context, shuffle files are removed as soon as they have run, and not when the driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if was is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, was)
+
+
 def map_segments(df: DataFrame, keys: Sequence[str], order: Sequence[str], fn: Callable[[pd.DataFrame, np.ndarray], "pd.DataFrame | Iterator[pd.DataFrame]"], schema: str) -> DataFrame:
     """Run ``fn`` over batches that hold whole segments, sorted by ``keys`` and ``order``.
 
