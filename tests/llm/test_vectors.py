@@ -2,9 +2,11 @@ import time
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pytest
 from tidemark.llm import vectors
 from tidemark.llm.vectors import TABLE_BIT, codes_of, fit, near_pairs, scan, similar
+from tidemark.runtime import segment_starts
 
 
 def made(n=600, d=32, seed=0):
@@ -130,3 +132,32 @@ def test_packed_without_loss(d):
     assert (number + (np.arange(side.shape[1]) << TABLE_BIT) == plan.buckets(c)).all()
     wide = fit(r.normal(size=(300, d)).astype(np.float32), 10**6, reach=1.5, leaf=50, sub=8 if d == 32 else 7, eta=4.0, loss=1e-3)
     assert (wide.vectors(wide.packed(x)).view(np.uint32) == x.view(np.uint32)).all()
+
+
+@pytest.mark.parametrize("most", [1, 100, 5000])
+def test_small_buckets_are_scanned_together(most):
+    """Of a table's buckets, as many at a time as fit: what is near, and what is nearest, is what each bucket by itself has."""
+    x = made(500)
+    plan = fit(x, len(x), reach=1.5, leaf=20, sub=8, eta=4.0, loss=1e-3)
+    leaf = plan.buckets(x - plan.mean)[:, 0]
+    split = np.where(leaf == np.unique(leaf)[-1], 1, 0)  # a bucket of which this is a block against another
+    batch = pd.DataFrame({"leaf": leaf, "a": 0, "b": split, "side": np.where(split & (np.arange(500) % 2), 1, 0), "id": np.arange(500), "vec": plan.packed(x)})
+    batch = batch.sort_values(["leaf", "side", "id"], ignore_index=True)
+    starts = segment_starts(batch, ["leaf", "a", "b"])
+    runs, segment = vectors.together(batch, starts, most)
+    assert len(starts) > 20 and (len(runs) == len(starts) if most == 1 else len(runs) < len(starts))
+    joined = batch.assign(segment=segment)
+    ends = lambda k: zip(k, np.r_[k[1:], len(batch)], strict=True)
+    near = lambda m: {(batch.id[a], batch.id[b], d) for part in vectors.nearest_of(m, 4) for a, b, d in zip(*part, strict=True)}
+    alone = set().union(*[near(vectors.met_in(batch, s, e, plan, 1.5)) for s, e in ends(starts)])
+    assert set().union(*[near(vectors.met_in(joined, s, e, plan, 1.5, "segment", segment[s] != segment[e - 1])) for s, e in ends(runs)]) == alone and len(alone) > 300
+
+
+@pytest.mark.parametrize("n", [40, 300])
+def test_scan_of_few_and_many(n):
+    """The same estimates by tables and by centres."""
+    x = made(300)[:n]
+    plan = fit(made(300), 300, reach=1.5, leaf=50, sub=8, eta=4.0, loss=1e-3)
+    code = codes_of(x - plan.mean, plan.books, plan.eta)[0]
+    at = np.concatenate([plan.books[s][code[:, s]] for s in range(len(plan.books))], axis=1)
+    assert np.allclose(scan(x[:30], code, plan.books), at @ x[:30].T, atol=1e-2)

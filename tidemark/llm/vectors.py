@@ -4,7 +4,8 @@ Method. A bounded sample (``sample`` vectors) gives the mean and the codebooks o
 bits, for each ``sub`` dimensions. Codes are chosen score-aware: the error along the vector itself weighs ``eta`` times as much
 as the error across it, because only that part changes the inner product with a query that lies near the vector. For a block of
 queries the inner products with all centres are tabulated, the tables of two neighbouring codes are joined to
-one of 256 entries, and a scan adds up table rows by the bytes of each vector. What passes the scan is reranked
+one of 256 entries, and a scan adds up table rows by the bytes of each vector (fewer than 256 vectors, for which the tables cost more than they
+save, are multiplied as the centres of their codes). Small buckets are scanned together. What passes the scan is reranked
 by its exact distance.
 
 What is compared. Only vectors that share a bucket are scanned. A bucket is a side of each of ``bits`` random planes, and there are
@@ -108,16 +109,17 @@ class Plan:
 
     def heads(self, packed: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Buckets (n, tables, bytes), error, error along the vector, and codes of packed vectors."""
-        h = np.frombuffer(b"".join([r[: self.head] for r in packed]), np.uint8).reshape(len(packed), self.head)
-        t = self.planes.shape[0]
-        bounds = np.ascontiguousarray(h[:, t * self.wide : t * self.wide + 8]).view("<f4")
-        byte = h[:, t * self.wide + 8 :]
+        head, t, wide = self.head, self.planes.shape[0], self.wide
+        h = np.frombuffer(b"".join([r[:head] for r in packed]), np.uint8).reshape(len(packed), head)
+        bounds = np.ascontiguousarray(h[:, t * wide : t * wide + 8]).view("<f4")
+        byte = h[:, t * wide + 8 :]
         code = np.stack([byte >> 4, byte & 15], axis=2).reshape(len(h), -1)[:, : len(self.books)]
-        return h[:, : t * self.wide].reshape(len(h), t, self.wide), bounds[:, 0], bounds[:, 1], code
+        return h[:, : t * wide].reshape(len(h), t, wide), bounds[:, 0], bounds[:, 1], code
 
     def vectors(self, packed: pd.Series) -> np.ndarray:
         """The vectors themselves, of packed ones, bit by bit."""
-        body = [r[self.head :] for r in packed]
+        head = self.head
+        body = [r[head:] for r in packed]
         d = self.planes.shape[2]
         whole = np.array([len(b) == 4 * d for b in body], bool)
         out = np.empty((len(body), d), np.float32)
@@ -226,8 +228,10 @@ def codes_of(x: np.ndarray, books: np.ndarray, eta: float, rounds: int = 2) -> t
 
 
 def scan(q: np.ndarray, code: np.ndarray, books: np.ndarray) -> np.ndarray:
-    """Estimated inner products (vectors, queries), by table rows."""
+    """Estimated inner products (vectors, queries), by table rows; of fewer vectors than a table has rows, by their codes' centres themselves."""
     m, _, sub = books.shape
+    if len(code) < 256:
+        return books[np.arange(m), code].reshape(len(code), -1) @ q.T
     if m % 2:
         code, books, m = np.c_[code, np.zeros(len(code), np.uint8)], np.concatenate([books, np.zeros_like(books[:1])]), m + 1
         q = np.c_[q, np.zeros((len(q), sub), q.dtype)]
@@ -241,8 +245,9 @@ def scan(q: np.ndarray, code: np.ndarray, books: np.ndarray) -> np.ndarray:
     return out
 
 
-def near_pairs(x: np.ndarray, y: np.ndarray | None, plan: Plan, reach: float, coded: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None, queries: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(i in x, j in y, distance) of all pairs within reach; with y None, pairs i < j within x. coded: what ``codes_of`` gives for x."""
+def near_pairs(x: np.ndarray, y: np.ndarray | None, plan: Plan, reach: float, coded: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None, queries: int = 512, part: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i in x, j in y, distance) of all pairs within reach; with y None, pairs i < j within x. coded: what ``codes_of`` gives for x. part: rises with i;
+    with y None, only pairs within the same part."""
     base = x
     c = base - plan.mean
     code, error, along = codes_of(c, plan.books, plan.eta) if coded is None else coded
@@ -252,12 +257,13 @@ def near_pairs(x: np.ndarray, y: np.ndarray | None, plan: Plan, reach: float, co
     out = []
     for lo in range(0, len(others), queries):
         o = others[lo : lo + queries]
-        rows = len(base) if y is not None else min(lo + len(o), len(base))  # of pairs within x only i < j are wanted
+        rows = slice(0 if part is None else np.searchsorted(part, part[lo]), len(base) if y is not None else lo + len(o))  # of pairs within x only i < j are wanted
         q = o - plan.mean
-        est = own[:rows, None] + (q * q).sum(1)[None, :] - 2 * scan(q, code[:rows], plan.books)
-        i, j = np.nonzero(est <= bound[:rows, None])
+        est = own[rows, None] + (q * q).sum(1)[None, :] - 2 * scan(q, code[rows], plan.books)
+        i, j = np.nonzero(est <= bound[rows, None])
+        i += rows.start
         if y is None:
-            keep = i < j + lo
+            keep = i < j + lo if part is None else (i < j + lo) & (part[i] == part[j + lo])
             i, j = i[keep], j[keep]
         for s in range(0, len(i), 20_000):
             d = base[i[s : s + 20_000]].astype(np.float64) - o[j[s : s + 20_000]]
@@ -356,35 +362,53 @@ class Met:
     table: int
 
 
-def met_in(batch: pd.DataFrame, s: int, e: int, plan: Plan, reach: float, by: str | None = None) -> Met:
-    """The pairs of the task in rows s to e that no earlier table brings together; rows of a repeated id are left out. by: classes are apart where this differs."""
-    part = batch.iloc[s:e]
-    part = part[~part.duplicated("id")]
-    body = [v[plan.head :] for v in part.vec]
-    alike = pd.Series(body if by is None else list(zip(body, part[by], strict=True)), dtype=object)
-    cls, names = pd.factorize(alike)
-    side = part.side.to_numpy()
-    one = bool(part.a.iloc[0] == part.b.iloc[0])
-    table = int(part.leaf.iloc[0]) >> TABLE_BIT
+def met_in(batch: pd.DataFrame, s: int, e: int, plan: Plan, reach: float, by: str | None = None, joined: bool = False) -> Met:
+    """The pairs of the task in rows s to e that no earlier table brings together; rows of a repeated id are left out. by: classes are apart where this differs. joined: rows s to e are several
+    unsplit buckets, which ``by`` numbers in order."""
+    at, ids, vec, side, leaf, key = (np.arange(s, e), *(batch[c].to_numpy()[s:e] if c else None for c in ("id", "vec", "side", "leaf", by)))
+    if not pd.Index(ids).is_unique:
+        once = np.flatnonzero(~(pd.DataFrame({"id": ids}) if by is None else pd.DataFrame({"id": ids, by: key})).duplicated().to_numpy())
+        at, ids, vec, side, key = (None if c is None else c[once] for c in (at, ids, vec, side, key))
+    one = bool(batch.a.iloc[s] == batch.b.iloc[s])
+    table = int(leaf[0]) >> TABLE_BIT
+    head, wide = plan.head, plan.wide
+    alike = [v[head:] for v in vec] if by is None else [(v[head:], b) for v, b in zip(vec, key.tolist(), strict=True)]
+    if len(set(alike)) == len(alike):
+        cls = first = np.arange(len(alike))
+    else:
+        names: dict = {}
+        cls = np.array([names.setdefault(v, len(names)) for v in alike])
+        first = np.full(len(names), len(alike))
+        np.minimum.at(first, cls, np.arange(len(alike)))
     left, right = np.flatnonzero(side == 0), np.flatnonzero(side == (0 if one else 1))
-    first = np.full(len(names), len(part))
-    np.minimum.at(first, cls, np.arange(len(part)))
     lc, rc = np.unique(cls[left]), np.unique(cls[right])
     i, j, d = np.empty(0, int), np.empty(0, int), np.empty(0)
     if len(lc) and len(rc) and (not one or len(lc) > 1):
-        vec = part.vec.to_numpy()
         _, error, along, code = plan.heads(vec[first[lc]])
-        i, j, d = near_pairs(plan.vectors(vec[first[lc]]), None if one else plan.vectors(vec[first[rc]]), plan, reach, (code, error, along))
+        part = key[first[lc]] if joined else None
+        i, j, d = near_pairs(plan.vectors(vec[first[lc]]), None if one else plan.vectors(vec[first[rc]]), plan, reach, (code, error, along), *((128, part) if joined else ()))
         i, j = lc[i], rc[j]
         ok = i != j
         if table and ok.any():
-            b = np.frombuffer(b"".join([v[: table * plan.wide] for v in vec[first]]), np.uint8).reshape(len(first), table, plan.wide)
+            b = np.frombuffer(b"".join([v[: table * wide] for v in vec[first]]), np.uint8).reshape(len(first), table, wide)
             ok &= ~(b[i] == b[j]).all(2).any(1)
         i, j, d = i[ok], j[ok], d[ok]
-    at = part.index.to_numpy()
     return Met(i, j, d, at[left], at[right], cls[left], cls[right], one, table)
 
 
+def together(batch: pd.DataFrame, starts: np.ndarray, most: int = 2048) -> tuple[np.ndarray, np.ndarray]:
+    """Segments in runs of at most ``most`` rows that ``met_in`` can take at once, as the first rows of the runs; and the segment of each row. Only unsplit buckets of one table go together."""
+    ends = np.r_[starts[1:], len(batch)]
+    a, b, table = (batch[c].to_numpy()[starts] for c in ("a", "b", "leaf"))
+    table, one = table >> TABLE_BIT, a == b
+    runs = [0]
+    for k in range(1, len(starts)):
+        f = runs[-1]
+        if not (one[f] and one[k] and table[f] == table[k] and ends[k] - starts[f] <= most):
+            runs.append(k)
+    return starts[runs], np.repeat(np.arange(len(starts)), ends - starts)
+
+
 def ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which range, and the place, for every place from each lo to its hi."""
     n = hi - lo
@@ -448,8 +472,10 @@ def similar(df: DataFrame, *, id: str, vector: str, k: int = 4, reach: float = 1
     def work(batch: pd.DataFrame, starts: np.ndarray) -> Iterator[pd.DataFrame]:
         ids = batch.id.to_numpy()
         held: list[tuple] = []
+        starts, segment = together(batch, starts)
+        batch = batch.assign(segment=segment)
         for s, e in zip(starts, np.r_[starts[1:], len(batch)], strict=True):
-            for part in nearest_of(met_in(batch, s, e, shared.value, reach), k):
+            for part in nearest_of(met_in(batch, s, e, shared.value, reach, "segment", segment[s] != segment[e - 1]), k):
                 held.append(part)
                 if sum(len(h[0]) for h in held) > 500_000:
                     yield _pairs(held, ids)
